@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, quality, token_counts, url_filter
+from . import exact_dedup, lm_scoring, mixing, ngram_join, packing, pii, quality, token_counts, url_filter
 
 QUERIES = {
+    "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_lm_scoring": lm_scoring.op5_lm_scoring,
+    "op6_mixing": mixing.op6_mixing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_pii": pii.op9_pii,
     "op10_url_filters": url_filter.op10_url_filters,
 }
 
