@@ -115,7 +115,7 @@ def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """The mixture itself: the rows of docs, each as often as mix() takes it, with all columns."""
     inner = docs.select(*[F.col(c).alias(f"_x{i}") for i, c in enumerate(docs.columns)])
     at = {c: f"_x{i}" for i, c in enumerate(docs.columns)}
-    out = mix(inner, at[id_col], at[text_col], at[source_col], carry=inner.columns, **options).where("copies > 0")
+    out = mix(inner, at[id_col], at[text_col], at[source_col], carry=[c for c in inner.columns if c != at[id_col]], **options).where("copies > 0")
     out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return out.select(*[F.col(at[c]).alias(c) for c in docs.columns])
 
