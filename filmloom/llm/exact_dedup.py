@@ -43,7 +43,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         groups = cur.groupBy("_node", "_key").agg(F.count("*").alias("_n")).where("_n > 1")
         groups = materialise(groups.select("_node", "_key", F.monotonically_increasing_id().alias("_group"), (F.octet_length("_key") < width).alias("_ended")), f"radix{level}")
         left = F.when(~F.col("_ended"), F.expr(f"substring(_rest, {width + 1})"))
-        split = cur.join(groups, ["_node", "_key"], "left").select(*keep, F.lit(level).alias("_level"), F.col("_group").alias("_node"), left.alias("_rest"))
+        split = cur.join(groups.hint("merge"), ["_node", "_key"], "left").select(*keep, F.lit(level).alias("_level"), F.col("_group").alias("_node"), left.alias("_rest"))
         split = materialise(split, f"rows{level}")
         done.append(split.where("_rest is null").select(*keep, "_level", "_node"))
         if groups.where("not _ended").isEmpty():
@@ -63,7 +63,7 @@ def keep_one_of_equal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The rows of docs that stay, with all columns: one of each class of equal texts (see exact_groups)."""
     inner = docs.select(*[F.col(c).alias(f"_x{i}") for i, c in enumerate(docs.columns)])
     at = {c: f"_x{i}" for i, c in enumerate(docs.columns)}
-    out = exact_groups(inner, at[id_col], at[text_col], carry=inner.columns)
+    out = exact_groups(inner, at[id_col], at[text_col], carry=[c for c in inner.columns if c != at[id_col]])
     return out.where("kept").select(*[F.col(at[c]).alias(c) for c in docs.columns])
 
 
