@@ -204,12 +204,12 @@ def repeated_windows(strings: list[bytes], length: int = LENGTH) -> list[np.ndar
     return [np.flatnonzero(again[a:b]) for a, b in zip(starts, ends)]
 
 
-def _emit(length: int, shards: int, schema: pa.Schema):
+def _emit(length: int, k: int, shards: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             tids = b.column(0).to_numpy()
-            text, place, h, _, _ = anchors([x.as_buffer().to_pybytes() if x.is_valid else b"" for x in b.column(1)], length)
-            rows = [{"to": s, "keys": k.tobytes(), "tids": t.tobytes(), "places": p.tobytes()} for s, k, t, p in shard_rows(h.astype(U), shards, tids[text], place.astype("<u4"))]
+            text, place, h, _, _ = anchors([x.as_buffer().to_pybytes() if x.is_valid else b"" for x in b.column(1)], length, k)
+            rows = [{"to": s, "keys": x.tobytes(), "tids": t.tobytes(), "places": p.tobytes()} for s, x, t, p in shard_rows(h.astype(U), shards, tids[text], place.astype("<u4"))]
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
@@ -240,13 +240,13 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(t[e[:-1]]), pa.array([p[x:y].astype("<u4").tobytes() for x, y in zip(e, e[1:])], pa.binary())], names=["tid", "places"])
 
 
-def _segments(length: int, shards: int, schema: pa.Schema):
+def _segments(length: int, k: int, shards: int, schema: pa.Schema):
     """Segments of texts (tid, bytes, list of packed places) by shard of their anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             tids, texts = b.column(0).to_numpy(), [x.as_buffer().to_pybytes() for x in b.column(1)]
-            text, place, h, first, last = anchors(texts, length)
+            text, place, h, first, last = anchors(texts, length, k)
             hot = [np.concatenate([np.frombuffer(x, "<u4") for x in xs]).astype(np.int64) for xs in b.column(2).to_pylist()]
             wanted = np.concatenate([np.zeros(0, np.int64), *((i << 32) + x for i, x in enumerate(hot))])
             keep = np.flatnonzero(np.isin((text << 32) + place, wanted))
@@ -359,7 +359,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     rows = docs.select(F.col(id_col).alias("_id"), text.alias("b")).withColumn("tid", F.xxhash64(F.octet_length("b"), "b"))
     fields = [("to", pa.int32()), ("keys", pa.binary()), ("tids", pa.binary()), ("places", pa.binary())]
-    sent = rows.select("tid", "b").mapInArrow(_emit(length, shards, pa.schema(fields)), "to int, keys binary, tids binary, places binary").repartition(parts, "to")
+    sent = rows.select("tid", "b").mapInArrow(_emit(length, k, shards, pa.schema(fields)), "to int, keys binary, tids binary, places binary").repartition(parts, "to")
     shared = materialise(sent.mapInArrow(_shared, "tid long, places binary"), "anchors")
     del sent
     release_shuffles(spark)
@@ -369,7 +369,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hot = materialise(hot.dropDuplicates(["tid"]), "hot")
     release_shuffles(spark)
     fields += [("sizes", pa.binary()), ("data", pa.binary())]
-    sent = hot.mapInArrow(_segments(length, n_shards, pa.schema(fields)), "to int, keys binary, tids binary, places binary, sizes binary, data binary").repartition(parts, "to")
+    sent = hot.mapInArrow(_segments(length, k, n_shards, pa.schema(fields)), "to int, keys binary, tids binary, places binary, sizes binary, data binary").repartition(parts, "to")
     runs = materialise(sent.mapInArrow(_find(length, k), "tid long, lo long, hi long"), "runs")
     runs = runs.groupBy("tid").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     cut = materialise(hot.select("tid", "b").join(runs, "tid").mapInArrow(_cut_out, "tid long, n_removed long, n_spans long, kept binary"), "cut")
