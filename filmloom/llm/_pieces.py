@@ -8,8 +8,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: The table is emptied when it holds so many pieces (about 200 MB).
-MOST_PIECES = 800_000
+#: The table is emptied when it holds so many pieces (about 300 MB).
+MOST_PIECES = 1_200_000
 BATCH_BYTES = 1 << 20
 #: Pieces joined into one string for the library, with MARK between them.
 JOINED = 200
@@ -80,13 +80,13 @@ class PieceTable:
         while at < len(texts):
             new, size, end = set(), 0, at
             while end < len(texts) and size < BATCH_BYTES:
-                new.update(x for x in texts[end] if x not in known)
+                new |= set(texts[end]).difference(known)
                 size += sum(map(len, texts[end]))
                 end += 1
             self.learn(list(new))
             for pieces in texts[at:end]:
                 # learn() may have emptied the table of what these texts share with earlier ones
-                if len(known) <= len(new) and (lost := [x for x in set(pieces) if x not in known]):
+                if len(known) <= len(new) and (lost := list(set(pieces).difference(known))):
                     self.learn(lost)
                 yield list(map(known.__getitem__, pieces))
             at = end

@@ -10,6 +10,7 @@ no task holds all the pieces of a frequent length.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import accumulate
@@ -27,18 +28,27 @@ CAPACITY = 2048
 SALTS = 64
 
 
-def cut(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, capacity: int, end_id: int) -> DataFrame:
-    """doc_id, piece, start, length and ids_crc32 of each document's pieces.
+#: Characters that lower-casing and composition treat one by one and alike in Python and in the tokenizer.
+_PLAIN = re.compile(r"[\t\n\r\x20-\x7e\u00c0-\u012f\u0131-\u0148\u014a-\u017e]*")
+#: The tokenizer's own division into letters, contractions, digits and other characters, for such texts in lower case.
+_TOKENS = re.compile(r"[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)|\d|(?:[^\w\s]|_)+")
 
-    The tokenizer drops white space and sees no further than from one space to the next, so parts between spaces are
-    encoded each on its own, and a repeated part once.
-    """
+
+def parts(text: str) -> list[str]:
+    """Parts that the tokenizer encodes each on its own. It drops white space and sees no further than from space to space."""
+    if "<|" in text or _PLAIN.fullmatch(text) is None:
+        return text.split(" ")
+    return _TOKENS.findall(text.lower())
+
+
+def cut(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, capacity: int, end_id: int) -> DataFrame:
+    """doc_id, piece, start, length and ids_crc32 of each document's pieces. Repeated parts of texts are encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end = table(tokenizer_path, "", counts=False), np.array([end_id], "<u4").tobytes()
         for b in batches:
             at, piece, start, length, crc = [], [], [], [], []
-            for i, known in enumerate(words.of([(x or "").split(" ") for x in b.column(1).to_pylist()])):
+            for i, known in enumerate(words.of([parts(x or "") for x in b.column(1).to_pylist()])):
                 ids = b"".join(known) + end
                 for k, s in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[s : s + 4 * capacity]
