@@ -6,8 +6,8 @@ state a failure arc to the root, whose arcs are the unigrams. With Dirichlet smo
 a failure arc weighs MU / (c(h) + MU), and the arcs out of every state sum to one.
 
 It never exists in one place. The corpus is cut into blocks of bounded size; each block counts its own n-grams once and
-sends (n-gram, count) to the shard of the n-gram, packed as bytes. A shard adds up its n-grams over blocks and sends each
-block the totals that differ from what the block knows itself. A block then holds all arcs that its texts can follow,
+sends (n-gram, count) to the shard of the n-gram, packed as bytes. A shard adds up its n-grams over blocks and replies to each
+block with the totals that differ from what the block knows itself. A block then holds all arcs that its texts can follow,
 and goes through each text once from left to right: the state is carried along, an arc is followed or the failure arc
 taken, and log10 weights add up. A frequent n-gram costs a shard one entry a block, so no shard gets hot.
 """
@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, read_table, release_shuffles, shuffle_partitions
+from ._common import materialise, read_table, shuffle_partitions
 from ._hashing import U, mix, shard_rows, text_batches, word_hashes
 
 MU = 20.0
@@ -50,6 +50,15 @@ def unplanes(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+def deltas(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys as byte planes of their differences, which are small where keys are many."""
+    return np.diff(keys, prepend=U(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def undeltas(b: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=U)
+
+
 def held_out(doc_id: object) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % FOLDS == HELD_OUT
 
@@ -81,11 +90,11 @@ def _emit(shards: int, schema: pa.Schema):
         yield {"to": to, "block": block, "kind": 0, "ids": ids, "lengths": lengths.astype("<i8").tobytes(), "seq": planes(rank[inv]), "keys": by_rank.tobytes()}
         own = np.bincount(inv, train, len(vocab)).astype("<u4")
         for s, k, c in shard_rows(vocab, shards, own):
-            yield {"to": s, "block": block, "kind": 1, "keys": k.tobytes(), "counts": c.tobytes()}
+            yield {"to": s, "block": block, "kind": 1, "keys": deltas(k), "counts": planes(c)}
         pairs, inv = np.unique(bigram_keys(_histories(tokens, lengths), tokens), return_inverse=True)
         own = np.bincount(inv, train, len(pairs)).astype("<u4")
         for s, k, c in shard_rows(pairs, shards, own):
-            yield {"to": s, "block": block, "kind": 2, "keys": k.tobytes(), "counts": c.tobytes()}
+            yield {"to": s, "block": block, "kind": 2, "keys": deltas(k), "counts": planes(c)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, ids, words, counts, n = TaskContext.get().partitionId() << 24, [], [], [], 0
@@ -114,12 +123,11 @@ def _sum_shards(schema: pa.Schema):
                 if r["kind"] == 0:
                     yield _batch([r], schema)
                 else:
-                    got[r["kind"]].append((r["block"], np.frombuffer(r["keys"], U), np.frombuffer(r["counts"], "<u4")))
+                    got[r["kind"]].append((r["block"], undeltas(r["keys"]), unplanes(r["counts"]), r["to"]))
         for kind, parts in got.items():
             if not parts:
                 continue
             keys, own = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]).astype(np.int64)
-            at = np.repeat(np.arange(len(parts)), [len(p[1]) for p in parts])
             order = np.argsort(keys)
             k = keys[order]
             first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
@@ -128,9 +136,9 @@ def _sum_shards(schema: pa.Schema):
             total[order] = np.repeat(sums, np.diff(np.append(first, len(k))))
             if kind == 1:
                 yield _batch([{"kind": 3, "n": int(sums.sum()), "v": int((sums > 0).sum())}], schema)
-            told = np.flatnonzero(total != own)
-            ends = np.searchsorted(at[told], np.arange(len(parts) + 1))
-            rows = [{"block": p[0], "kind": kind, "keys": keys[i].tobytes(), "counts": total[i].astype("<i8").tobytes()} for j, p in enumerate(parts) if len(i := told[ends[j] : ends[j + 1]])]
+            # A reply holds a number for each n-gram asked for, in the same order: the total, or 0 if the block knows it.
+            reply = np.split(np.where(total == own, 0, total), np.cumsum([len(p[1]) for p in parts])[:-1])
+            rows = [{"to": p[3], "block": p[0], "kind": kind, "counts": planes(x)} for p, x in zip(parts, reply, strict=True)]
             if rows:
                 yield _batch(rows, schema)
 
@@ -138,21 +146,19 @@ def _sum_shards(schema: pa.Schema):
 
 
 class Automaton:
-    """The part of the backoff automaton that a block's texts can reach."""
+    """The part of the backoff automaton that a block's texts can reach: counts of its sorted n-grams, kind by kind."""
 
     def __init__(self, mu: float, n: int, v: int):
-        self.mu, self.n, self.v, self.arcs = mu, n, v, {}
-
-    def add(self, kind: int, keys: np.ndarray, counts: np.ndarray) -> None:
-        order = np.argsort(keys)
-        self.arcs[kind] = keys[order], counts[order]
+        self.mu, self.n, self.v = mu, n, v
 
-    def count(self, kind: int, keys: np.ndarray, otherwise: np.ndarray) -> np.ndarray:
-        known, counts = self.arcs.get(kind, (np.zeros(0, U), np.zeros(0, np.int64)))
-        if not len(known):
-            return otherwise
-        i = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        return np.where(known[i] == keys, counts[i], otherwise)
+    @staticmethod
+    def counts(keys: np.ndarray, own: np.ndarray, shards: int, replies: list[tuple[int, np.ndarray]]) -> np.ndarray:
+        """The corpus's counts of keys: what the shards reply, or what the block knows itself."""
+        told, out = dict(replies), own.astype(np.int64)
+        for shard, at in shard_rows(keys, shards):
+            i = np.searchsorted(keys, at)
+            out[i] = np.where(told[shard] > 0, told[shard], out[i])
+        return out
 
     def traverse(self, c: np.ndarray, c_history: np.ndarray, c_arc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 of the root's arcs, and of the arcs (or failure arc and root arc) taken from the states on the way."""
@@ -160,26 +166,25 @@ class Automaton:
         return np.log10(root), np.log10((c_arc + self.mu * root) / (c_history + self.mu))
 
 
-def _score(id_col: str, mu: float, n: int, v: int):
+def _score(id_col: str, mu: float, n: int, v: int, shards: int):
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
         model, own = Automaton(mu, n, v), next(r for r in rows if r["kind"] == 0)
-        for kind in (1, 2):
-            told = [r for r in rows if r["kind"] == kind]
-            if told:
-                model.add(kind, np.concatenate([np.frombuffer(r["keys"], U) for r in told]), np.concatenate([np.frombuffer(r["counts"], "<i8") for r in told]))
+        replies = {kind: [(r["to"], unplanes(r["counts"])) for r in rows if r["kind"] == kind] for kind in (1, 2)}
         lengths, vocab, seq = np.frombuffer(own["lengths"], "<i8"), np.frombuffer(own["keys"], U), unplanes(own["seq"]).astype(np.int64)
         held = np.array([held_out(i) for i in own["ids"]])
         train = np.repeat(~held, lengths)
-        c_vocab = model.count(1, vocab, np.bincount(seq, train, len(vocab)).astype(np.int64))
+        by_key = np.argsort(vocab)
+        c_vocab = np.empty(len(vocab), np.int64)
+        c_vocab[by_key] = model.counts(vocab[by_key], np.bincount(seq, train, len(vocab))[by_key], shards, replies[1])
         tokens, c = vocab[seq], c_vocab[seq]
         c_end = int(c_vocab[np.flatnonzero(vocab == END)[0]])
         c_history, starts = np.roll(c, 1), np.cumsum(lengths) - lengths
         c_history[starts] = c_end  # as many texts start as end
         pairs, inv = np.unique(bigram_keys(_histories(tokens, lengths), tokens), return_inverse=True)
-        c_arc = model.count(2, pairs, np.bincount(inv, train, len(pairs)).astype(np.int64))[inv]
+        c_arc = model.counts(pairs, np.bincount(inv, train, len(pairs)), shards, replies[2])[inv]
         base, full = model.traverse(c, c_history, c_arc)
         add = lambda x: np.add.reduceat(x, starts)
         cols = [held, lengths, add((c > 0).astype(np.int64)), np.full(len(held), n, np.int64), add(base), add(full)]
@@ -202,11 +207,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = pa.schema([("to", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("ids", pa.list_(_arrow_type(spark, kind))), *((x, pa.binary()) for x in ("lengths", "seq", "keys", "counts")), ("n", pa.int64()), ("v", pa.int64())])
     sent = docs.select(id_col, text_col).mapInArrow(_emit(shards, schema), ddl).repartition(shuffle_partitions(spark), "to")
     back = materialise(sent.mapInArrow(_sum_shards(schema), ddl), "ngrams")
-    del sent
-    release_shuffles(spark)
     size = back.where("kind = 3").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     out = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return back.where("kind < 3").groupBy("block").applyInArrow(_score(id_col, mu, size["n"] or 0, size["v"] or 0), out)
+    return back.where("kind < 3").groupBy("block").applyInArrow(_score(id_col, mu, size["n"] or 0, size["v"] or 0, shards), out)
 
 
 def _arrow_type(spark, kind: str) -> pa.DataType:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ._common import materialise, read_table, release_shuffles, shuffle_partitions
+from ._common import materialise, read_table, shuffle_partitions
 from ._hashing import _BACK, _BYTE, _STEP, CHUNK, U, _power, mix, shard_rows
 
 LENGTH = 200
@@ -361,13 +361,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fields = [("to", pa.int32()), ("keys", pa.binary()), ("tids", pa.binary()), ("places", pa.binary())]
     sent = rows.select("tid", "b").mapInArrow(_emit(length, k, shards, pa.schema(fields)), "to int, keys binary, tids binary, places binary").repartition(parts, "to")
     shared = materialise(sent.mapInArrow(_shared, "tid long, places binary"), "anchors")
-    del sent
-    release_shuffles(spark)
     same = materialise(rows.groupBy("tid").agg(F.count("*").alias("copies"), F.min("_id").alias("_first")), "texts")
     places = shared.groupBy("tid").agg(F.collect_list("places").alias("places")).join(same.select("tid", "_first"), "tid")
     hot = rows.join(places.hint("merge").withColumnRenamed("tid", "_tid"), (F.col("tid") == F.col("_tid")) & F.col("_id").eqNullSafe(F.col("_first"))).select("tid", "b", "places")
     hot = materialise(hot.dropDuplicates(["tid"]), "hot")
-    release_shuffles(spark)
     fields += [("sizes", pa.binary()), ("data", pa.binary())]
     sent = hot.mapInArrow(_segments(length, k, n_shards, pa.schema(fields)), "to int, keys binary, tids binary, places binary, sizes binary, data binary").repartition(parts, "to")
     runs = materialise(sent.mapInArrow(_find(length, k), "tid long, lo long, hi long"), "runs")
