@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, read_table, release_shuffles, shuffle_partitions
+from ._common import materialise, read_table, shuffle_partitions
 from ._components import components
 from ._hashing import U, mix, shard_rows, text_batches, word_hashes
 
@@ -107,7 +107,7 @@ def boxes(s: np.ndarray, percent: int) -> np.ndarray:
 
 
 def count_vector(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s >> U(7)).astype(np.int64) % GROUPS, minlength=GROUPS).astype("<i4")
+    return np.bincount((s >> U(7)).astype(np.int64) % GROUPS, minlength=GROUPS).astype("<u2" if len(s) < 1 << 16 else "<u4")
 
 
 class CountRTree:
@@ -165,7 +165,7 @@ def _emit(width: int, percent: int, shards: int, schema: pa.Schema):
 
 
 def _shared_boxes(schema: pa.Schema):
-    """Boxes of a shard that hold two sets or more: a row (key, sid, the box's smallest sid) each. Documents pass through."""
+    """Boxes of a shard that hold two sets or more: a row (key, sid, the box's smallest sid, a hash of its members) each. Documents pass through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sids = [], []
@@ -174,7 +174,7 @@ def _shared_boxes(schema: pa.Schema):
             d = b.filter(pa.array(doc))
             if d.num_rows:
                 none = pa.nulls(d.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([d.column("doc_id"), d.column("n"), d.column("sid"), none, none], schema=schema)
+                yield pa.RecordBatch.from_arrays([d.column("doc_id"), d.column("n"), d.column("sid"), none, none, none], schema=schema)
             for k, s in zip(b.column("keys").filter(pa.array(~doc)).to_pylist(), b.column("sids").filter(pa.array(~doc)).to_pylist()):
                 keys.append(np.frombuffer(k, np.int64))
                 sids.append(np.frombuffer(s, np.int64))
@@ -188,13 +188,17 @@ def _shared_boxes(schema: pa.Schema):
         k, s = k[new], s[new]
         first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         count = np.diff(np.append(first, len(k)))
-        many = np.repeat(count > 1, count)
-        low = np.repeat(s[first], count)
-        k, s, low = k[many], s[many], low[many]
+        with np.errstate(over="ignore"):
+            members = mix(np.add.reduceat(mix(s.astype(U)), first) + count.astype(U)).view(np.int64)
+        # Of boxes with the same members, one will do.
+        one = np.zeros(len(first), bool)
+        one[np.unique(members, return_index=True)[1]] = True
+        many = np.repeat((count > 1) & one, count)
+        k, s, low, members = k[many], s[many], np.repeat(s[first], count)[many], np.repeat(members, count)[many]
         for i in range(0, len(k), 50_000):
             part = slice(i, i + 50_000)
             none = pa.nulls(len(k[part]), pa.int64())
-            yield pa.RecordBatch.from_arrays([none.cast(schema.field("doc_id").type), none, pa.array(s[part]), pa.array(k[part]), pa.array(low[part])], schema=schema)
+            yield pa.RecordBatch.from_arrays([none.cast(schema.field("doc_id").type), none, pa.array(s[part]), pa.array(k[part]), pa.array(low[part]), pa.array(members[part])], schema=schema)
 
     return run
 
@@ -237,7 +241,7 @@ def _cross_pairs(percent: int, cap: int | None):
         comp, side, size, sid = (t[c].to_numpy() for c in ("comp", "side", "n", "sid"))
         if (comp == comp[0]).all():
             return
-        points = np.frombuffer(b"".join(t["vector"].to_pylist()), "<i4").reshape(-1, GROUPS)
+        points = np.stack([np.frombuffer(v, "<u2" if len(v) == 2 * GROUPS else "<u4").astype(np.int64) for v in t["vector"].to_pylist()])
         crossed = t["across"][0].as_py()
         tree = CountRTree(points, size, percent)
         for i in range(len(sid)):
@@ -306,17 +310,18 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind, arrow, parts = id_type.simpleString(), to_arrow_type(id_type), shuffle_partitions(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sent = pa.schema([("to", pa.int32()), ("doc_id", arrow), ("n", pa.int64()), ("sid", pa.int64()), ("keys", pa.binary()), ("sids", pa.binary())])
-    got = pa.schema([("doc_id", arrow), ("n", pa.int64()), ("sid", pa.int64()), ("key", pa.int64()), ("low", pa.int64())])
+    got = pa.schema([("doc_id", arrow), ("n", pa.int64()), ("sid", pa.int64()), ("key", pa.int64()), ("low", pa.int64()), ("members", pa.int64())])
     boxed = docs.mapInArrow(_emit(width, percent, 4 * parts, sent), _DOC.format(id=kind)).withColumn("deal", F.coalesce(F.when(F.col("keys").isNull(), F.pmod(F.xxhash64("doc_id"), F.lit(4 * parts))), F.col("to"))).repartition(parts, "deal").drop("deal")
-    boxed = materialise(boxed.mapInArrow(_shared_boxes(got), f"doc_id {kind}, n long, sid long, key long, low long"), "boxes")
-    release_shuffles(spark)
-    points, shared = boxed.where("key is null").select("doc_id", "n", "sid"), boxed.where("key is not null").select("key", "sid", "low")
+    boxed = materialise(boxed.mapInArrow(_shared_boxes(got), f"doc_id {kind}, n long, sid long, key long, low long, members long"), "boxes")
+    points, shared = boxed.where("key is null").select("doc_id", "n", "sid"), boxed.where("key is not null")
+    # Of boxes with the same members, from all shards, one will do.
+    one = shared.where("sid = low").groupBy("members").agg(F.min("key").alias("_key"))
+    shared = materialise(shared.join(one, "members").where("key = _key").select("key", "sid", "low"), "shared")
     lowest = materialise(points.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id")), "lowest")
     # The sets of those that share a box, from their texts.
     wanted = shared.select("sid").distinct().join(lowest, "sid").select(F.col("sid"), F.col("doc_id").alias("_want"))
     texts = docs.join(wanted.hint("merge"), docs["doc_id"].eqNullSafe(wanted["_want"])).select("text", "sid")
     sets = materialise(texts.mapInArrow(_sets(width), "sid long, n long, vector binary, hashes binary").dropDuplicates(["sid"]), "sets")
-    release_shuffles(spark)
     # One partner each: the smallest id of most of its boxes.
     first = shared.where("low < sid").groupBy("sid", "low").agg(F.count("*").alias("c")).groupBy("sid").agg(F.max_by("low", F.struct("c", "low")).alias("low"))
     comp = materialise(sets.select("sid", F.col("sid").alias("comp")), "comp")
