@@ -35,6 +35,8 @@ from ._components import components
 from ._hashing import U, mix, shard_rows, text_batches, word_hashes
 
 GROUPS = 64
+#: A count vector has at most so many coordinates, which bounds the memory of a block; the bound is looser beyond.
+FINEST = 4096
 #: Rows of a box that are searched together.
 BLOCK_ROWS = 1024
 ROUNDS = (1, 16, None)
@@ -106,8 +108,45 @@ def boxes(s: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, U)
 
 
-def count_vector(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s >> U(7)).astype(np.int64) % GROUPS, minlength=GROUPS).astype("<u2" if len(s) < 1 << 16 else "<u4")
+def count_vector(s: np.ndarray) -> bytes:
+    """A byte with the width of a count, then the counts of GROUPS to FINEST groups, a power of two about the set's size."""
+    groups = min(max(GROUPS, 1 << len(s).bit_length() - 1), FINEST)
+    counts = np.bincount((s >> U(7)).astype(np.int64) % groups, minlength=groups)
+    width = 1 if counts.max() < 256 else 4
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+
+
+def fold(counts: np.ndarray, groups: int) -> np.ndarray:
+    """Rows of counts, as counts of fewer groups."""
+    return counts if counts.shape[1] == groups else counts.reshape(len(counts), -1, groups).sum(1)
+
+
+class CountVectors:
+    """The count vectors of a block by their number of groups."""
+
+    def __init__(self, vectors: list[bytes]):
+        rows = [np.frombuffer(v, f"<u{v[0]}", offset=1) for v in vectors]
+        self.groups = np.array([len(r) for r in rows])
+        self.at, self.rows = np.zeros(len(rows), np.int64), {}
+        for g in np.unique(self.groups).tolist():
+            own = np.flatnonzero(self.groups == g)
+            self.at[own] = np.arange(len(own))
+            self.rows[g] = np.stack([rows[i] for i in own])
+
+    def coarse(self) -> np.ndarray:
+        out = np.empty((len(self.groups), GROUPS), np.int64)
+        for g, rows in self.rows.items():
+            out[self.groups == g] = fold(rows, GROUPS)
+        return out
+
+    def bounds(self, i: int, others: np.ndarray) -> np.ndarray:
+        """The most that the sets of others can share with the set of i."""
+        out, mine = np.zeros(len(others), np.int64), int(self.groups[i])
+        point = self.rows[mine][self.at[i]][None]
+        for g in np.unique(self.groups[others]).tolist():
+            same, m = self.groups[others] == g, min(g, mine)
+            out[same] = np.minimum(fold(self.rows[g][self.at[others[same]]], m), fold(point, m)).sum(1)
+        return out
 
 
 class CountRTree:
@@ -125,18 +164,17 @@ class CountRTree:
             at = np.arange(0, len(p), self.FAN)
             self.levels.append((np.maximum.reduceat(p, at), np.minimum.reduceat(n, at)))
 
-    def search(self, point: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Points that may link to this one, and bounds of their overlap with it."""
+    def search(self, point: np.ndarray, size: int) -> np.ndarray:
+        """Points that may link to this one."""
         live = np.arange(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
             p, n = self.levels[depth]
             live = live[live < len(p)]
             bound = np.minimum(p[live], point).sum(1)
-            ok = (100 + self.percent) * bound >= self.percent * (n[live] + size)
-            live, bound = live[ok], bound[ok]
+            live = live[(100 + self.percent) * bound >= self.percent * (n[live] + size)]
             if depth:
                 live = (live[:, None] * self.FAN + np.arange(self.FAN)).ravel()
-        return self.order[live], bound
+        return self.order[live]
 
 
 _DOC = "to int, doc_id {id}, n long, sid long, keys binary, sids binary"
@@ -211,7 +249,7 @@ def _sets(width: int):
             sets = shingle_sets(b.column(0).to_pylist(), width)
             keep = [i for i, (s, sid) in enumerate(zip(sets, b.column(1).to_pylist(), strict=True)) if set_id(s) == sid]
             own = [sets[i] for i in keep]
-            cols = [b.column(1).take(pa.array(keep, pa.int64())), pa.array([len(s) for s in own], pa.int64()), pa.array([count_vector(s).tobytes() for s in own], pa.binary()), pa.array([s.tobytes() for s in own], pa.binary())]
+            cols = [b.column(1).take(pa.array(keep, pa.int64())), pa.array([len(s) for s in own], pa.int64()), pa.array([count_vector(s) for s in own], pa.binary()), pa.array([s.tobytes() for s in own], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["sid", "n", "vector", "hashes"])
 
     return run
@@ -241,12 +279,15 @@ def _cross_pairs(percent: int, cap: int | None):
         comp, side, size, sid = (t[c].to_numpy() for c in ("comp", "side", "n", "sid"))
         if (comp == comp[0]).all():
             return
-        points = np.stack([np.frombuffer(v, "<u2" if len(v) == 2 * GROUPS else "<u4").astype(np.int64) for v in t["vector"].to_pylist()])
+        vectors = CountVectors(t["vector"].to_pylist())
+        points = vectors.coarse()
         crossed = t["across"][0].as_py()
         tree = CountRTree(points, size, percent)
         for i in range(len(sid)):
-            j, bound = tree.search(points[i], int(size[i]))
-            ok = (comp[j] != comp[i]) & ((side[j] != side[i]) | (not crossed)) & (sid[j] > sid[i] if cap is None else True)
+            j = tree.search(points[i], int(size[i]))
+            j = j[(comp[j] != comp[i]) & ((side[j] != side[i]) | (not crossed)) & (sid[j] > sid[i] if cap is None else True)]
+            bound = vectors.bounds(i, j)
+            ok = (100 + percent) * bound >= percent * (size[j] + size[i])
             j, bound = j[ok], bound[ok]
             if cap is not None and len(j) > cap:
                 j = j[np.lexsort([sid[j], -bound])[:cap]]

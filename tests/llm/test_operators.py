@@ -222,7 +222,20 @@ def test_count_r_tree_loses_nothing():
     tree = ngram_join.CountRTree(p, n, 80)
     for i in range(0, 300, 7):
         need = {j for j in range(300) if 180 * np.minimum(p[i], p[j]).sum() >= 80 * (n[i] + n[j])}
-        assert set(tree.search(p[i], int(n[i]))[0].tolist()) == need
+        assert set(tree.search(p[i], int(n[i])).tolist()) == need
+
+
+def test_count_vectors_bound_the_overlap():
+    r, sets = np.random.default_rng(2), [np.array([5], np.uint64)]
+    for n in (3, 60, 64, 300, 700, 9000):
+        own = np.unique(r.integers(0, 1 << 62, n).astype(np.uint64))
+        sets += [own, own[: n * 9 // 10], np.unique(np.concatenate([own[n // 10 :], r.integers(0, 1 << 62, 1 + n // 20).astype(np.uint64)]))]
+    sets.append(np.arange(300, dtype=np.uint64))  # counts over a byte's range
+    vectors, others = ngram_join.CountVectors([ngram_join.count_vector(s) for s in sets]), np.arange(len(sets))
+    for i, s in enumerate(sets):
+        fine, coarse = vectors.bounds(i, others), np.minimum(vectors.coarse()[i], vectors.coarse()).sum(1)
+        assert all(len(np.intersect1d(s, t)) <= f <= c for t, f, c in zip(sets, fine, coarse, strict=True))
+        assert fine[i] == len(s)
 
 
 def test_pii(spark, empty):
