@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,20 +31,37 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._filmloom_scratch
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: later steps start from files that outlive executors."""
-    spark = df.sparkSession
+def _write(spark: SparkSession, label: str, write) -> str:
+    """The path in the shared folder that write, called with it, has filled; it goes when the session ends."""
     path = os.path.join(shared_dir(spark), f"filmloom-{label}-{uuid.uuid4().hex}")
     before = spark.conf.get(CLEAN_UP, "false")
     spark.conf.set(CLEAN_UP, "true")
     try:
-        df.write.parquet(path)
+        write(path)
     finally:
         spark.conf.set(CLEAN_UP, before)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: later steps start from files that outlive executors."""
+    path = _write(df.sparkSession, label, df.write.parquet)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def bucketed(df: DataFrame, key: str, label: str) -> Iterator[DataFrame]:
+    """Like materialise, in buckets of key: joins on key don't shuffle this side. For keys without hot values."""
+    spark, name = df.sparkSession, f"filmloom_{label}_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").bucketBy(shuffle_partitions(spark), key).sortBy(key)
+    _write(spark, label, lambda path: writer.option("path", path).saveAsTable(name))
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, read_table, shuffle_partitions
+from ._common import bucketed, materialise, read_table, shuffle_partitions
 from ._components import components
 from ._hashing import U, mix, shard_rows, text_batches, word_hashes
 
@@ -321,6 +321,10 @@ def _cross_pairs(percent: int, cap: int | None):
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that link. Only sets that occur in pairs are shuffled, from a table, so that AQE can split hot ones."""
+    pairs = materialise(pairs, "pairs")
+    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+    sets = materialise(sets.select("sid", "n", "hashes").join(wanted, "sid"), "wanted")
     one = sets.select(F.col("sid").alias("a"), F.col("hashes").alias("ha"), F.col("n").alias("na"))
     two = sets.select(F.col("sid").alias("b"), F.col("hashes").alias("hb"), F.col("n").alias("nb"))
     fit = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
@@ -336,6 +340,34 @@ def _merge(comp: DataFrame, links: DataFrame, label: str) -> DataFrame:
     return materialise(out, label)
 
 
+def _components(shared: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
+    """sid, comp of all sets, from the boxes they share (key, sid, low)."""
+    # One partner each: the smallest id of most of its boxes.
+    first = shared.where("low < sid").groupBy("sid", "low").agg(F.count("*").alias("c")).groupBy("sid").agg(F.max_by("low", F.struct("c", "low")).alias("low"))
+    comp = materialise(sets.select("sid", F.col("sid").alias("comp")), "comp")
+    comp = _merge(comp, materialise(_verify(first.select(F.col("low").alias("a"), F.col("sid").alias("b")), sets, percent), "links"), "comp")
+    live = shared
+    for cap in ROUNDS:
+        tagged = live.select("key", "sid").join(comp, "sid")
+        open_ = tagged.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c")).where("x < y")
+        open_ = materialise(open_.select("key", F.ceil(F.col("c") / BLOCK_ROWS).cast("int").alias("blocks")), "open")
+        if open_.isEmpty():
+            break
+        live = materialise(live.select("key", "sid").join(open_, "key"), "live")
+        rows = live.join(comp, "sid").join(sets.select("sid", "n", "vector"), "sid")
+        own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
+        rows = rows.withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.withColumn("unit", F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")))
+        rows = rows.withColumn("across", F.col("side") != F.col("other")).select("unit", "across", "side", "sid", "n", "comp", "vector")
+        # A unit of two blocks holds both, told apart by side; its rows all came with another block's number.
+        rows = rows.repartition(parts, "unit").sortWithinPartitions("unit")
+        pairs = rows.mapInArrow(_cross_pairs(percent, cap), "a long, b long").distinct()
+        links = materialise(_verify(pairs, sets, percent), "links")
+        comp = _merge(comp, links, "comp")
+        live = live.drop("blocks")
+    return comp
+
+
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: id_col, n_shingles, component_id.
 
@@ -362,30 +394,9 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # The sets of those that share a box, from their texts.
     wanted = shared.select("sid").distinct().join(lowest, "sid").select(F.col("sid"), F.col("doc_id").alias("_want"))
     texts = docs.join(wanted.hint("merge"), docs["doc_id"].eqNullSafe(wanted["_want"])).select("text", "sid")
-    sets = materialise(texts.mapInArrow(_sets(width), "sid long, n long, vector binary, hashes binary").dropDuplicates(["sid"]), "sets")
-    # One partner each: the smallest id of most of its boxes.
-    first = shared.where("low < sid").groupBy("sid", "low").agg(F.count("*").alias("c")).groupBy("sid").agg(F.max_by("low", F.struct("c", "low")).alias("low"))
-    comp = materialise(sets.select("sid", F.col("sid").alias("comp")), "comp")
-    comp = _merge(comp, materialise(_verify(first.select(F.col("low").alias("a"), F.col("sid").alias("b")), sets, percent), "links"), "comp")
-    live = shared
-    for cap in ROUNDS:
-        tagged = live.select("key", "sid").join(comp, "sid")
-        open_ = tagged.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c")).where("x < y")
-        open_ = materialise(open_.select("key", F.ceil(F.col("c") / BLOCK_ROWS).cast("int").alias("blocks")), "open")
-        if open_.isEmpty():
-            break
-        live = materialise(live.select("key", "sid").join(open_, "key"), "live")
-        rows = live.join(comp, "sid").join(sets.select("sid", "n", "vector"), "sid")
-        own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
-        rows = rows.withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.withColumn("unit", F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")))
-        rows = rows.withColumn("across", F.col("side") != F.col("other")).select("unit", "across", "side", "sid", "n", "comp", "vector")
-        # A unit of two blocks holds both, told apart by side; its rows all came with another block's number.
-        rows = rows.repartition(parts, "unit").sortWithinPartitions("unit")
-        pairs = rows.mapInArrow(_cross_pairs(percent, cap), "a long, b long").distinct()
-        links = materialise(_verify(pairs, sets, percent), "links")
-        comp = _merge(comp, links, "comp")
-        live = live.drop("blocks")
+    once = texts.mapInArrow(_sets(width), "sid long, n long, vector binary, hashes binary").dropDuplicates(["sid"])
+    with bucketed(once, "sid", "sets") as sets:
+        comp = _components(shared, sets, percent, parts)
     named = lowest.join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     low = materialise(named.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "low")
     named = materialise(named.join(low, "comp").select("sid", "component_id"), "named")
