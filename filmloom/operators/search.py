@@ -52,3 +52,29 @@ def topk_batch(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     cand = data.crossJoin(blocks).select("rows", "queries").mapInPandas(run, "query_id long, vec_id long, label int, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return cand.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def nearest_within(rows: DataFrame, group: str) -> DataFrame:
+    """vec_id, nearest, score: of each row the row of the same group with the largest inner product, itself left out.
+
+    A group is cut into blocks of about BLOCK rows. Pairs of its blocks meet in one matrix product that gives one row per
+    row of a block, so neither a large group nor its pairs are held in one task.
+    """
+    sized = rows.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
+    dealt = rows.join(sized, group).withColumn("_side", F.pmod(F.xxhash64("vec_id"), F.col("_blocks")).cast("int"))
+    packed = dealt.groupBy(group, "_side").agg(F.collect_list(F.struct("vec_id", doubles(F.col("embedding")).alias("e"))).alias("own"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for own, asked in zip(pdf["own"], pdf["asked"]):
+                ids, q_ids = np.array([r["vec_id"] for r in own]), np.array([r["vec_id"] for r in asked])
+                scores = np.round(np.stack([r["e"] for r in asked]) @ np.stack([r["e"] for r in own]).T, 4)
+                scores[q_ids[:, None] == ids[None, :]] = -np.inf
+                best = np.lexsort([np.broadcast_to(ids, scores.shape), -scores])[:, 0]
+                out = pd.DataFrame({"vec_id": q_ids, "nearest": ids[best], "score": scores[np.arange(len(q_ids)), best]})
+                yield out[np.isfinite(out["score"])]
+
+    asked = packed.select(group, F.col("own").alias("asked"))
+    cand = packed.join(asked, group).select("own", "asked").repartition("own", "asked").mapInPandas(run, "vec_id long, nearest long, score double")
+    best = cand.groupBy("vec_id").agg(F.max_by(F.struct("nearest", "score"), F.struct(F.col("score"), -F.col("nearest"))).alias("b"))
+    return best.select("vec_id", "b.nearest", "b.score")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,3 +59,43 @@ def presence(df: DataFrame, keys: list[str], t: str, gap: float) -> DataFrame:
 
 def arc_by_ratio(x: Column) -> Column:
     return F.when(x < 0.15, "exposition").when(x < 0.4, "rising_action").when(x < 0.65, "climax").when(x < 0.85, "falling_action").otherwise("resolution")
+
+
+def cue_text(chunks: DataFrame, cues: DataFrame, key: str, chunk_id: str, share: float, least: float, near: float, width: float) -> DataFrame:
+    """chunks with `cues`, the texts of the cues of a chunk in order of time.
+
+    chunks: key, chunk_id, s0, s1; cues: key, cue_id, c0, c1, text. A cue belongs to a chunk if it covers `share` of it
+    (counted as a second at least) or overlaps it by `least` seconds. A chunk with no such cue takes those that start
+    less than `near` seconds from its own start; with none of these either, its text is empty.
+    """
+    both = interval_join(cues, chunks, key, ("c0", "s0"), ("c1", "s1"), width)
+    shared = overlap(F.col("c0"), F.col("c1"), F.col("s0"), F.col("s1"))
+    own = both.where((shared >= share * F.greatest(F.col("s1") - F.col("s0"), F.lit(1.0))) | (shared >= least))
+    own = own.select(chunk_id, "c0", "cue_id", "text")
+    rest = chunks.join(own.select(chunk_id).distinct(), chunk_id, "left_anti")
+    rest = rest.withColumn("n0", F.col("s0") - near).withColumn("n1", F.col("s0") + near)
+    by = interval_join(cues.withColumn("p", F.col("c0")), rest, key, ("c0", "n0"), ("p", "n1"), width)
+    by = by.where(F.abs(F.col("c0") - F.col("s0")) < near).select(chunk_id, "c0", "cue_id", "text")
+    said = own.union(by).groupBy(chunk_id).agg(F.array_sort(F.collect_list(F.struct("c0", "cue_id", "text"))).alias("_all"))
+    text = F.array_join(F.transform("_all", lambda c: c["text"]), " ")
+    return chunks.join(said, chunk_id, "left").withColumn("cues", F.coalesce(text, F.lit(""))).drop("_all")
+
+
+def greedy_chunks(df: DataFrame, keys: list[str], start: str, end: str, most: float) -> DataFrame:
+    """Segments of each key joined in order of start while they span at most `most` seconds: chunk, start_s, end_s, n.
+
+    Where a chunk ends depends on where it began, which no window expresses; a key's segments are one task's work.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out: list[list] = []
+        for s, e in pdf[[start, end]].sort_values([start, end]).itertuples(index=False):
+            if out and max(out[-1][1], e) - out[-1][0] <= most:
+                out[-1][1], out[-1][2] = max(out[-1][1], e), out[-1][2] + 1
+            else:
+                out.append([s, e, 1])
+        return pd.DataFrame([[*key, i, *c] for i, c in enumerate(out)], columns=[*keys, "chunk", "start_s", "end_s", "n"])
+
+    rows = df.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select(*keys, F.col(start).cast("double"), F.col(end).cast("double"))
+    return rows.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", chunk int, start_s double, end_s double, n long")
