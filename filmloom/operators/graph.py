@@ -15,6 +15,11 @@ def merge_nodes(parts: list[tuple[int, str, DataFrame]]) -> DataFrame:
     return rows.groupBy("id").agg(F.max_by("label", "p").alias("label"), F.count("*").alias("n_sources"))
 
 
+def both_ways(edges: DataFrame) -> DataFrame:
+    """Distinct edges and their reverses."""
+    return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+
+
 def hops(edges: DataFrame, start: DataFrame, most: int) -> DataFrame:
     """Nodes within `most` hops of start (column id) over directed edges (src, dst), with the least number of hops."""
     seen = start.select("id", F.lit(0).alias("hops"))

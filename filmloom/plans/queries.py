@@ -296,6 +296,15 @@ def graph_bfs4(spark, d: str) -> DataFrame:
     return graph.hops(e, spark.range(1, 2).select("id"), 4)
 
 
+@query("graph_paths4")
+def graph_paths4(spark, d: str) -> DataFrame:
+    """Parts and suppliers within 4 hops of supplier 1, links followed both ways; ids keep their kind: p:1 is not s:1."""
+    node = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
+    e = table(spark, d, "lineitem").select(node("s", "l_suppkey").alias("src"), node("p", "l_partkey").alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    start = table(spark, d, "supplier").where("s_suppkey = 1").select(node("s", "s_suppkey").alias("id"))
+    return graph.hops(graph.both_ways(e), start, 4)
+
+
 @query("identity_map", "SELECT lower(n_name) AS name, count(*) AS n, min(s_suppkey) AS first_supplier, count(DISTINCT s_acctbal > 0) AS n_signs FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY lower(n_name)")
 def identity_map(spark, d: str) -> DataFrame:
     both = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
