@@ -22,6 +22,35 @@ def topk_one(rows: DataFrame, query: DataFrame, k: int) -> DataFrame:
     return scored.orderBy(F.desc("score"), "vec_id").limit(k)
 
 
+def scores_batch(rows: DataFrame, queries: DataFrame, same_label: bool = False) -> DataFrame:
+    """query_id, vec_id, label, sim: the inner product, to 4 places, of every query with every row, itself among them.
+
+    Both sides are cut into blocks by their number of rows; a pair of blocks is one matrix product. With same_label, only
+    rows of the query's label.
+    """
+    keys = ["_label"] if same_label else []
+
+    def packed(df: DataFrame, name: str, most: int) -> DataFrame:
+        df = df.select("vec_id", "label", doubles(F.col("embedding")).alias("e"), *[F.col("label").alias(k) for k in keys])
+        n = -(-df.count() // most) or 1
+        df = df.withColumn(f"_{name}", F.pmod(F.xxhash64("vec_id"), F.lit(n)))
+        return df.groupBy(f"_{name}", *keys).agg(F.collect_list(F.struct("vec_id", "label", "e")).alias(name))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for own, asked in zip(pdf["own"], pdf["asked"]):
+                ids, labels = np.array([r["vec_id"] for r in own]), np.array([r["label"] for r in own])
+                vectors, q_ids = np.stack([r["e"] for r in own]).T, np.array([r["vec_id"] for r in asked])
+                for at in range(0, len(asked), 64):
+                    q = q_ids[at : at + 64]
+                    sim = np.round(np.stack([r["e"] for r in asked[at : at + 64]]) @ vectors, 4)
+                    yield pd.DataFrame({"query_id": np.repeat(q, len(ids)), "vec_id": np.tile(ids, len(q)), "label": np.tile(labels, len(q)), "sim": sim.ravel()})
+
+    own, asked = packed(rows, "own", 8 * BLOCK), packed(queries, "asked", BLOCK)
+    both = own.join(asked, keys) if keys else own.crossJoin(asked)
+    return both.select("own", "asked").mapInPandas(run, "query_id long, vec_id long, label int, sim double")
+
+
 def topk_batch(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, vec_id, label, score, rank of each query's k best rows, itself left out.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from filmloom.functions import temporal
 from filmloom.functions.vectors import dot, doubles
 from filmloom.operators import search, timeline
-from filmloom.plans.queries import _D_E, _D_EV, _D_SC, events, scenes
+from filmloom.plans.queries import _D_E, _D_EV, _D_SC, events, graph_edges_distinct, scenes
 from filmloom.plans.registry import query
 from filmloom.session import table
 
@@ -73,3 +73,69 @@ def greedy_chunks(spark, d: str) -> DataFrame:
     """Chunks of at most six hours of each user's events, each event taken as a minute long."""
     ev = events(spark, d).withColumn("e", F.col("t") + 60)
     return timeline.greedy_chunks(ev, ["user_id"], "t", "e", 6 * 3600.0)
+
+
+_D_SIM = f"{_D_E}, s AS (SELECT q.vec_id AS query_id, q.label AS query_label, e.vec_id, e.label, round(list_inner_product(e.v, q.v), 4) AS sim FROM e JOIN e q ON q.vec_id % 100 = 0)"
+
+
+def _sims(spark, d: str, same_label: bool = False) -> DataFrame:
+    """Every hundredth row as a query against all rows."""
+    rows = table(spark, d, "embeddings")
+    return search.scores_batch(rows, rows.where("vec_id % 100 = 0"), same_label)
+
+
+@query("vector_topk_filtered_batch", f"WITH {_D_SIM} SELECT query_id, vec_id, label, sim AS score FROM s WHERE vec_id <> query_id AND label = query_label QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) <= 10")
+def vector_topk_filtered_batch(spark, d: str) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id"))
+    near = _sims(spark, d, same_label=True).where("vec_id <> query_id").withColumn("rank", rank).where("rank <= 10")
+    return near.select("query_id", "vec_id", "label", F.col("sim").alias("score"))
+
+
+@query("hybrid_window_search_batch", f"WITH {_D_SIM} SELECT query_id, label, vec_id, sim, round(0.6 * sim + 0.4 * avg(sim) OVER (PARTITION BY query_id, label ORDER BY vec_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 3) AS score FROM s")
+def hybrid_window_search_batch(spark, d: str) -> DataFrame:
+    around = Window.partitionBy("query_id", "label").orderBy("vec_id").rowsBetween(-3, 3)
+    return _sims(spark, d).withColumn("score", F.round(0.6 * F.col("sim") + 0.4 * F.avg("sim").over(around), 3))
+
+
+@query("softmax_relevance_batch", f"WITH {_D_SIM}, x AS (SELECT query_id, label, vec_id, exp(sim / 0.5) AS x FROM s) SELECT query_id, label, vec_id, round(x / (sum(x) OVER (PARTITION BY query_id, label) + 1e-8), 5) AS p FROM x")
+def softmax_relevance_batch(spark, d: str) -> DataFrame:
+    x = _sims(spark, d).withColumn("x", F.exp(F.col("sim") / 0.5))
+    total = x.groupBy("query_id", "label").agg(F.sum("x").alias("total"))
+    return x.join(total, ["query_id", "label"]).select("query_id", "label", "vec_id", F.round(F.col("x") / (F.col("total") + 1e-8), 5).alias("p"))
+
+
+@query("hierarchical_search_batch", f"WITH {_D_SIM}, g AS (SELECT query_id, label, round(avg(sim), 4) AS scene FROM s GROUP BY query_id, label QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(avg(sim), 4) DESC, label) <= 3) SELECT query_id, label, vec_id, sim, scene, round(0.7 * sim + 0.3 * scene, 6) AS score FROM s JOIN g USING (query_id, label)")
+def hierarchical_search_batch(spark, d: str) -> DataFrame:
+    """Frames of each query's three best scenes."""
+    sim = _sims(spark, d)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("scene"), "label"))
+    best = sim.groupBy("query_id", "label").agg(F.round(F.avg("sim"), 4).alias("scene")).withColumn("rank", rank).where("rank <= 3").drop("rank")
+    return sim.join(best, ["query_id", "label"]).withColumn("score", F.round(0.7 * F.col("sim") + 0.3 * F.col("scene"), 6))
+
+
+@query("lexical_bonus_rank_batch", "WITH q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS q FROM benchmark WHERE item_id % 100 = 0), s AS (SELECT item_id, doc_id, source, coalesce(len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), q)) / nullif(len(q), 0), 0) + CASE WHEN source = (SELECT min(source) FROM documents) THEN 0.05 ELSE 0 END AS x FROM documents, q) SELECT item_id, doc_id, source, round(x, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(x, 6) DESC, doc_id) <= 20")
+def lexical_bonus_rank_batch(spark, d: str) -> DataFrame:
+    """For every hundredth benchmark item the 20 documents that hold most of its words, with a bonus for the preferred source."""
+    docs = table(spark, d, "documents")
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), 1))
+    asked = table(spark, d, "benchmark").where("item_id % 100 = 0").select("item_id", words("text").alias("q"))
+    asked = asked.crossJoin(docs.agg(F.min("source").alias("preferred")))
+    share = F.coalesce(F.try_divide(F.size(F.array_intersect("words", "q")), F.size("q")), F.lit(0.0))
+    score = share + F.when(F.col("source") == F.col("preferred"), 0.05).otherwise(0.0)
+    scored = docs.select("doc_id", "source", words("text").alias("words")).crossJoin(F.broadcast(asked)).select("item_id", "doc_id", "source", F.round(score, 6).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
+    return scored.withColumn("rank", rank).where("rank <= 20").drop("rank")
+
+
+@query("graph_coappearance_batch", "WITH e AS (SELECT DISTINCT l_orderkey AS s, l_partkey AS c FROM lineitem) SELECT a.c AS character, b.c AS other, count(*) AS n FROM e a JOIN e b ON a.s = b.s AND a.c <> b.c WHERE a.c % 100 = 0 GROUP BY ALL")
+def graph_coappearance_batch(spark, d: str) -> DataFrame:
+    e = graph_edges_distinct(spark, d)
+    own = e.where("dst % 100 = 0").select("src", F.col("dst").alias("character"))
+    return e.join(own, "src").where("dst <> character").groupBy("character", F.col("dst").alias("other")).agg(F.count("*").alias("n"))
+
+
+@query("graph_timeline_batch", "SELECT DISTINCT l_partkey AS character, o_orderkey AS scene, strftime(o_orderdate, '%Y-%m-%d') AS day FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_partkey % 100 = 0")
+def graph_timeline_batch(spark, d: str) -> DataFrame:
+    e = graph_edges_distinct(spark, d).where("dst % 100 = 0")
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    return e.join(o, F.col("src") == F.col("o_orderkey")).select(F.col("dst").alias("character"), F.col("src").alias("scene"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
