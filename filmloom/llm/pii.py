@@ -2,10 +2,13 @@
 
 Validated values are replaced by others of the same format, by a permutation that a key fixes: equal values get equal
 pseudonyms in all documents, different ones different pseudonyms, and whoever has the key can go back.
-- Card numbers (13 to 19 digits whose Luhn check holds): all digits but the last are permuted, the last is their check digit.
-- Phone numbers (+country code, 10 digits) and social security numbers (3-2-4 digits): the digits are permuted in place.
+- Card numbers (13 to 19 digits whose Luhn check holds, in any groups; next to other numbers, in groups of 4 or more but for
+  the last): all digits but the last are permuted, the last is their check digit.
+- Phone numbers (+country code and 8 to 15 digits in all, or 3-3-4 digits with brackets, hyphens or dots): the digits after
+  the country code are permuted in place; those of social security numbers (3-2-4 digits) all are.
 - IPv4 addresses (parts up to 255): permuted among the 2^32 addresses.
-- Dates (ISO or day/month/year, valid, from 1900-01-01 to 2099-08-03): permuted among those 72,900 days.
+- Dates (ISO, also before a time, or day/month/year, valid, from 1900-01-01 to 2099-08-03): permuted among those 72,900 days.
+  Month/day/year is read where day/month/year is no date, and permuted among the days that can be written so.
 Values without a numeric format get a keyed digest of the same form: e-mail addresses (name and domain replaced) and
 secrets of 32 or more hex digits (same length).
 
@@ -25,15 +28,23 @@ from ._common import read_table
 ROUNDS = 10
 #: Setting that names the key; the default is for tests and public data only.
 KEY_CONF, DEFAULT_KEY = "spark.filmloom.pii.key", "not-a-secret"
-FIRST_DAY, SIDE = "1900-01-01", 270
+FIRST_DAY, SIDE, WALK = "1900-01-01", 270, 64
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-SECRET = r"(?<![A-Za-z0-9])[0-9a-f]{32,}(?![A-Za-z0-9])"
-PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
+SECRET = r"(?<![A-Za-z0-9])[0-9a-fA-F]{32,}(?![A-Za-z0-9])"
+_EIGHT_TO_15 = r"[ .()-]{0,2}\d" * 8 + r"(?:[ .()-]{0,2}\d)?" * 7
+# With a country code in groups of 3-3-4 or others, then national.
+PHONE = (
+    r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
+    rf"|(?<![\w+])\+\d{{1,3}}(?:[ .-]?\(?\d{{1,4}}\)?){{2,5}}(?<=\+{_EIGHT_TO_15}\)?)(?!\d|[./-]\d)"
+    r"|(?<![\w+.(-])(?:1[ .-])?(?:\(\d{3}\)[ .-]?|\d{3}[.-])\d{3}[ .-]\d{4}(?![\w-]|\.\d)"
+)
+COUNTRY = r"^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
-DATE = r"(?<![\w/-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})(?![\w/-])"
+DATE = r"(?<![\w/-])(?:\d{4}-\d{1,2}-\d{1,2}(?=T\d|(?![\w/-]))|\d{1,2}/\d{1,2}/\d{4}(?![\w/-]))"
 IP = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"
-CARD = r"(?<![\w])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?![\w])"
+# A run of 13 or more digits with one kind of separator, which may hold cards and other numbers, or a card with two kinds.
+CARD = r"(?<![\w])(?:\d(?: ?\d){12,}(?![\w]|[./-]\d)|\d(?:-?\d){12,}(?![\w/]|\.\d)|\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?![\w]))"
 KINDS = (("email", EMAIL), ("secret", SECRET), ("phone", PHONE), ("ssn", SSN), ("date", DATE), ("ip", IP), ("card", CARD))
 ANY = "|".join(p for _, p in KINDS)
 
@@ -92,19 +103,56 @@ def refill(form: Column, digits: Column) -> Column:
     return F.aggregate(F.split(form, ""), start, step, lambda acc: acc["o"])
 
 
+def cards(x: Column, key: Column) -> Column:
+    """A struct (o, n): x, a match of CARD, with its card numbers replaced, the first and longest ones first, and how many."""
+    groups = F.split(x, "(?<=[ -])")
+
+    def body(g: Column) -> Column:
+        def part(i: Column, j: Column) -> Column:
+            return F.concat_ws("", F.slice(g, i + 1, j - i))
+
+        def is_card(i: Column, j: Column) -> Column:
+            digits = _digits(part(i, j))
+            usual = (i == 0) & (j == F.size(g)) | F.forall(F.slice(g, i + 1, j - i - 1), lambda c: F.length(_digits(c)) >= 4)
+            return F.length(digits).between(13, 19) & usual & (luhn_sum(digits, False) % 10 == 0)
+
+        def put(form: Column) -> Column:
+            digits = _digits(form)
+            out = permute_digits(key, F.substr(digits, F.lit(1), F.length(digits) - 1), "card")
+            return _bind(out, lambda b: refill(form, F.concat(b, ((10 - luhn_sum(b, True) % 10) % 10).cast("string"))))
+
+        def step(acc: Column, i: Column) -> Column:
+            ends = F.filter(F.sequence(F.least(i + 19, F.size(g)), i + 1), lambda j: is_card(i, j))
+
+            def go(e: Column) -> Column:
+                end = F.get(e, F.lit(0))
+                found = F.struct(F.concat(acc["o"], _bind(part(i, end), put)).alias("o"), (acc["n"] + 1).alias("n"), end.alias("at"))
+                return F.when(end.isNotNull(), found).otherwise(F.struct(F.concat(acc["o"], F.get(g, i)).alias("o"), acc["n"].alias("n"), (i + 1).alias("at")))
+
+            return F.when(i < acc["at"], acc).otherwise(_bind(ends, go))
+
+        start = F.struct(F.lit("").alias("o"), F.lit(0).alias("n"), F.lit(0).alias("at"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(g) - 1), start, step)
+
+    return _bind(groups, body)
+
+
 def _digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
 
 def pseudonym(x: Column, key: Column) -> Column:
-    """A struct (kind, value) for a match of ANY: the kind that holds after validation, or null, and its pseudonym, or x itself."""
+    """A struct (kind, value, n) for a match of ANY: the kind that holds after validation, or null, its pseudonym, or x itself, and how many."""
     is_ = lambda p: F.regexp_like(x, F.lit(f"^(?:{p})$"))
     digits = _digits(x)
-    digest = lambda kind, n: F.substring(F.sha2(F.concat_ws("|", key, F.lit(kind), x), 512), 1, n)
-    email = F.concat(digest("email", 12), F.lit("@"), F.substring(F.sha2(F.concat_ws("|", key, F.lit("domain"), F.substring_index(x, "@", -1)), 256), 1, 8), F.lit(".invalid"))
-    secret = F.substr(F.repeat(digest("secret", 128), F.lit(4)), F.lit(1), F.length(x))
-    last10 = F.right(digits, F.lit(10))
-    phone = refill(x, F.concat(F.substr(digits, F.lit(1), F.length(digits) - 10), permute_digits(key, last10, "phone")))
+    digest = lambda kind, v, n: F.substring(F.sha2(F.concat_ws("|", key, F.lit(kind), v), 512), 1, n)
+    email = F.concat(digest("email", x, 12), F.lit("@"), F.substring(F.sha2(F.concat_ws("|", key, F.lit("domain"), F.substring_index(x, "@", -1)), 256), 1, 8), F.lit(".invalid"))
+    secret = F.substr(F.repeat(digest("secret", F.lower(x), 128), F.lit(4)), F.lit(1), F.length(x))
+    secret = F.when(F.regexp_like(x, F.lit("[A-F]")) & ~F.regexp_like(x, F.lit("[a-f]")), F.upper(secret)).otherwise(secret)
+    n = F.length(digits)
+    country = F.when(F.startswith(x, F.lit("+")), F.length(F.regexp_extract(digits, COUNTRY, 1))).otherwise(0)
+    keep = F.when(n <= 13, F.greatest(country, n - 10)).otherwise(country)
+    phone = _bind(keep, lambda k: refill(x, F.concat(F.substr(digits, F.lit(1), k), permute_digits(key, F.substr(digits, k + 1, n - k), "phone"))))
     ssn = refill(x, permute_digits(key, digits, "ssn"))
     octets = F.split(x, r"\.")
     octet = lambda i: F.get(octets, i).try_cast("int")
@@ -112,17 +160,24 @@ def pseudonym(x: Column, key: Column) -> Column:
     word = F.lit(65536)
     ip = _bind(feistel(key, F.lit("ip"), octet(0) * 256 + octet(1), octet(2) * 256 + octet(3), word, word), lambda s: F.concat_ws(".", *[v.cast("int").cast("string") for v in (s["a"] / 256, s["a"] % 256, s["b"] / 256, s["b"] % 256)]))
     iso = F.substring(x, 5, 1) == "-"
-    day = F.datediff(F.when(iso, F.try_to_date(x, "yyyy-MM-dd")).otherwise(F.try_to_date(x, "dd/MM/yyyy")), F.lit(FIRST_DAY).cast("date"))
+    plain = F.when(iso, F.try_to_date(x, "yyyy-M-d")).otherwise(F.try_to_date(x, "d/M/yyyy"))
+    month_first = plain.isNull()
+    day = F.datediff(F.coalesce(plain, F.try_to_date(x, "M/d/yyyy")), F.lit(FIRST_DAY).cast("date"))
     date_ok = is_(DATE) & day.between(0, SIDE * SIDE - 1)
-    moved = _bind(feistel(key, F.lit("date"), (day / SIDE).cast("int"), day % SIDE, F.lit(SIDE), F.lit(SIDE)), lambda s: F.date_add(F.lit(FIRST_DAY).cast("date"), (s["a"] * SIDE + s["b"]).cast("int")))
-    date = _bind(moved, lambda d: F.when(iso, F.date_format(d, "yyyy-MM-dd")).otherwise(F.date_format(d, "dd/MM/yyyy")))
-    card_ok = is_(CARD) & (F.length(digits).between(13, 19)) & (luhn_sum(digits, False) % 10 == 0)
-    body = permute_digits(key, F.substr(digits, F.lit(1), F.length(digits) - 1), "card")
-    card = _bind(body, lambda b: refill(x, F.concat(b, ((10 - luhn_sum(b, True) % 10) % 10).cast("string"))))
-    pick = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    as_date = lambda d: F.date_add(F.lit(FIRST_DAY).cast("date"), d.cast("int"))
+    turn = lambda d: _bind(feistel(key, F.lit("date"), (d / SIDE).cast("int"), d % SIDE, F.lit(SIDE), F.lit(SIDE)), lambda s: (s["a"] * SIDE + s["b"]).cast("int"))
+    # The first day past the 12th along the permutation: two days of three are, so WALK steps suffice.
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), turn(day), lambda d, i: F.when(F.dayofmonth(as_date(d)) > 12, d).otherwise(turn(d)))
+    moved = F.when(month_first, walk).otherwise(turn(day))
+    short = F.regexp_like(x, F.lit(r"\b\d\b"))
+    written = lambda d, long, brief: F.when(short, F.date_format(d, brief)).otherwise(F.date_format(d, long))
+    date = _bind(as_date(moved), lambda d: F.when(iso, written(d, "yyyy-MM-dd", "yyyy-M-d")).when(month_first, written(d, "MM/dd/yyyy", "M/d/yyyy")).otherwise(written(d, "dd/MM/yyyy", "d/M/yyyy")))
+    pick = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"), F.lit(1).alias("n"))
+    none = F.struct(F.lit(None).cast("string").alias("kind"), x.alias("value"), F.lit(0).alias("n"))
+    card = _bind(cards(x, key), lambda c: F.when(c["n"] > 0, F.struct(F.lit("card").alias("kind"), c["o"].alias("value"), c["n"].alias("n"))).otherwise(none))
     return (
         F.when(is_(EMAIL), pick("email", email)).when(is_(SECRET), pick("secret", secret)).when(is_(PHONE), pick("phone", phone)).when(is_(SSN), pick("ssn", ssn))
-        .when(date_ok, pick("date", date)).when(ip_ok, pick("ip", ip)).when(card_ok, pick("card", card)).otherwise(F.struct(F.lit(None).cast("string").alias("kind"), x.alias("value")))
+        .when(date_ok, pick("date", date)).when(ip_ok, pick("ip", ip)).when(is_(CARD), card).otherwise(none)
     )
 
 
@@ -142,7 +197,7 @@ def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gaps = F.split(text, ANY, -1)
     glued = F.concat_ws("", F.flatten(F.zip_with(gaps, F.col("_new"), lambda g, n: F.array(g, n["value"]))))
     out = F.when(F.size("_hits") > 0, glued).otherwise(text)
-    kinds = F.filter(F.transform("_new", lambda n: n["kind"]), lambda k: k.isNotNull())
+    kinds = F.flatten(F.transform("_new", lambda n: F.array_repeat(n["kind"], n["n"])))
     return df.select(F.col("_id").alias(id_col), out.alias("text"), F.size(kinds).cast("long").alias("n_found"), kinds.alias("found"))
 
 
