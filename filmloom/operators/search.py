@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from filmloom.functions.vectors import dot, doubles
 
-#: Queries that are multiplied with a batch of rows at a time.
-BLOCK = 512
+#: Queries that are multiplied with a batch of rows at a time, and rows of a batch.
+BLOCK, ROWS = 512, 4096
 
 
 def topk_one(rows: DataFrame, query: DataFrame, k: int) -> DataFrame:
@@ -46,24 +46,34 @@ def scores_batch(rows: DataFrame, queries: DataFrame, same_label: bool = False)
                     sim = np.round(np.stack([r["e"] for r in asked[at : at + 64]]) @ vectors, 4)
                     yield pd.DataFrame({"query_id": np.repeat(q, len(ids)), "vec_id": np.tile(ids, len(q)), "label": np.tile(labels, len(q)), "sim": sim.ravel()})
 
-    own, asked = packed(rows, "own", 8 * BLOCK), packed(queries, "asked", BLOCK)
+    own, asked = packed(rows, "own", ROWS), packed(queries, "asked", BLOCK)
     both = own.join(asked, keys) if keys else own.crossJoin(asked)
     return both.select("own", "asked").mapInPandas(run, "query_id long, vec_id long, label int, sim double")
 
 
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of each row's k best scores, of equal ones those of the smaller ids; only what reaches the k-th best is sorted."""
+    if k >= scores.shape[1]:
+        return np.lexsort([np.broadcast_to(ids, scores.shape), -scores])
+    least = np.partition(scores, -k, axis=1)[:, -k]
+    out = np.empty((len(scores), k), dtype=int)
+    for i, row in enumerate(scores):
+        near = np.flatnonzero(row >= least[i])
+        out[i] = near[np.lexsort([ids[near], -row[near]])[:k]]
+    return out
+
+
 def topk_batch(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, vec_id, label, score, rank of each query's k best rows, itself left out.
 
-    Queries are gathered into blocks of BLOCK vectors; every batch of rows meets every block once, in one matrix product
-    that gives at most k rows a query. A window over these few candidates ends it. Scores are rounded to 4 places before
-    ranking, ties go to the smaller id.
+    Queries are gathered into blocks of about BLOCK vectors, rows into batches of about ROWS, however many there are; every
+    batch meets every block once, in one matrix product that gives at most k rows a query. A window over these few
+    candidates ends it. Scores are rounded to 4 places before ranking, ties go to the smaller id.
     """
-    deal = F.pmod(F.xxhash64("q"), F.lit(16)).cast("int")
-    packed = queries.select(F.col("vec_id").alias("q"), doubles(F.col("embedding")).alias("e")).withColumn("deal", deal)
-    place = F.row_number().over(Window.partitionBy("deal").orderBy("q"))
-    packed = packed.withColumn("block", (place / BLOCK).cast("int") * 16 + F.col("deal"))
-    blocks = packed.groupBy("block").agg(F.collect_list(F.struct("q", "e")).alias("queries"))
-    data = rows.select("vec_id", "label", doubles(F.col("embedding")).alias("e")).withColumn("_part", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
+    into = lambda df, most: F.pmod(F.xxhash64("vec_id"), F.lit(-(-df.count() // most) or 1))
+    packed = queries.select("vec_id", doubles(F.col("embedding")).alias("e")).withColumn("_part", into(queries, BLOCK))
+    blocks = packed.groupBy("_part").agg(F.collect_list(F.struct(F.col("vec_id").alias("q"), "e")).alias("queries"))
+    data = rows.select("vec_id", "label", doubles(F.col("embedding")).alias("e")).withColumn("_part", into(rows, ROWS))
     data = data.groupBy("_part").agg(F.collect_list(F.struct("vec_id", "label", "e")).alias("rows"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -73,7 +83,7 @@ def topk_batch(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 q_ids = np.array([r["q"] for r in asked])
                 scores = np.round(np.stack([r["e"] for r in asked]) @ np.stack([r["e"] for r in own]).T, 4)
                 scores[q_ids[:, None] == ids[None, :]] = -np.inf
-                best = np.lexsort([np.broadcast_to(ids, scores.shape), -scores])[:, :k]
+                best = _best(scores, ids, k)
                 top = np.take_along_axis(scores, best, 1)
                 out = pd.DataFrame({"query_id": np.repeat(q_ids, best.shape[1]), "vec_id": ids[best].ravel(), "label": labels[best].ravel(), "score": top.ravel()})
                 yield out[np.isfinite(out["score"])]

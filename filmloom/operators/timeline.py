@@ -84,18 +84,27 @@ def cue_text(chunks: DataFrame, cues: DataFrame, key: str, chunk_id: str, share:
 def greedy_chunks(df: DataFrame, keys: list[str], start: str, end: str, most: float) -> DataFrame:
     """Segments of each key joined in order of start while they span at most `most` seconds: chunk, start_s, end_s, n.
 
-    Where a chunk ends depends on where it began, which no window expresses; a key's segments are one task's work.
+    Where a chunk ends depends on where it began, which no window expresses. But one always ends where the next end is
+    more than `most` after the start before, so each key is first cut there by a window, which sorts a key in one task and
+    may spill; a part without such a gap is held in one task.
     """
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
 
+    inner, ids = [start, end], [*keys, "_cut"]
+
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[list] = []
-        for s, e in pdf[[start, end]].sort_values([start, end]).itertuples(index=False):
+        for s, e in pdf[inner].sort_values(inner).itertuples(index=False):
             if out and max(out[-1][1], e) - out[-1][0] <= most:
                 out[-1][1], out[-1][2] = max(out[-1][1], e), out[-1][2] + 1
             else:
                 out.append([s, e, 1])
-        return pd.DataFrame([[*key, i, *c] for i, c in enumerate(out)], columns=[*keys, "chunk", "start_s", "end_s", "n"])
+        return pd.DataFrame([[*key, i, *c] for i, c in enumerate(out)], columns=[*ids, "_i", "start_s", "end_s", "n"])
 
     rows = df.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select(*keys, F.col(start).cast("double"), F.col(end).cast("double"))
-    return rows.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", chunk int, start_s double, end_s double, n long")
+    w = Window.partitionBy(*keys).orderBy(start, end)
+    gap = F.coalesce((F.col(end) - F.lag(start).over(w) > most).cast("long"), F.lit(0).cast("long"))
+    rows = rows.withColumn("_gap", gap).withColumn("_cut", F.sum("_gap").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_gap")
+    found = rows.groupBy(*ids).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", _cut long, _i int, start_s double, end_s double, n long")
+    chunk = F.row_number().over(Window.partitionBy(*keys).orderBy("_cut", "_i")) - 1
+    return found.withColumn("chunk", chunk.cast("int")).select(*keys, "chunk", "start_s", "end_s", "n")

@@ -102,8 +102,9 @@ def softmax_relevance(spark, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings")
     q = rows.where("vec_id = 0").select(doubles(F.col("embedding")).alias("q")).limit(1)
     x = rows.join(F.broadcast(q)).select("label", "vec_id", F.exp(F.round(dot(doubles(F.col("embedding")), F.col("q")), 4) / 0.5).alias("x"))
-    total = F.sum("x").over(Window.partitionBy("label"))
-    return x.select("label", "vec_id", F.round(F.col("x") / (total + 1e-8), 5).alias("p"))
+    total = x.groupBy("label").agg(F.sum("x").alias("total"))
+    both = x.join(total.withColumnRenamed("label", "_label"), F.col("label").eqNullSafe(F.col("_label")))
+    return both.select("label", "vec_id", F.round(F.col("x") / (F.col("total") + 1e-8), 5).alias("p"))
 
 
 @query("interval_join_cues", f"WITH {_D_EV}, {_D_SC}, c AS (SELECT event_id, user_id, t AS c0, t + 30 AS c1 FROM ev) SELECT c.event_id, sc.user_id, sc.day FROM c JOIN sc ON c.user_id = sc.user_id AND c.c1 >= sc.s0 AND c.c0 <= sc.s1")
