@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -85,3 +86,69 @@ def without_markup(html: Column) -> Column:
     x = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<script.*?</script>|<style.*?</style>", " ")
     x = F.replace(F.regexp_replace(x, r"(?s)<[^>]*>", " "), F.lit("&amp;"), F.lit("&"))
     return F.trim(F.regexp_replace(x, r"\s+", " "))
+
+
+# Labels with their words; the first label of which any word is in the text holds.
+ACTIVITY = {
+    "situation": ("activity", (
+        ("physical_activity", "walking|running|jogging|exercising"), ("cooking", "cooking|baking|frying|grilling"), ("music_performance", "playing|guitar|piano|drums|music"),
+        ("conversation", "talking|speaking|conversation"), ("dancing", "dancing|dance"), ("grooming", "grooming|shaving|brushing|washing"),
+        ("repairing", "assembling|repairing|fixing"), ("child_play", "children|playing|kids"), ("eating", "eating|drinking|having meal"), ("pet_activity", "dog|cat|pet|animal"),
+    )),
+    "setting": ("indoor", (
+        ("indoor_gym", "gym|workout|exercise"), ("indoor_kitchen", "kitchen|cooking|baking"), ("outdoor", "outdoor|park|street|garden|yard"), ("outdoor_beach", "beach|ocean|water"),
+        ("indoor_bathroom", "bathroom|shower|toilet"), ("indoor_bedroom", "bedroom|sleeping|lying"), ("outdoor_vehicle", "car|driving|vehicle"),
+    )),
+    "emotion": ("neutral", (
+        ("positive_happy", "happy|laughing|joy|celebrating"), ("negative_sad", "sad|crying|grief"), ("negative_angry", "angry|fighting|arguing"),
+        ("negative_fearful", "scary|fear|running away"), ("positive_romantic", "romantic|kissing|couple"), ("positive_funny", "funny|comedy|joking"),
+    )),
+    "narrative": ("scene", (("introduction", "intro|beginning|starting"), ("resolution", "finish|end|completing"))),
+    "music": ("", (
+        ("epic_orchestral", "[epic music]"), ("sad_piano", "[sad music]"), ("suspense_tension", "[tense music]"), ("romantic_soft", "[romantic music]"),
+        ("action_drums", "[action music]"), ("comedic_light", "[comedic music]"), ("horror_dissonant", "[horror music]"), ("background_music", "[music]"),
+    )),
+}
+# All labels hold of which any word is in the text.
+SEVERAL = {
+    "actions": ("interacting", tuple((v, v) for v in "walking running jumping dancing cooking eating drinking talking laughing crying singing playing working reading writing driving swimming fighting grooming exercising".split())),
+    "audio": ("speech", (
+        ("background_music", "[music]|[song]"), ("screaming", "[scream]|[shout]"), ("explosion", "[gun]|[shoot]"), ("footsteps", "[footstep]|[step]"),
+        ("ambient_nature", "[wind]|[rain]"), ("vehicle_engine", "[car]|[engine]"), ("applause", "[applause]"), ("crowd_noise", "[crowd]"),
+    )),
+}
+NOISE = ("transciprokey", "advanced effects", "top 10", "subtitle", "credits", "the end")
+
+
+def _any(low: Column, words: str) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words.split("|")])
+
+
+def label_of(low: Column, kind: str) -> Column:
+    """The label of ACTIVITY's kind for a text in lower case."""
+    default, labels = ACTIVITY[kind]
+    return F.coalesce(*[F.when(_any(low, words), label) for label, words in labels], F.lit(default))
+
+
+def labels_of(low: Column, kind: str) -> Column:
+    """The labels of SEVERAL's kind for a text in lower case; no audio at all in an empty one."""
+    default, labels = SEVERAL[kind]
+    found = F.array_compact(F.array(*[F.when(_any(low, words), label) for label, words in labels]))
+    out = F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(default)))
+    return F.when(low == "", F.array().cast("array<string>")).otherwise(out) if kind == "audio" else out
+
+
+def dialogue_score(text: Column) -> Column:
+    """0.5, up to 0.25 for unique words, up to 0.2 for letters, 0.1 from 12 words, less 0.25 for thanks and 0.2 a mark of noise, within 0 and 1."""
+
+    def score(t: Column) -> Column:
+        low = F.lower(t)
+        ws = F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+        unique = F.try_divide(F.size(F.array_distinct(ws)).cast("double"), F.size(ws).cast("double"))
+        letters = F.try_divide(F.length(F.regexp_replace(t, r"[^\p{L}]", "")).cast("double"), F.length(t).cast("double"))
+        noise = sum((F.contains(low, F.lit(w)).cast("int") for w in NOISE), F.lit(0))
+        thanks = F.size(F.regexp_extract_all(low, F.lit("thank you"), F.lit(0))) >= 3
+        out = F.lit(0.5) + F.least(F.lit(0.25), 0.35 * unique) + F.least(F.lit(0.2), 0.2 * letters) + F.when(F.size(ws) >= 12, 0.1).otherwise(0.0) - F.when(thanks, 0.25).otherwise(0.0) - 0.2 * noise
+        return F.when(F.size(ws) == 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), out)))
+
+    return _bind(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " ")), score)

@@ -223,6 +223,19 @@ def dialogue_quality(spark, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", F.round(T.dialogue_quality(F.col("text")), 4).alias("quality"))
 
 
+@query("keyword_labels")
+def keyword_labels(spark, d: str) -> DataFrame:
+    """The reference's labels of each document; keyword_classify knows three classes of its own."""
+    docs = table(spark, d, "documents").select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    return docs.select("doc_id", *[T.label_of(F.col("low"), k).alias(k) for k in T.ACTIVITY], *[T.labels_of(F.col("low"), k).alias(k) for k in T.SEVERAL])
+
+
+@query("dialogue_scores")
+def dialogue_scores(spark, d: str) -> DataFrame:
+    """The reference's score of each turn, with marks of noise; dialogue_quality has none."""
+    return table(spark, d, "conversations").select("conv_id", "turn", F.round(T.dialogue_score(F.col("text")), 4).alias("quality"))
+
+
 @query("causal_triples", r"WITH m AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+\s+(?:the|of)\s+\p{L}+')) AS triple FROM documents) SELECT triple, count(*) AS n, min(doc_id) AS first_doc FROM m GROUP BY triple")
 def causal_triples(spark, d: str) -> DataFrame:
     hits = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+\s+(?:the|of)\s+\p{L}+"), F.lit(0))).alias("triple"))

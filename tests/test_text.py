@@ -50,3 +50,25 @@ def test_causal_statements(spark, tmp_path):
 def test_causal_statements_in_long_lines(spark):
     text = "word " * 40_000 + "which is all"  # quadratic if each place is tried
     assert spark.createDataFrame([(text,)], "text string").select(F.size(T.causal_triples(F.col("text")))).first()[0] == 0
+
+
+def test_dialogue_scores(spark, tmp_path):
+    texts = ["Subtitle credits by us", "thank you Thank you thank you", "one two three", "a b c d e f g h i j k l", " ... ", None]
+    spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["turn"]: r["quality"] for r in QUERIES["dialogue_scores"](spark, str(tmp_path)).collect()}
+    want = [0.35 + 0.2 * 19 / 22, 0.5 + 0.35 / 3 + 0.2 * 24 / 29 - 0.25, 0.75 + 0.2 * 11 / 13, 0.85 + 0.2 * 12 / 23, 0.0, 0.0]
+    assert got == {i: round(w, 4) for i, w in enumerate(want)}
+
+
+def test_keyword_labels(spark, tmp_path):
+    texts = ["Kids repairing a car in the park, joking [Music] [STEP]", "A dog on the beach, crying at the end", "[sad music]", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: tuple(r)[1:] for r in QUERIES["keyword_labels"](spark, str(tmp_path)).collect()}
+    none = ("activity", "indoor", "neutral", "scene", "", ["interacting"], [])
+    assert got == {
+        0: ("music_performance", "outdoor", "positive_funny", "scene", "background_music", ["interacting"], ["background_music", "footsteps"]),
+        1: ("pet_activity", "outdoor_beach", "negative_sad", "resolution", "", ["crying"], ["speech"]),
+        2: ("music_performance", "indoor", "negative_sad", "scene", "sad_piano", ["interacting"], ["speech"]),
+        3: none,
+        4: none,
+    }
