@@ -17,6 +17,8 @@ WS_RE = r"[\x20\x09-\x0D]+"
 WORD_RE = r"[^\x20\x09-\x0D]+"
 #: Drops a query's shuffle files as soon as it has ended.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Scratch tables that are still there.
+_live: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,23 +45,64 @@ def _write(spark: SparkSession, label: str, write) -> str:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    _live.add(path)
     return path
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: later steps start from files that outlive executors."""
+def materialise(df: DataFrame, label: str, free: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: later steps start from files that outlive executors.
+
+    free: tables from earlier calls that nothing needs any more; their files go once df is written.
+    """
     path = _write(df.sparkSession, label, df.write.parquet)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._filmloom_path = path
+    drop(*free)
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of tables that materialise() returned. Only when no later step reads them."""
+    for t in tables:
+        drop_path(t.sparkSession, t._filmloom_path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _live.discard(path)
+
+
+@contextmanager
+def scratch_made() -> Iterator[set[str]]:
+    """The paths of scratch tables that are made within and not dropped: at its end, what a result may still read."""
+    before, out = set(_live), set()
+    yield out
+    out |= _live - before
+
+
+def parts_for(docs: DataFrame, text_col: str, each: int = 32 << 20) -> int:
+    """So many partitions that each gets about `each` bytes of text, and at least the session's number of them."""
+    size = docs.agg(F.sum(F.octet_length(F.col(quoted(text_col))))).first()[0] or 0
+    return max(shuffle_partitions(docs.sparkSession), -(-size // each))
+
+
+def quoted(name: str) -> str:
+    """A column's name for F.col, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 @contextmanager
-def bucketed(df: DataFrame, key: str, label: str) -> Iterator[DataFrame]:
-    """Like materialise, in buckets of key: joins on key don't shuffle this side. For keys without hot values."""
+def bucketed(df: DataFrame, key: str, label: str, buckets: int) -> Iterator[DataFrame]:
+    """Like materialise, in buckets of key: joins on key don't shuffle this side. For keys without hot values; its files go at the end."""
     spark, name = df.sparkSession, f"filmloom_{label}_{uuid.uuid4().hex}"
-    writer = df.write.format("parquet").bucketBy(shuffle_partitions(spark), key).sortBy(key)
-    _write(spark, label, lambda path: writer.option("path", path).saveAsTable(name))
+    writer = df.write.format("parquet").bucketBy(buckets, key).sortBy(key)
+    path = _write(spark, label, lambda path: writer.option("path", path).saveAsTable(name))
     try:
-        yield spark.table(name)
+        out = spark.table(name)
+        out._filmloom_path = path
+        yield out
+        drop(out)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 

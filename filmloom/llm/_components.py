@@ -13,7 +13,7 @@ def _digest(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges: columns a, b (long). Returns node, root: the smallest node that links lead to, for all nodes but roots.
+    """edges: columns a, b (long). A table a, b again: b is the smallest node that links lead to from a, for all nodes but roots.
 
     Minima are aggregated before they are shuffled, and the join of a node's edges to its minimum starts from tables, so
     that AQE can split a node with very many edges.
@@ -22,11 +22,11 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         now = _digest(cur)
         if now == before or not now[0]:
-            return cur.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            return cur
         before = now
         both = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "low")
-        large = materialise(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        large = materialise(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large", (low, cur))
         low = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        cur = materialise(small.where("a <> b").distinct(), "small")
+        cur = materialise(small.where("a <> b").distinct(), "small", (low, large))

@@ -5,20 +5,21 @@ documents is at most the sum over groups of the smaller count, and at most that
 documents in the box. Two documents that link differ in at most tau shingles, tau = (100 - p) / (100 + p) of their
 sizes' sum.
 
-1. Top of the tree. Documents of one size class have their groups dealt into more than tau ranges of coordinates. Two
-   that link agree in all counts of at least one range, so they fall into a box that pins the range to one value: each
-   document goes to the boxes of its ranges (and of the next class, if a partner may be there). Boxes travel as packed
-   bytes by shard; boxes of one document are dropped at once. Documents with equal sets are one point throughout.
+1. Top of the tree. Documents of one size class have their groups dealt into m > tau ranges of coordinates; a box pins a
+   range to one value. Two that link agree in m - tau ranges at least, so each document needs only its tau + 1 rarest
+   boxes (and those of the next class, if a partner may be there): of any two that link, one box is still common. Boxes
+   that many documents fall into, through passages that they share, go first. Boxes travel as packed bytes by shard;
+   boxes of one document are dropped at once. Documents with equal sets are one point throughout.
 2. Each document is first verified against one partner, the smallest id of the box it shares most often; components of
    these links follow. That settles large groups of near copies in linear time.
-3. In boxes that still hold several components, an R-tree over count vectors of GROUPS coordinates bounds the overlap of
-   documents of different components; the pairs that survive are verified on the exact sets. Rounds allow a document
-   1, 16 and then all partners in a box, and pairs that meanwhile share a component drop out; the last round
-   has no cap, so no link between components is lost. Large boxes are cut into blocks, each pair of blocks a task's unit.
+3. In boxes that still hold several components, R-trees over count vectors are joined: nodes whose corners rule out any
+   link are left, then fine count vectors bound the overlap of documents of different components. The first two rounds
+   take, of the pairs that survive, a spanning forest of each unit's components (at most a pair a row): first within
+   blocks of a box, then across blocks too. Sets decide. The last round takes all pairs that survive and were not
+   rejected before, each in the smallest of the boxes that both are in, so no link between components is lost.
 
-Sets, links and boxes stay in tables; the driver sees counts only.
+Pairs meet their count vectors before any set is fetched. Sets, links and boxes stay in tables; the driver sees counts only.
 """
-
 from __future__ import annotations
 
 import bisect
@@ -27,20 +28,23 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import bucketed, materialise, read_table, shuffle_partitions
+from ._common import bucketed, drop, materialise, parts_for, quoted, read_table
 from ._components import components
 from ._hashing import U, mix, shard_rows, text_batches, word_hashes
 
 GROUPS = 64
 #: A count vector has at most so many coordinates, which bounds the memory of a block; the bound is looser beyond.
-FINEST = 4096
+FINEST = 1 << 15
 #: Rows of a box that are searched together.
 BLOCK_ROWS = 1024
-ROUNDS = (1, 16, None)
 GROWTH = 1.5
+#: Ranges for each shingle that may differ. More of them let a document leave out more of its common boxes.
+SPARE = 1.25
+#: Size classes fit into a box key's lowest bits.
+CLASS_BITS = 6
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB], U)
 
 
@@ -76,22 +80,24 @@ def size_classes(percent: int) -> tuple[list[int], list[int], list[int], list[in
     lo, hi = [1], [1]
     while tau(hi[0] + 1) == 0:
         hi[0] += 1
-    while hi[-1] < 1 << 40:
+    while hi[-1] < 1 << 31:  # a text has less than 2^31 bytes
         lo.append(hi[-1] + 1)
         hi.append(max(lo[-1], int(lo[-1] * GROWTH)))
     taus = [tau(h) for h in hi]
-    return lo, hi, taus, [t + 2 + t // 16 for t in taus]
+    return lo, hi, taus, [max(t + 2, int(t * SPARE) + 2) for t in taus]
 
 
-def boxes(s: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of the boxes of a set.
+def boxes(s: np.ndarray, percent: int) -> tuple[np.ndarray, list[int], int]:
+    """Keys of the boxes of a set, how many of them it can do without in each of its classes, and the first class.
 
-    At least m - tau of the m ranges agree for two that link. A range without shingles gets a key only if the set has so
-    many of them that two sets could agree in nothing else.
+    At least m - tau of the m ranges agree for two that link, so tau + 1 keys will do. A range without shingles gets a
+    key only if the set has so many of them that two sets could agree in nothing else; all keys are needed then.
     """
     lo, hi, taus, ranges = size_classes(percent)
-    out, c = [], bisect.bisect_left(hi, len(s))
-    while c < len(lo) and (c == bisect.bisect_left(hi, len(s)) or 100 * len(s) >= percent * lo[c]):
+    own_class = c = bisect.bisect_left(hi, len(s))
+    out, spare = [], []
+    while c < len(lo) and (c == own_class or 100 * len(s) >= percent * lo[c]):
+        spare.append(0)
         if taus[c]:
             m = ranges[c]
             with np.errstate(over="ignore"):
@@ -100,52 +106,69 @@ def boxes(s: np.ndarray, percent: int) -> np.ndarray:
                 order = np.argsort(at, kind="stable")
                 used, first = np.unique(at[order], return_index=True)
                 value = np.add.reduceat(mix(own ^ _K[1])[order], first)
-                if m - len(used) >= m - taus[c]:
+                if len(used) <= taus[c]:
                     empty = np.setdiff1d(np.arange(m, dtype=U), used)
                     used, value = np.concatenate([used, empty]), np.concatenate([value, np.zeros(len(empty), U)])
-                out.append(mix(value + (used * U(1 << 20) + U(c)) * _K[2]))
+                else:
+                    spare[-1] = len(used) - taus[c] - 1
+                key = mix(value + (used * U(1 << 20) + U(c)) * _K[2])
+                out.append(((key >> U(CLASS_BITS)) << U(CLASS_BITS)) | U(c))
         c += 1
-    return np.concatenate(out) if out else np.zeros(0, U)
-
+    return np.concatenate(out) if out else np.zeros(0, U), spare, own_class
 
-def count_vector(s: np.ndarray) -> bytes:
-    """A byte with the width of a count, then the counts of GROUPS to FINEST groups, a power of two about the set's size."""
-    groups = min(max(GROUPS, 1 << len(s).bit_length() - 1), FINEST)
-    counts = np.bincount((s >> U(7)).astype(np.int64) % groups, minlength=groups)
-    width = 1 if counts.max() < 256 else 4
-    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
 
+def count_vector(s: np.ndarray) -> tuple[bytes, bytes]:
+    """A point: counts of GROUPS groups, and the fine counts of 4 to 8 times as many groups as shingles, up to FINEST.
 
-def fold(counts: np.ndarray, groups: int) -> np.ndarray:
-    """Rows of counts, as counts of fewer groups."""
-    return counts if counts.shape[1] == groups else counts.reshape(len(counts), -1, groups).sum(1)
+    Fine counts are two rows of bits: groups with one shingle or more, groups with two or more.
+    """
+    groups = min(max(GROUPS, 4 << (len(s) - 1).bit_length()), FINEST)
+    at = (s >> U(7)).astype(np.int64) % groups
+    counts = np.bincount(at, minlength=groups)
+    coarse = counts.reshape(-1, GROUPS).sum(0).astype("<u4")
+    return coarse.tobytes(), np.packbits(counts > 0).tobytes() + np.packbits(counts > 1).tobytes()
 
 
 class CountVectors:
-    """The count vectors of a block by their number of groups."""
-
-    def __init__(self, vectors: list[bytes]):
-        rows = [np.frombuffer(v, f"<u{v[0]}", offset=1) for v in vectors]
-        self.groups = np.array([len(r) for r in rows])
-        self.at, self.rows = np.zeros(len(rows), np.int64), {}
-        for g in np.unique(self.groups).tolist():
-            own = np.flatnonzero(self.groups == g)
-            self.at[own] = np.arange(len(own))
-            self.rows[g] = np.stack([rows[i] for i in own])
+    """The fine count vectors of a block, by their number of groups."""
 
-    def coarse(self) -> np.ndarray:
-        out = np.empty((len(self.groups), GROUPS), np.int64)
-        for g, rows in self.rows.items():
-            out[self.groups == g] = fold(rows, GROUPS)
-        return out
+    #: Words of bits that are compared at a time.
+    CHUNK = 1 << 20
 
-    def bounds(self, i: int, others: np.ndarray) -> np.ndarray:
-        """The most that the sets of others can share with the set of i."""
-        out, mine = np.zeros(len(others), np.int64), int(self.groups[i])
-        point = self.rows[mine][self.at[i]][None]
-        for g in np.unique(self.groups[others]).tolist():
-            same, m = self.groups[others] == g, min(g, mine)
-            out[same] = np.minimum(fold(self.rows[g][self.at[others[same]]], m), fold(point, m)).sum(1)
+    def __init__(self, vectors: list[bytes], sizes: np.ndarray):
+        self.sizes, self.words = sizes, np.array([len(v) // 16 for v in vectors])
+        self.at, self.rows, self.rest = np.zeros(len(vectors), np.int64), {}, {}
+        for w in np.unique(self.words).tolist():
+            own = np.flatnonzero(self.words == w)
+            self.at[own] = np.arange(len(own))
+            self._add(w, w, np.frombuffer(b"".join(vectors[i] for i in own), U).reshape(len(own), 2, w), sizes[own])
+
+    def _add(self, words: int, folded: int, rows: np.ndarray, sizes: np.ndarray) -> None:
+        self.rows[words, folded] = rows
+        self.rest[words, folded] = sizes - np.bitwise_count(rows).sum((1, 2), dtype=np.int64)
+
+    def folded(self, words: int, to: int) -> None:
+        """Make rows of words also available as counts of fewer groups."""
+        if (words, to) not in self.rows:
+            self.folded(words, 2 * to)
+            one, two = self.rows[words, 2 * to][:, 0], self.rows[words, 2 * to][:, 1]
+            a, b = one[:, :to], one[:, to:]
+            own = np.flatnonzero(self.words == words)
+            self._add(words, to, np.stack([a | b, (a & b) | two[:, :to] | two[:, to:]], 1), self.sizes[own])
+
+    def bounds(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The most that the sets of each i and j can share: groups that both have, twice where both have two, and what is beyond."""
+        out = np.zeros(len(i), np.int64)
+        pair = np.minimum(self.words[i], self.words[j]), np.maximum(self.words[i], self.words[j])
+        for lo, hi in np.unique(np.stack(pair, 1), axis=0).tolist():
+            own = np.flatnonzero((pair[0] == lo) & (pair[1] == hi))
+            swap = self.words[i[own]] == lo
+            a, b = np.where(swap, i[own], j[own]), np.where(swap, j[own], i[own])
+            self.folded(hi, lo)
+            for k in range(0, len(own), step := max(1, self.CHUNK // (2 * lo))):
+                p, q = self.at[a[k : k + step]], self.at[b[k : k + step]]
+                both = np.bitwise_count(self.rows[lo, lo][p] & self.rows[hi, lo][q]).sum((1, 2), dtype=np.int64)
+                out[own[k : k + step]] = both + np.minimum(self.rest[lo, lo][p], self.rest[hi, lo][q])
         return out
 
 
@@ -153,6 +176,8 @@ class CountRTree:
     """Points packed into boxes of FAN, boxes into boxes, each with its upper corner and smallest size."""
 
     FAN = 16
+    #: Pairs of nodes that are compared at a time.
+    CHUNK = 1 << 14
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, percent: int):
         # Packed by size and then by the coordinate that varies most.
@@ -164,37 +189,64 @@ class CountRTree:
             at = np.arange(0, len(p), self.FAN)
             self.levels.append((np.maximum.reduceat(p, at), np.minimum.reduceat(n, at)))
 
-    def search(self, point: np.ndarray, size: int) -> np.ndarray:
-        """Points that may link to this one."""
-        live = np.arange(len(self.levels[-1][0]))
+    def join(self) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of different points that may link."""
+        top = len(self.levels[-1][0])
+        a, b = np.triu_indices(top)
         for depth in range(len(self.levels) - 1, -1, -1):
             p, n = self.levels[depth]
-            live = live[live < len(p)]
-            bound = np.minimum(p[live], point).sum(1)
-            live = live[(100 + self.percent) * bound >= self.percent * (n[live] + size)]
+            live = (a < len(p)) & (b < len(p)) & (a <= b)
+            a, b = a[live], b[live]
+            ok = np.zeros(len(a), bool)
+            for k in range(0, len(a), self.CHUNK):
+                x, y = a[k : k + self.CHUNK], b[k : k + self.CHUNK]
+                ok[k : k + self.CHUNK] = (100 + self.percent) * np.minimum(p[x], p[y]).sum(1, dtype=np.int64) >= self.percent * (n[x] + n[y])
+            a, b = a[ok], b[ok]
             if depth:
-                live = (live[:, None] * self.FAN + np.arange(self.FAN)).ravel()
-        return self.order[live]
+                step = np.arange(self.FAN)
+                x, y = a[:, None, None] * self.FAN + step[:, None], b[:, None, None] * self.FAN + step
+                a, b = np.broadcast_to(x, (len(a), self.FAN, self.FAN)).ravel(), np.broadcast_to(y, (len(b), self.FAN, self.FAN)).ravel()
+        a, b = a[a < b], b[a < b]
+        return self.order[a], self.order[b]
+
+
+def spanning(i: np.ndarray, j: np.ndarray, comp: np.ndarray) -> list[int]:
+    """Positions of pairs (i, j), in their order of preference, that join components not joined by earlier ones."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out, left = [], len(np.unique(comp)) - 1
+    for at, (x, y) in enumerate(zip(comp[i].tolist(), comp[j].tolist())):
+        x, y = find(x), find(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append(at)
+            left -= 1
+            if not left:
+                break
+    return out
 
 
-_DOC = "to int, doc_id {id}, n long, sid long, keys binary, sids binary"
+_DOC = "to int, doc_id {id}, n long, sid long, first int, spare array<int>, keys binary, sids binary"
 
 
 def _emit(width: int, percent: int, shards: int, schema: pa.Schema):
-    """A row with id, size and set of each document, and the boxes of all by shard."""
+    """A row with id, size, set's name and spare boxes of each document, and the boxes of all by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in text_batches(batches):
             sets = shingle_sets(texts, width)
             names = [set_id(s) for s in sets]
-            to = [i % shards for i in names]
-            cols = [pa.array(to, pa.int32()), pa.array(ids, schema.field("doc_id").type), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), *[pa.nulls(len(ids), pa.binary())] * 2]
+            once = {i: boxes(s, percent) for i, s in dict(zip(names, sets, strict=True)).items()}
+            cols = [pa.array([i % shards for i in names], pa.int32()), pa.array(ids, schema.field("doc_id").type), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64())]
+            cols += [pa.array([once[i][2] for i in names], pa.int32()), pa.array([once[i][1] for i in names], pa.list_(pa.int32())), *[pa.nulls(len(ids), pa.binary())] * 2]
             yield pa.RecordBatch.from_arrays(cols, schema=schema)
-            once = dict(zip(names, sets, strict=True))
-            keys = {i: boxes(s, percent) for i, s in once.items() if len(s)}
-            if not keys:
-                continue
-            flat, own = np.concatenate(list(keys.values())), np.repeat(np.fromiter(keys, np.int64, len(keys)), [len(k) for k in keys.values()])
+            flat, own = np.concatenate([k[0] for k in once.values()]), np.repeat(np.fromiter(once, np.int64, len(once)), [len(k[0]) for k in once.values()])
             rows = [{"to": s, "keys": k.tobytes(), "sids": i.tobytes()} for s, k, i in shard_rows(flat, shards, own)]
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
@@ -203,7 +255,7 @@ def _emit(width: int, percent: int, shards: int, schema: pa.Schema):
 
 
 def _shared_boxes(schema: pa.Schema):
-    """Boxes of a shard that hold two sets or more: a row (key, sid, the box's smallest sid, a hash of its members) each. Documents pass through."""
+    """Boxes of a shard that hold two sets or more: a row (key, sid, number of sets in the box) each. Documents pass through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sids = [], []
@@ -212,7 +264,7 @@ def _shared_boxes(schema: pa.Schema):
             d = b.filter(pa.array(doc))
             if d.num_rows:
                 none = pa.nulls(d.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([d.column("doc_id"), d.column("n"), d.column("sid"), none, none, none], schema=schema)
+                yield pa.RecordBatch.from_arrays([*(d.column(c) for c in ("doc_id", "n", "sid", "first", "spare")), none, none], schema=schema)
             for k, s in zip(b.column("keys").filter(pa.array(~doc)).to_pylist(), b.column("sids").filter(pa.array(~doc)).to_pylist()):
                 keys.append(np.frombuffer(k, np.int64))
                 sids.append(np.frombuffer(s, np.int64))
@@ -226,37 +278,45 @@ def _shared_boxes(schema: pa.Schema):
         k, s = k[new], s[new]
         first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         count = np.diff(np.append(first, len(k)))
-        with np.errstate(over="ignore"):
-            members = mix(np.add.reduceat(mix(s.astype(U)), first) + count.astype(U)).view(np.int64)
-        # Of boxes with the same members, one will do.
-        one = np.zeros(len(first), bool)
-        one[np.unique(members, return_index=True)[1]] = True
-        many = np.repeat((count > 1) & one, count)
-        k, s, low, members = k[many], s[many], np.repeat(s[first], count)[many], np.repeat(members, count)[many]
+        count = np.repeat(count, count)
+        k, s, count = (x[count > 1] for x in (k, s, count))
         for i in range(0, len(k), 50_000):
             part = slice(i, i + 50_000)
-            none = pa.nulls(len(k[part]), pa.int64())
-            yield pa.RecordBatch.from_arrays([none.cast(schema.field("doc_id").type), none, pa.array(s[part]), pa.array(k[part]), pa.array(low[part]), pa.array(members[part])], schema=schema)
+            cols = {"sid": pa.array(s[part]), "key": pa.array(k[part]), "sets": pa.array(count[part])}
+            yield pa.RecordBatch.from_arrays([cols.get(f.name, pa.nulls(len(k[part]), f.type)) for f in schema], schema=schema)
 
     return run
 
 
 def _sets(width: int):
-    """Set, size and count vector of documents (id, text, expected sid); others' rows with the same id fall out."""
+    """Set, size and count vectors of documents (text, expected sid); others' rows with the same id fall out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sids, texts in text_batches(batches):
+            sets = shingle_sets(texts, width)
+            keep = [(i, s) for i, s in zip(sids, sets, strict=True) if set_id(s) == i]
+            vectors = [count_vector(s) for _, s in keep]
+            cols = [pa.array([i for i, _ in keep], pa.int64()), pa.array([len(s) for _, s in keep], pa.int64()), *(pa.array([v[k] for v in vectors], pa.binary()) for k in (0, 1)), pa.array([s.tobytes() for _, s in keep], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["sid", "n", "coarse", "fine", "hashes"])
+
+    return run
+
+
+def _may_link(percent: int):
+    """Pairs (a, b, sizes na, nb, vectors va, vb) that their count vectors don't rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = shingle_sets(b.column(0).to_pylist(), width)
-            keep = [i for i, (s, sid) in enumerate(zip(sets, b.column(1).to_pylist(), strict=True)) if set_id(s) == sid]
-            own = [sets[i] for i in keep]
-            cols = [b.column(1).take(pa.array(keep, pa.int64())), pa.array([len(s) for s in own], pa.int64()), pa.array([count_vector(s) for s in own], pa.binary()), pa.array([s.tobytes() for s in own], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["sid", "n", "vector", "hashes"])
+            if b.num_rows:
+                n, at = np.concatenate([b.column("na").to_numpy(), b.column("nb").to_numpy()]), np.arange(b.num_rows)
+                bound = CountVectors([*b.column("va").to_pylist(), *b.column("vb").to_pylist()], n).bounds(at, at + len(at))
+                yield b.select(["a", "b"]).filter(pa.array((100 + percent) * bound >= percent * (n[at] + n[at + len(at)])))
 
     return run
 
 
 def _linked(percent: int):
-    """Pairs (a, b and their components) whose sets (ha, hb) are similar enough."""
+    """Pairs (a, b) whose sets (ha, hb) are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -267,32 +327,38 @@ def _linked(percent: int):
                 both.sort(kind="stable")
                 same = int((both[1:] == both[:-1]).sum())
                 ok.append(100 * same >= percent * (len(x) + len(y) - same))
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            yield b.select(["a", "b"]).append_column("ok", pa.array(ok, pa.bool_()))
 
     return run
 
 
-def _cross_pairs(percent: int, cap: int | None):
-    """Pairs of different components in a box (rows sorted by unit) that the R-tree can't rule out, at most cap for each document."""
+def _cross_pairs(percent: int, all_pairs: bool):
+    """Pairs of different components in a unit (rows sorted by it) that count vectors can't rule out: a spanning forest of
+    them, or all of those whose smallest common box is this one."""
 
     def search(t: pa.Table) -> Iterator[tuple[int, int]]:
         comp, side, size, sid = (t[c].to_numpy() for c in ("comp", "side", "n", "sid"))
         if (comp == comp[0]).all():
             return
-        vectors = CountVectors(t["vector"].to_pylist())
-        points = vectors.coarse()
-        crossed = t["across"][0].as_py()
-        tree = CountRTree(points, size, percent)
-        for i in range(len(sid)):
-            j = tree.search(points[i], int(size[i]))
-            j = j[(comp[j] != comp[i]) & ((side[j] != side[i]) | (not crossed)) & (sid[j] > sid[i] if cap is None else True)]
-            bound = vectors.bounds(i, j)
-            ok = (100 + percent) * bound >= percent * (size[j] + size[i])
-            j, bound = j[ok], bound[ok]
-            if cap is not None and len(j) > cap:
-                j = j[np.lexsort([sid[j], -bound])[:cap]]
-            for o in sid[j].tolist():
-                yield min(int(sid[i]), o), max(int(sid[i]), o)
+        coarse = np.frombuffer(b"".join(t["coarse"].to_pylist()), "<u4").reshape(len(sid), GROUPS).astype(np.int64)
+        i, j = CountRTree(coarse, size, percent).join()
+        ok = comp[i] != comp[j]
+        if t["across"][0].as_py():
+            ok &= side[i] != side[j]
+        i, j = i[ok], j[ok]
+        bound = CountVectors(t["fine"].to_pylist(), size).bounds(i, j)
+        spare = (100 + percent) * bound - percent * (size[i] + size[j])
+        i, j, spare = i[spare >= 0], j[spare >= 0], spare[spare >= 0]
+        if all_pairs:
+            keys, own = t["keys"].to_pylist(), t["key"][0].as_py()
+            chosen = [x for x in range(len(i)) if min(set(keys[i[x]]).intersection(keys[j[x]])) == own]
+        else:
+            order = np.lexsort([sid[j], sid[i], -spare / (size[i] + size[j])])
+            i, j = i[order], j[order]
+            chosen = spanning(i, j, comp)
+        for x in chosen:
+            a, b = int(sid[i[x]]), int(sid[j[x]])
+            yield min(a, b), max(a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -320,54 +386,106 @@ def _cross_pairs(percent: int, cap: int | None):
     return run
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that link. Only sets that occur in pairs are shuffled, from a table, so that AQE can split hot ones."""
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """A table (a, b, ok) of the pairs that count vectors don't rule out, None if there are no pairs. Sets are fetched for these alone, from tables, so that AQE can split hot ones."""
     pairs = materialise(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    sets = materialise(sets.select("sid", "n", "hashes").join(wanted, "sid"), "wanted")
-    one = sets.select(F.col("sid").alias("a"), F.col("hashes").alias("ha"), F.col("n").alias("na"))
-    two = sets.select(F.col("sid").alias("b"), F.col("hashes").alias("hb"), F.col("n").alias("nb"))
+    if pairs.isEmpty():
+        drop(pairs)
+        return None
+    end = lambda x, *cols: sets.select(F.col("sid").alias(x), *[F.col(c).alias(f"{'v' if c == 'fine' else c[0]}{x}") for c in cols])
     fit = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    both = pairs.join(one, "a").join(two, "b").where(fit).select("a", "b", "ha", "hb")
-    return both.mapInArrow(_linked(percent), "a long, b long")
+    near = pairs.join(end("a", "n", "fine"), "a").join(end("b", "n", "fine"), "b").where(fit).select("a", "b", "na", "nb", "va", "vb")
+    near = materialise(near.mapInArrow(_may_link(percent), "a long, b long"), "near", (pairs,))
+    both = near.join(end("a", "hashes"), "a").join(end("b", "hashes"), "b").select("a", "b", "ha", "hb")
+    return materialise(both.mapInArrow(_linked(percent), "a long, b long, ok boolean"), "verified", (near,))
 
 
-def _merge(comp: DataFrame, links: DataFrame, label: str) -> DataFrame:
+def _merge(comp: DataFrame, links: DataFrame) -> DataFrame:
     """comp (sid, comp) after links between sids."""
+    if links.isEmpty():
+        return comp
     ends = links.join(comp.select(F.col("sid").alias("a"), F.col("comp").alias("ca")), "a").join(comp.select(F.col("sid").alias("b"), F.col("comp").alias("cb")), "b")
     roots = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    out = comp.join(roots, comp["comp"] == roots["node"], "left").select("sid", F.coalesce("root", "comp").alias("comp"))
-    return materialise(out, label)
+    out = comp.join(roots, comp["comp"] == roots["a"], "left").select("sid", F.coalesce("b", "comp").alias("comp"))
+    return materialise(out, "comp", (comp, roots))
+
+
+def _units(live: DataFrame, comp: DataFrame, across: bool) -> tuple[DataFrame, DataFrame]:
+    """Tables of the rows (key, sid, comp, side) in open boxes, and of their units (key, side, other): blocks or pairs of blocks with several components."""
+    tagged = live.join(comp, "sid")
+    open_ = tagged.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c")).where("x < y")
+    open_ = materialise(open_.select("key", F.ceil(F.col("c") / BLOCK_ROWS).cast("int").alias("blocks")), "open")
+    rows = tagged.join(open_, "key").select("key", "sid", "comp", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("side"))
+    rows = materialise(rows, "live", (open_,))
+    blocks = rows.groupBy("key", "side").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
+    if not across:
+        return rows, materialise(blocks.where("x < y").select("key", "side", F.col("side").alias("other")), "units")
+    blocks = materialise(blocks, "blocks")
+    other = blocks.select("key", F.col("side").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    units = blocks.join(other, "key").where("side <= other and least(x, x2) < greatest(y, y2)").select("key", "side", "other")
+    return rows, materialise(units, "units", (blocks,))
+
+
+def _round(shared: DataFrame, comp: DataFrame, sets: DataFrame, percent: int, parts: int, across: bool, all_pairs: bool) -> DataFrame | None:
+    """A table of pairs (a, b) of different components that may link, or None if no unit has several components."""
+    live, units = _units(shared, comp, across)
+    if units.isEmpty():
+        drop(live, units)
+        return None
+    if all_pairs:  # a document's boxes, which its number of ranges bounds
+        rows = live.join(live.groupBy("sid").agg(F.collect_list("key").alias("keys")), "sid")
+    else:
+        rows = live.withColumn("keys", F.lit(None).cast("array<long>"))
+    ends = units.select("key", "side", "other", F.col("side").alias("own")).union(units.where("side < other").select("key", "side", "other", F.col("other").alias("own")))
+    rows = rows.select("key", "sid", "comp", "keys", F.col("side").alias("own")).join(ends, ["key", "own"])
+    rows = rows.join(sets.select("sid", "n", "coarse", "fine"), "sid")
+    rows = rows.select(F.xxhash64("key", "side", "other").alias("unit"), (F.col("side") < F.col("other")).alias("across"), F.col("own").alias("side"), "key", "sid", "n", "comp", "keys", "coarse", "fine")
+    pairs = rows.repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(_cross_pairs(percent, all_pairs), "a long, b long").distinct()
+    return materialise(pairs, "crossing", (live, units))
 
 
 def _components(shared: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
-    """sid, comp of all sets, from the boxes they share (key, sid, low)."""
+    """A table sid, comp of all sets, from the boxes they share (key, sid)."""
     # One partner each: the smallest id of most of its boxes.
-    first = shared.where("low < sid").groupBy("sid", "low").agg(F.count("*").alias("c")).groupBy("sid").agg(F.max_by("low", F.struct("c", "low")).alias("low"))
-    comp = materialise(sets.select("sid", F.col("sid").alias("comp")), "comp")
-    comp = _merge(comp, materialise(_verify(first.select(F.col("low").alias("a"), F.col("sid").alias("b")), sets, percent), "links"), "comp")
-    live = shared
-    for cap in ROUNDS:
-        tagged = live.select("key", "sid").join(comp, "sid")
-        open_ = tagged.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c")).where("x < y")
-        open_ = materialise(open_.select("key", F.ceil(F.col("c") / BLOCK_ROWS).cast("int").alias("blocks")), "open")
-        if open_.isEmpty():
+    low = shared.join(shared.groupBy("key").agg(F.min("sid").alias("low")), "key").where("low < sid")
+    first = low.groupBy("sid", "low").agg(F.count("*").alias("c")).groupBy("sid").agg(F.max_by("low", F.struct("c", "low")).alias("low"))
+    comp, tried = materialise(sets.select("sid", F.col("sid").alias("comp")), "comp"), []
+
+    def settle(pairs: DataFrame) -> None:
+        nonlocal comp
+        for t in tried:
+            pairs = pairs.join(t.where("not ok").select("a", "b"), ["a", "b"], "left_anti")
+        found = _verify(pairs, sets, percent)
+        if found is not None:
+            tried.append(found)
+            comp = _merge(comp, found.where("ok"))
+
+    settle(first.select(F.col("low").alias("a"), F.col("sid").alias("b")))
+    large = not shared.groupBy("key").count().where(F.col("count") > BLOCK_ROWS).isEmpty()
+    for across, all_pairs in ((False, False), *([(True, False)] if large else []), (True, True)):
+        crossing = _round(shared, comp, sets, percent, parts, across, all_pairs)
+        if crossing is not None:
+            settle(crossing)
+            drop(crossing)
+        elif across:
             break
-        live = materialise(live.select("key", "sid").join(open_, "key"), "live")
-        rows = live.join(comp, "sid").join(sets.select("sid", "n", "vector"), "sid")
-        own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
-        rows = rows.withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.withColumn("unit", F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")))
-        rows = rows.withColumn("across", F.col("side") != F.col("other")).select("unit", "across", "side", "sid", "n", "comp", "vector")
-        # A unit of two blocks holds both, told apart by side; its rows all came with another block's number.
-        rows = rows.repartition(parts, "unit").sortWithinPartitions("unit")
-        pairs = rows.mapInArrow(_cross_pairs(percent, cap), "a long, b long").distinct()
-        links = materialise(_verify(pairs, sets, percent), "links")
-        comp = _merge(comp, links, "comp")
-        live = live.drop("blocks")
+    drop(*tried)
     return comp
 
 
+def _rarest(boxed: DataFrame, points: DataFrame) -> DataFrame:
+    """Rows (key, sid) of boxes (key, sid, sets), without the most common ones that a set can spare. Of boxes with the same members, one will do."""
+    place = Window.partitionBy("sid", "class").orderBy(F.desc("sets"), F.desc("key"))
+    rows = boxed.withColumn("class", F.col("key").bitwiseAND((1 << CLASS_BITS) - 1).cast("int")).join(points.select("sid", "first", "spare"), "sid")
+    rows = rows.withColumn("place", F.row_number().over(place)).where(F.col("place") > F.element_at("spare", F.col("class") - F.col("first") + 1))
+    rows = materialise(rows.select("key", "sid"), "rare")
+    # Members by a sum of hashes: each set's is mixed, so no two lists have the same but by chance.
+    mark = F.sum(F.xxhash64("sid").cast("decimal(38,0)"))
+    own = rows.groupBy("key").agg(mark.alias("mark"), F.count("*").alias("c")).where("c > 1")
+    own = own.groupBy("mark", "c").agg(F.min("key").alias("key")).select("key")
+    return materialise(rows.join(own, "key"), "shared", (rows,))
+
+
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: id_col, n_shingles, component_id.
 
@@ -376,41 +494,53 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shingles and links with nothing; its component is its own id. Repeated rows and equal texts link. A null id is
     never the smallest unless a component has no other. An empty table gives an empty result; other columns don't matter.
     """
-    spark = docs.sparkSession
-    id_type = docs.schema[id_col].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
-    kind, arrow, parts = id_type.simpleString(), to_arrow_type(id_type), shuffle_partitions(spark)
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sent = pa.schema([("to", pa.int32()), ("doc_id", arrow), ("n", pa.int64()), ("sid", pa.int64()), ("keys", pa.binary()), ("sids", pa.binary())])
-    got = pa.schema([("doc_id", arrow), ("n", pa.int64()), ("sid", pa.int64()), ("key", pa.int64()), ("low", pa.int64()), ("members", pa.int64())])
-    boxed = docs.mapInArrow(_emit(width, percent, 4 * parts, sent), _DOC.format(id=kind)).withColumn("deal", F.coalesce(F.when(F.col("keys").isNull(), F.pmod(F.xxhash64("doc_id"), F.lit(4 * parts))), F.col("to"))).repartition(parts, "deal").drop("deal")
-    boxed = materialise(boxed.mapInArrow(_shared_boxes(got), f"doc_id {kind}, n long, sid long, key long, low long, members long"), "boxes")
-    points, shared = boxed.where("key is null").select("doc_id", "n", "sid"), boxed.where("key is not null")
-    # Of boxes with the same members, from all shards, one will do.
-    one = shared.where("sid = low").groupBy("members").agg(F.min("key").alias("_key"))
-    shared = materialise(shared.join(one, "members").where("key = _key").select("key", "sid", "low"), "shared")
-    lowest = materialise(points.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id")), "lowest")
+    id_type = docs.schema[id_col].dataType
+    kind, arrow = id_type.simpleString(), to_arrow_type(id_type)
+    docs = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text"))
+    parts = parts_for(docs, "text")
+    sent = pa.schema([("to", pa.int32()), ("doc_id", arrow), ("n", pa.int64()), ("sid", pa.int64()), ("first", pa.int32()), ("spare", pa.list_(pa.int32())), ("keys", pa.binary()), ("sids", pa.binary())])
+    got = pa.schema([("doc_id", arrow), ("n", pa.int64()), ("sid", pa.int64()), ("first", pa.int32()), ("spare", pa.list_(pa.int32())), ("key", pa.int64()), ("sets", pa.int64())])
+    boxed = docs.mapInArrow(_emit(width, percent, 4 * parts, sent), _DOC.format(id=kind)).withColumn("deal", F.coalesce(F.when(F.col("keys").isNull(), F.pmod(F.xxhash64("doc_id", "sid"), F.lit(4 * parts))), F.col("to"))).repartition(parts, "deal").drop("deal")
+    boxed = materialise(boxed.mapInArrow(_shared_boxes(got), f"doc_id {kind}, n long, sid long, first int, spare array<int>, key long, sets long"), "boxes")
+    points = materialise(boxed.where("key is null").select("doc_id", "n", "sid"), "points")
+    lowest = boxed.where("key is null and n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("first").alias("first"), F.first("spare").alias("spare"))
+    lowest = materialise(lowest, "lowest")
+    shared = _rarest(boxed.where("key is not null").select("key", "sid", "sets"), lowest)
+    drop(boxed)
     # The sets of those that share a box, from their texts.
-    wanted = shared.select("sid").distinct().join(lowest, "sid").select(F.col("sid"), F.col("doc_id").alias("_want"))
-    texts = docs.join(wanted.hint("merge"), docs["doc_id"].eqNullSafe(wanted["_want"])).select("text", "sid")
-    once = texts.mapInArrow(_sets(width), "sid long, n long, vector binary, hashes binary").dropDuplicates(["sid"])
-    with bucketed(once, "sid", "sets") as sets:
+    wanted = materialise(shared.select("sid").distinct().join(lowest, "sid").select("sid", F.col("doc_id").alias("_want")), "wanted")
+    texts = docs.join(wanted.hint("merge"), docs["doc_id"].eqNullSafe(wanted["_want"])).select("sid", "text")
+    once = texts.mapInArrow(_sets(width), "sid long, n long, coarse binary, fine binary, hashes binary").dropDuplicates(["sid"])
+    with bucketed(once, "sid", "sets", parts) as sets:
         comp = _components(shared, sets, percent, parts)
-    named = lowest.join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    drop(wanted, shared)
+    named = lowest.select("sid", "doc_id").join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     low = materialise(named.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "low")
-    named = materialise(named.join(low, "comp").select("sid", "component_id"), "named")
+    named = materialise(named.join(low, "comp").select("sid", "component_id"), "named", (low, comp, lowest))
     out = points.where("n > 0").join(named, "sid").select("doc_id", "n", "component_id").union(points.where("n = 0").select("doc_id", "n", "doc_id"))
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one_of_linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, with all columns, whose id is their component's: one document of each group stays."""
-    inner = docs.select(*[F.col(c).alias(f"_x{i}") for i, c in enumerate(docs.columns)])
-    own = f"_x{docs.columns.index(id_col)}"
-    linked = link_documents(inner, own, f"_x{docs.columns.index(text_col)}", width, percent)
-    stay = linked.where(F.col("component_id").eqNullSafe(F.col(own))).select(F.col(own).alias("_stay")).distinct()
-    out = inner.join(stay.hint("merge"), inner[own].eqNullSafe(stay["_stay"]), "left_semi")
+    """The rows of docs that stay, with all columns: one of each group of linked documents (see link_documents).
+
+    Of a group the row with the smallest id stays, null last; of rows with one id, that of the smallest hash of the row;
+    of rows equal in all columns, one. Rows without words all stay.
+    """
+    inner = docs.select(*[F.col(quoted(c)).alias(f"_x{i}") for i, c in enumerate(docs.columns)])
+    own, text = f"_x{docs.columns.index(id_col)}", f"_x{docs.columns.index(text_col)}"
+    row = F.xxhash64(*[c for c, kind in inner.dtypes if "map<" not in kind and "variant" not in kind])
+    keyed = inner.withColumn("_row", row)
+    name = F.struct(F.col(own).isNull().alias("z"), F.col(own).alias("i"), F.col("_row").alias("r"))
+    linked = link_documents(keyed.select(name.alias("_name"), F.col(text).alias("_text")), "_name", "_text", width, percent)
+    stay = linked.where(F.col("component_id").eqNullSafe(F.col("_name"))).groupBy("_name").agg(F.max("n_shingles").alias("_n"))
+    stay = stay.select(F.col("_name.r").alias("_row"), F.col("_name.i").alias("_stay"), "_n")
+    same = (keyed[own] == stay["_stay"]) | (keyed[own].isNull() & stay["_stay"].isNull())  # no key of the join: rows stay dealt by _row
+    out = keyed.join(stay.hint("merge"), (keyed["_row"] == stay["_row"]) & same).drop(stay["_row"])
+    first = F.row_number().over(Window.partitionBy("_row", "_stay").orderBy("_row"))
+    out = out.withColumn("_first", F.when(F.col("_n") > 0, first).otherwise(1)).where("_first = 1")
     return out.select(*[F.col(f"_x{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 

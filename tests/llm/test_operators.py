@@ -219,23 +219,86 @@ def test_count_r_tree_loses_nothing():
     p = r.poisson(2, (300, ngram_join.GROUPS)).astype(np.int64)
     p[100:200] = np.maximum(0, p[:100] + r.integers(-1, 2, (100, ngram_join.GROUPS)) * (r.random((100, ngram_join.GROUPS)) < 0.1))
     n = p.sum(1)
-    tree = ngram_join.CountRTree(p, n, 80)
-    for i in range(0, 300, 7):
-        need = {j for j in range(300) if 180 * np.minimum(p[i], p[j]).sum() >= 80 * (n[i] + n[j])}
-        assert set(tree.search(p[i], int(n[i])).tolist()) == need
+    i, j = ngram_join.CountRTree(p, n, 80).join()
+    got = {(min(x, y), max(x, y)) for x, y in zip(i.tolist(), j.tolist())}
+    assert len(got) == len(i)
+    assert got == {(x, y) for x in range(300) for y in range(x + 1, 300) if 180 * np.minimum(p[x], p[y]).sum() >= 80 * (n[x] + n[y])}
 
 
 def test_count_vectors_bound_the_overlap():
-    r, sets = np.random.default_rng(2), [np.array([5], np.uint64)]
+    r, sets = np.random.default_rng(2), [np.array([5 << 7], np.uint64)]
     for n in (3, 60, 64, 300, 700, 9000):
         own = np.unique(r.integers(0, 1 << 62, n).astype(np.uint64))
         sets += [own, own[: n * 9 // 10], np.unique(np.concatenate([own[n // 10 :], r.integers(0, 1 << 62, 1 + n // 20).astype(np.uint64)]))]
-    sets.append(np.arange(300, dtype=np.uint64))  # counts over a byte's range
-    vectors, others = ngram_join.CountVectors([ngram_join.count_vector(s) for s in sets]), np.arange(len(sets))
-    for i, s in enumerate(sets):
-        fine, coarse = vectors.bounds(i, others), np.minimum(vectors.coarse()[i], vectors.coarse()).sum(1)
-        assert all(len(np.intersect1d(s, t)) <= f <= c for t, f, c in zip(sets, fine, coarse, strict=True))
-        assert fine[i] == len(s)
+    sets.append(np.arange(300, dtype=np.uint64) << np.uint64(22))  # all in one group of the fine ones
+    vectors, n = [ngram_join.count_vector(s) for s in sets], np.array([len(s) for s in sets])
+    i, j = (x.ravel() for x in np.indices((len(sets), len(sets))))
+    fine = ngram_join.CountVectors([v[1] for v in vectors], n).bounds(i, j)
+    coarse = np.stack([np.frombuffer(v[0], "<u4") for v in vectors]).astype(int)
+    for x, y, f in zip(i, j, fine, strict=True):
+        assert len(np.intersect1d(sets[x], sets[y])) <= f <= min(n[x], n[y])
+        assert len(np.intersect1d(sets[x], sets[y])) <= np.minimum(coarse[x], coarse[y]).sum()
+        assert x != y or f == n[x]
+
+
+def test_rarest_boxes_keep_one_in_common():
+    r = np.random.default_rng(3)
+    for percent in (70, 80, 85):
+        sets = []
+        for n in (2, 5, 8, 11, 40, 200, 900) * 3:
+            own = r.integers(0, 1 << 62, n).astype(np.uint64)
+            for gone in (0, 0.05, 0.1, 0.2):
+                part = own[int(n * gone) :]
+                sets += [np.unique(part), np.unique(np.concatenate([part, r.integers(0, 1 << 62, int(n * gone) // 2).astype(np.uint64)]))]
+        held = [ngram_join.boxes(s, percent) for s in sets]
+        df = collections.Counter(k for keys, _, _ in held for k in keys.tolist())
+        few = []
+        for keys, spare, first in held:
+            own = set()
+            for c, n in enumerate(spare):
+                ks = [k for k in keys.tolist() if k % 64 == first + c]
+                own |= set(sorted(ks, key=lambda k: (df[k], k))[: len(ks) - n])
+            few.append(own)
+        for x, y in ((x, y) for x in range(len(sets)) for y in range(x)):
+            same = len(np.intersect1d(sets[x], sets[y]))
+            if 100 * same >= percent * (len(sets[x]) + len(sets[y]) - same) and same < max(len(sets[x]), len(sets[y])):
+                assert few[x] & few[y]
+
+
+def test_ngram_join_in_blocks(spark, monkeypatch):
+    # A large group of near copies, most of whose pairs are close to the threshold, over blocks smaller than a box, and a very long text.
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 10)
+    r = random.Random(8)
+    base = [f"w{r.randrange(5000)}" for _ in range(60)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(r.choice([1, 1, 2, 3])):
+            w[r.randrange(60)] = f"x{r.randrange(100)}"
+        rows.append((i, " ".join(w)))
+    long = [f"y{r.randrange(10**6)}" for _ in range(200_000)]
+    rows += [(100, " ".join(long)), (101, " ".join(long[:-9000])), (102, " ".join(long[:90_000]))]
+    sets = [{tuple(t.split()[k : k + 4]) for k in range(len(t.split()) - 3)} for _, t in rows]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            same = len(sets[a] & sets[b])
+            if 100 * same >= 85 * (len(sets[a]) + len(sets[b]) - same):
+                old, new = root[a], root[b]
+                root = [new if x == old else x for x in root]
+    low = {c: min(rows[x][0] for x in range(len(rows)) if root[x] == c) for c in set(root)}
+    got = ngram_join.link_documents(spark.createDataFrame(rows, "doc_id int, text string").repartition(3), width=4, percent=85).collect()
+    assert sorted((g["doc_id"], g["component_id"]) for g in got) == sorted((rows[x][0], low[root[x]]) for x in range(len(rows)))
+    assert 3 < len(low) < 60
+
+
+def test_one_of_each_linked_group_stays(spark):
+    t = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, t), (5, t + " end"), (None, t), (None, t), (5, t), (7, "a"), (7, "b"), (None, ""), (None, ""), (8, None), (9, t + " end more"), (6, "c d e f g h"), (6, "c d e f g h")]
+    docs = spark.createDataFrame([(*r, i % 2) for i, r in enumerate(rows)], "`a.doc` int, `text.x` string, _row int")
+    got = sorted(map(str, (tuple(r)[:2] for r in ngram_join.keep_one_of_linked(docs, "a.doc", "text.x").collect())))
+    assert len([g for g in got if "w0" in g]) == 1
+    assert [g for g in got if "w0" not in g] == sorted(map(str, [(7, "a"), (7, "b"), (None, ""), (None, ""), (8, None), (6, "c d e f g h")]))
 
 
 def test_pii(spark, empty):
