@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, read_table, without_white_space
+from ._common import drop, materialise, quoted, read_table, without_white_space
 
 #: Bytes that each level looks at; beyond the last, the width doubles from level to level.
 WIDTHS = (64, 1024, 16384)
@@ -30,12 +30,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     points stays, then the smallest id; a null id comes last. Of rows that tie in both, exactly one stays. No row is
     lost or added; an empty table gives an empty result; other columns of docs don't matter.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
     cur = docs.select(
-        F.col(id_col).alias("_id"), *[F.col(c).alias(f"_c_{c}") for c in carry], F.char_length(text).alias("_len"), F.monotonically_increasing_id().alias("_row"),
+        F.col(quoted(id_col)).alias("_id"), *[F.col(quoted(c)).alias(f"_c{i}") for i, c in enumerate(carry)], F.char_length(text).alias("_len"), F.monotonically_increasing_id().alias("_row"),
         F.lit(0).cast("long").alias("_node"), F.encode(without_white_space(text), "UTF-8").alias("_rest"),
     )
-    keep = ["_id", *[f"_c_{c}" for c in carry], "_len", "_row"]
+    keep = ["_id", *[f"_c{i}" for i, _ in enumerate(carry)], "_len", "_row"]
     done, level, width = [], 0, 0
     while True:
         width = widths[level] if level < len(widths) else width * 2
@@ -46,7 +46,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         split = cur.join(groups.hint("merge"), ["_node", "_key"], "left").select(*keep, F.lit(level).alias("_level"), F.col("_group").alias("_node"), left.alias("_rest"))
         split = materialise(split, f"rows{level}")
         done.append(split.where("_rest is null").select(*keep, "_level", "_node"))
-        if groups.where("not _ended").isEmpty():
+        last = groups.where("not _ended").isEmpty()
+        drop(groups)
+        if last:
             break
         cur, level = split.where("_rest is not null").select(*keep, "_node", "_rest"), level + 1
     rows = reduce(DataFrame.unionByName, done)
@@ -56,12 +58,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = materialise(copies.groupBy("_level", "_node").agg(best.alias("_best"), F.count("*").alias("_n")), "classes")
     copies = copies.join(classes, ["_level", "_node"]).select(*keep, F.col("_best.id").alias("keep_id"), F.col("_n").alias("group_size"), (F.col("_best.row") == F.col("_row")).alias("kept"))
     alone = rows.where("_node is null").select(*keep, F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
-    return alone.unionByName(copies).select(F.col("_id").alias(id_col), "keep_id", "group_size", "kept", *[F.col(f"_c_{c}").alias(c) for c in carry])
+    return alone.unionByName(copies).select(F.col("_id").alias(id_col), "keep_id", "group_size", "kept", *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)])
 
 
 def keep_one_of_equal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all columns: one of each class of equal texts (see exact_groups)."""
-    inner = docs.select(*[F.col(c).alias(f"_x{i}") for i, c in enumerate(docs.columns)])
+    inner = docs.select(*[F.col(quoted(c)).alias(f"_x{i}") for i, c in enumerate(docs.columns)])
     at = {c: f"_x{i}" for i, c in enumerate(docs.columns)}
     out = exact_groups(inner, at[id_col], at[text_col], carry=[c for c in inner.columns if c != at[id_col]])
     return out.where("kept").select(*[F.col(at[c]).alias(c) for c in docs.columns])

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, n_words, read_table
+from ._common import materialise, n_words, quoted, read_table
 
 GROUP_ROWS = 2000
 FAN_IN = 1000
@@ -81,8 +81,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     is not taken. Reruns agree: draws come from a hash of the row and the seed, and rows that tie in all of source, id,
     size and draw are alike. A table without words takes nothing; an empty one gives an empty result.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_c_{c}") for c in carry], F.col(source_col).cast("string").alias("_source"), n_words(F.col(text_col)).alias("_size"), F.xxhash64(F.lit(seed), id_col, text_col).alias("_hash"))
+    spark, own, text = docs.sparkSession, F.col(quoted(id_col)), F.col(quoted(text_col))
+    rows = docs.select(own.alias("_id"), *[F.col(quoted(c)).alias(f"_c{i}") for i, c in enumerate(carry)], F.col(quoted(source_col)).cast("string").alias("_source"), n_words(text).alias("_size"), F.xxhash64(F.lit(seed), own, text).alias("_hash"))
     rows = materialise(rows.withColumn("_row", F.monotonically_increasing_id()), "sizes")
     per = rows.groupBy("_source").agg(F.sum("_size").alias("size"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(per) > MOST_SOURCES:
@@ -108,12 +108,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         open_ = rest.withColumn("_group", (F.col("_group") / FAN_IN).cast("long"))
     extra = reduce(DataFrame.unionByName, decided).where("_p = 1").select("_row", F.lit(1).alias("_one"))
     out = whole.join(extra, "_row", "left").withColumn("copies", F.col("_sure") + F.coalesce("_one", F.lit(0)))
-    return out.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("_size")).alias("taken"), *[F.col(f"_c_{c}").alias(c) for c in carry])
+    return out.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("_size")).alias("taken"), *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)])
 
 
 def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mixture itself: the rows of docs, each as often as mix() takes it, with all columns."""
-    inner = docs.select(*[F.col(c).alias(f"_x{i}") for i, c in enumerate(docs.columns)])
+    inner = docs.select(*[F.col(quoted(c)).alias(f"_x{i}") for i, c in enumerate(docs.columns)])
     at = {c: f"_x{i}" for i, c in enumerate(docs.columns)}
     out = mix(inner, at[id_col], at[text_col], at[source_col], carry=[c for c in inner.columns if c != at[id_col]], **options).where("copies > 0")
     out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
