@@ -49,12 +49,12 @@ def _write(spark: SparkSession, label: str, write) -> str:
     return path
 
 
-def materialise(df: DataFrame, label: str, free: tuple[DataFrame, ...] = ()) -> DataFrame:
+def materialise(df: DataFrame, label: str, free: tuple[DataFrame, ...] = (), **options: object) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: later steps start from files that outlive executors.
 
-    free: tables from earlier calls that nothing needs any more; their files go once df is written.
+    free: tables from earlier calls that nothing needs any more; their files go once df is written. options: the writer's.
     """
-    path = _write(df.sparkSession, label, df.write.parquet)
+    path = _write(df.sparkSession, label, df.write.options(**options).parquet)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._filmloom_path = path
     drop(*free)

@@ -1,15 +1,19 @@
-"""LM scoring with a weighted backoff automaton of word bigrams.
-
-The automaton: a state for each history (a word, or the start), an arc for each bigram seen in training, and from each
-state a failure arc to the root, whose arcs are the unigrams. With Dirichlet smoothing,
-    P1(w) = (c(w) + 1) / (N + V + 1),   P(w | h) = (c(h w) + MU * P1(w)) / (c(h) + MU),
-a failure arc weighs MU / (c(h) + MU), and the arcs out of every state sum to one.
-
-It never exists in one place. The corpus is cut into blocks of bounded size; each block counts its own n-grams once and
-sends (n-gram, count) to the shard of the n-gram, packed as bytes. A shard adds up its n-grams over blocks and replies to each
-block with the totals that differ from what the block knows itself. A block then holds all arcs that its texts can follow,
-and goes through each text once from left to right: the state is carried along, an arc is followed or the failure arc
-taken, and log10 weights add up. A frequent n-gram costs a shard one entry a block, so no shard gets hot.
+"""LM scoring with a weighted backoff automaton of word trigrams.
+
+The automaton: a state for each history seen in training (none, a word or the start, two words), an arc for each n-gram
+seen, and from each state a failure arc to the state of the history without its first word; the root has an arc for every
+word. With Dirichlet smoothing,
+    P(w) = (c(w) + 1) / (N + V + 1),   P(w | h) = (c(h w) + MU * P(w | h')) / (c(h) + MU),
+where h' is h without its first word, an arc weighs log10 P(w | h) and a failure arc log10 MU / (c(h) + MU), so that the
+weights on the way of an unseen word multiply up to its P(w | h); the arcs out of every state sum to one.
+
+It never exists in one place. The corpus is cut into blocks of bounded size, written once. Each block counts its own
+n-grams and sends (n-gram, count) to the shard of the n-gram, packed as bytes; texts stay where they are. A shard adds up
+its n-grams over blocks and replies to each block with the totals that differ from what the block knows itself. A block
+then builds the states and arcs that its texts can reach, and texts go through it from left to right, all in step: each
+carries its state, follows failure arcs until there is an arc, and adds up weights. As a state remembers two words, long
+texts are cut into runs that read the two words before them first. A frequent n-gram costs a shard one entry a block, so
+no shard gets hot.
 """
 
 from __future__ import annotations
@@ -23,22 +27,29 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, read_table, shuffle_partitions
-from ._hashing import U, mix, shard_rows, text_batches, word_hashes
+from ._common import materialise, quoted, read_table, shuffle_partitions
+from ._hashing import U, mix, text_batches, word_hashes
 
 MU = 20.0
+ORDER = 3
 #: Tokens in a block, about; a longer text makes a longer block.
-BLOCK_TOKENS = 2_500_000
+BLOCK_TOKENS = 1 << 19
+#: N-grams that a shard's task holds at a time, about, and shards a task.
+TASK_GRAMS, SHARDS = 2_000_000, 4
+#: Tokens of a run.
+RUN = 64
 FOLDS, HELD_OUT = 7, 2
 END, START = mix(np.array([1, 2], U))
 
-#: kind 0: a block's texts; 1 and 2: unigrams and bigrams with counts; 3: a shard's N and V.
-_ROW = "to int, block long, kind int, ids array<{id}>, lengths binary, seq binary, keys binary, counts binary, n long, v long"
+_BLOCK = "block long, ids array<{id}>, lengths binary, vocab binary, seq binary, n_tokens long"
+_SENT = "to int, block long, kind int, keys binary, counts binary"
+_REPLY = "to int, block long, kind int, counts binary, n long, v long"
 
 
-def bigram_keys(prev: np.ndarray, cur: np.ndarray) -> np.ndarray:
+def gram_keys(history: np.ndarray, cur: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams from those of their histories and last words."""
     with np.errstate(over="ignore"):
-        return mix(prev * U(0x9FB21C651E98DF25) + cur)
+        return mix(mix(history) * U(0x9FB21C651E98DF25) + cur)
 
 
 def planes(a: np.ndarray) -> bytes:
@@ -63,133 +74,207 @@ def held_out(doc_id: object) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % FOLDS == HELD_OUT
 
 
-def _histories(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The state before each token: the token before it, or START at a text's first."""
-    prev = np.roll(tokens, 1)
-    prev[np.cumsum(lengths) - lengths] = START
-    return prev
+def _batch(rows: list[dict], ddl_schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, schema=ddl_schema)
 
 
-def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(rows, schema=schema)
+def _cut(schema: pa.Schema):
+    """Cut a partition into blocks: ids, lengths, vocabulary by falling frequency, and texts as places in it."""
 
-
-def _emit(shards: int, schema: pa.Schema):
-    """Cut a partition into blocks; give each block's texts as token numbers, and its n-grams by shard."""
-
-    def block_rows(block: int, ids: list, words: list[np.ndarray], counts: list[np.ndarray]) -> Iterator[dict]:
+    def block(number: int, ids: list, words: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
         counts = np.concatenate(counts)
         tokens, lengths = np.insert(np.concatenate(words), np.cumsum(counts), END), counts + 1
-        train = np.repeat([not held_out(i) for i in ids], lengths)
         vocab, inv, freq = np.unique(tokens, return_inverse=True, return_counts=True)
+        order = np.argsort(-freq, kind="stable")
         rank = np.empty(len(vocab), np.int64)
-        rank[np.argsort(-freq, kind="stable")] = np.arange(len(vocab))
-        by_rank = np.empty_like(vocab)
-        by_rank[rank] = vocab
-        to = int(mix(np.array([block], U))[0] % U(shards))
-        yield {"to": to, "block": block, "kind": 0, "ids": ids, "lengths": lengths.astype("<i8").tobytes(), "seq": planes(rank[inv]), "keys": by_rank.tobytes()}
-        own = np.bincount(inv, train, len(vocab)).astype("<u4")
-        for s, k, c in shard_rows(vocab, shards, own):
-            yield {"to": s, "block": block, "kind": 1, "keys": deltas(k), "counts": planes(c)}
-        pairs, inv = np.unique(bigram_keys(_histories(tokens, lengths), tokens), return_inverse=True)
-        own = np.bincount(inv, train, len(pairs)).astype("<u4")
-        for s, k, c in shard_rows(pairs, shards, own):
-            yield {"to": s, "block": block, "kind": 2, "keys": deltas(k), "counts": planes(c)}
+        rank[order] = np.arange(len(vocab))
+        return _batch([{"block": number, "ids": ids, "lengths": lengths.astype("<i8").tobytes(), "vocab": vocab[order].tobytes(), "seq": planes(rank[inv]), "n_tokens": len(tokens)}], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, ids, words, counts, n = TaskContext.get().partitionId() << 24, [], [], [], 0
-        for more, texts in text_batches(batches):
+        number, ids, words, counts, n = TaskContext.get().partitionId() << 24, [], [], [], 0
+        for more, texts in text_batches(batches, 1 << 20):
             w, c = word_hashes(texts)
             ids += more
             words.append(w)
             counts.append(c)
-            n += len(w)
+            n += len(w) + len(c)
             if n >= BLOCK_TOKENS:
-                yield _batch(list(block_rows(block, ids, words, counts)), schema)
-                block, ids, words, counts, n = block + 1, [], [], [], 0
+                yield block(number, ids, words, counts)
+                number, ids, words, counts, n = number + 1, [], [], [], 0
         if ids:
-            yield _batch(list(block_rows(block, ids, words, counts)), schema)
+            yield block(number, ids, words, counts)
 
     return run
 
 
-def _sum_shards(schema: pa.Schema):
-    """Totals of a partition's n-grams, sent back to blocks that don't know them; texts pass through."""
+class Grams:
+    """A block's n-grams: for each order the words' or n-grams' hashes, their codes in the block and where they end."""
+
+    def __init__(self, row: dict):
+        self.ids, self.lengths, self.vocab = row["ids"], np.frombuffer(row["lengths"], "<i8"), np.frombuffer(row["vocab"], U)
+        self.seq = unplanes(row["seq"]).astype(np.int64)
+        self.held = np.array([held_out(i) for i in self.ids])
+        self.train = np.repeat(~self.held, self.lengths)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        wide, start = len(self.vocab) + 1, len(self.vocab)
+        prev = np.roll(self.seq, 1)
+        prev[self.starts] = start
+        two, self.at2 = np.unique(prev * wide + self.seq, return_inverse=True)
+        self.first2, self.last2 = two // wide, two % wide
+        words = np.append(self.vocab, START)
+        self.keys2 = gram_keys(words[self.first2], words[self.last2])
+        later = np.ones(len(self.seq), bool)
+        later[self.starts] = False
+        self.later = np.flatnonzero(later)
+        three, self.at3 = np.unique(self.at2[self.later - 1] * wide + self.seq[self.later], return_inverse=True)
+        self.history3, self.last3 = three // wide, three % wide
+        self.keys3 = gram_keys(self.keys2[self.history3], self.vocab[self.last3])
+        self.next3 = np.zeros(len(three), np.int64)  # the trigram's last two words
+        self.next3[self.at3] = self.at2[self.later]
+
+    def sent(self, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of an order: the order in which its n-grams are sent, their sorted hashes, and the block's own training counts."""
+        keys, at, train = {1: (self.vocab, self.seq, self.train), 2: (self.keys2, self.at2, self.train), 3: (self.keys3, self.at3, self.train[self.later])}[kind]
+        order = np.argsort(keys, kind="stable")
+        return order, keys[order], np.bincount(at, train, len(keys)).astype(np.int64)[order]
+
+
+def shard_edges(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Where the sorted keys of each shard, a range of hashes, begin and end."""
+    return np.append(np.searchsorted(keys, np.arange(shards, dtype=U) * U((1 << 64) // shards)), len(keys))
+
+
+def _send(shards: int, schema: pa.Schema):
+    """The n-grams of each block, by order and shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict[int, list] = {1: [], 2: []}
         for b in batches:
-            for r in b.to_pylist():
-                if r["kind"] == 0:
-                    yield _batch([r], schema)
-                else:
-                    got[r["kind"]].append((r["block"], undeltas(r["keys"]), unplanes(r["counts"]), r["to"]))
-        for kind, parts in got.items():
-            if not parts:
-                continue
-            keys, own = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]).astype(np.int64)
-            order = np.argsort(keys)
-            k = keys[order]
-            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            sums = np.add.reduceat(own[order], first)
-            total = np.empty_like(own)
-            total[order] = np.repeat(sums, np.diff(np.append(first, len(k))))
-            if kind == 1:
-                yield _batch([{"kind": 3, "n": int(sums.sum()), "v": int((sums > 0).sum())}], schema)
-            # A reply holds a number for each n-gram asked for, in the same order: the total, or 0 if the block knows it.
-            reply = np.split(np.where(total == own, 0, total), np.cumsum([len(p[1]) for p in parts])[:-1])
-            rows = [{"to": p[3], "block": p[0], "kind": kind, "counts": planes(x)} for p, x in zip(parts, reply, strict=True)]
-            if rows:
-                yield _batch(rows, schema)
+            for k in range(b.num_rows):
+                row = b.slice(k, 1).to_pylist()[0]
+                grams = Grams(row)
+                for kind in range(1, ORDER + 1):
+                    _, keys, own = grams.sent(kind)
+                    edges = shard_edges(keys, shards)
+                    yield _batch([{"to": s, "block": row["block"], "kind": kind, "keys": deltas(keys[x:y]), "counts": planes(own[x:y])} for s, (x, y) in enumerate(zip(edges, edges[1:])) if y > x], schema)
 
     return run
 
 
-class Automaton:
-    """The part of the backoff automaton that a block's texts can reach: counts of its sorted n-grams, kind by kind."""
+def _sum_shards(schema: pa.Schema):
+    """Replies with the totals of a partition's n-grams, for each block in the order in which it sent them: 0 where it knows the total."""
+
+    def total(kind: int, parts: list) -> Iterator[pa.RecordBatch]:
+        keys, own = np.concatenate([undeltas(p[2]) for p in parts]), np.concatenate([unplanes(p[3]) for p in parts])
+        order = np.argsort(keys)
+        k = keys[order]
+        del keys
+        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        sums, width = np.add.reduceat(own[order].astype(np.int64), first), np.diff(np.append(first, len(k)))
+        del k
+        if kind == 1:
+            yield _batch([{"n": int(sums.sum()), "v": int((sums > 0).sum())}], schema)
+        all_ = np.empty(len(own), np.int64)
+        all_[order] = np.repeat(sums, width)
+        reply = np.split(np.where(all_ == own, 0, all_), np.cumsum([len(p[3]) // 4 for p in parts])[:-1])
+        for i in range(0, len(parts), 64):
+            yield _batch([{"to": p[1], "block": p[0], "kind": kind, "counts": planes(x)} for p, x in zip(parts[i : i + 64], reply[i : i + 64])], schema)
 
-    def __init__(self, mu: float, n: int, v: int):
-        self.mu, self.n, self.v = mu, n, v
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: dict[tuple[int, int], list] = {}  # by order and shard, one of which is summed up at a time
+        for b in batches:
+            for r in b.to_pylist():
+                got.setdefault((r["kind"], r["to"]), []).append((r["block"], r["to"], r["keys"], r["counts"]))
+        for kind, to in list(got):
+            yield from total(kind, got.pop((kind, to)))
 
-    @staticmethod
-    def counts(keys: np.ndarray, own: np.ndarray, shards: int, replies: list[tuple[int, np.ndarray]]) -> np.ndarray:
-        """The corpus's counts of keys: what the shards reply, or what the block knows itself."""
-        told, out = dict(replies), own.astype(np.int64)
-        for shard, at in shard_rows(keys, shards):
-            i = np.searchsorted(keys, at)
-            out[i] = np.where(told[shard] > 0, told[shard], out[i])
-        return out
+    return run
 
-    def traverse(self, c: np.ndarray, c_history: np.ndarray, c_arc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of the root's arcs, and of the arcs (or failure arc and root arc) taken from the states on the way."""
-        root = (c + 1.0) / (self.n + self.v + 1.0)
-        return np.log10(root), np.log10((c_arc + self.mu * root) / (c_history + self.mu))
 
+class Automaton:
+    """The states and arcs that a block's texts can reach, numbered in the block: 0 is the root.
 
-def _score(id_col: str, mu: float, n: int, v: int, shards: int):
-    names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    count[k] has the corpus's counts of the block's n-grams of order k.
+    """
 
-    def run(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        model, own = Automaton(mu, n, v), next(r for r in rows if r["kind"] == 0)
-        replies = {kind: [(r["to"], unplanes(r["counts"])) for r in rows if r["kind"] == kind] for kind in (1, 2)}
-        lengths, vocab, seq = np.frombuffer(own["lengths"], "<i8"), np.frombuffer(own["keys"], U), unplanes(own["seq"]).astype(np.int64)
-        held = np.array([held_out(i) for i in own["ids"]])
-        train = np.repeat(~held, lengths)
-        by_key = np.argsort(vocab)
-        c_vocab = np.empty(len(vocab), np.int64)
-        c_vocab[by_key] = model.counts(vocab[by_key], np.bincount(seq, train, len(vocab))[by_key], shards, replies[1])
-        tokens, c = vocab[seq], c_vocab[seq]
-        c_end = int(c_vocab[np.flatnonzero(vocab == END)[0]])
-        c_history, starts = np.roll(c, 1), np.cumsum(lengths) - lengths
-        c_history[starts] = c_end  # as many texts start as end
-        pairs, inv = np.unique(bigram_keys(_histories(tokens, lengths), tokens), return_inverse=True)
-        c_arc = model.counts(pairs, np.bincount(inv, train, len(pairs)), shards, replies[2])[inv]
-        base, full = model.traverse(c, c_history, c_arc)
-        add = lambda x: np.add.reduceat(x, starts)
-        cols = [held, lengths, add((c > 0).astype(np.int64)), np.full(len(held), n, np.int64), add(base), add(full)]
-        kind = group.schema.field("ids").type.value_type
-        return pa.Table.from_arrays([pa.array(own["ids"], kind), *map(pa.array, cols)], names=names)
+    def __init__(self, grams: Grams, count: dict[int, np.ndarray], mu: float, n: int, v: int):
+        self.wide = len(grams.vocab) + 1
+        end = int(np.flatnonzero(grams.vocab == END)[0])
+        self.root = np.log10((count[1] + 1.0) / (n + v + 1.0))
+        history = np.append(count[1], count[1][end])  # as many texts start as end
+        one = np.where(history > 0, np.arange(1, len(history) + 1), 0)
+        known = np.flatnonzero((count[2] > 0) & (grams.last2 != end))
+        two = np.zeros(len(count[2]), np.int64)
+        two[known] = len(history) + 1 + np.arange(len(known))
+        size = len(history) + 1 + len(known)
+        self.start, self.one = int(one[-1]), one
+        self.fail, self.fail_weight = np.zeros(size, np.int64), np.zeros(size)
+        self.fail_weight[1 : len(history) + 1] = np.log10(mu / (history + mu))
+        self.fail[two[known]], self.fail_weight[two[known]] = one[grams.last2[known]], np.log10(mu / (count[2][known] + mu))
+        p2 = (count[2] + mu * 10.0 ** self.root[grams.last2]) / (history[grams.first2] + mu)
+        p3 = (count[3] + mu * p2[grams.next3]) / (count[2][grams.history3] + mu)
+        seen2, seen3 = count[2] > 0, count[3] > 0
+        arcs = np.concatenate([(one[grams.first2] * self.wide + grams.last2)[seen2], (two[grams.history3] * self.wide + grams.last3)[seen3]])
+        order = np.argsort(arcs)
+        self.arcs = arcs[order]
+        self.target = np.concatenate([two[seen2], two[grams.next3][seen3]])[order]
+        self.weight = np.log10(np.concatenate([p2[seen2], p3[seen3]]))[order]
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after each word, and the log10 weights of the arcs on the way."""
+        state, weight, left = state.copy(), np.zeros(len(state)), np.arange(len(state))
+        after = self.one[word]
+        while len(left):
+            top = state[left] == 0
+            done = left[top]
+            weight[done] += self.root[word[done]]
+            left = left[~top]
+            key = state[left] * self.wide + word[left]
+            at = np.minimum(np.searchsorted(self.arcs, key), max(len(self.arcs) - 1, 0))
+            hit = self.arcs[at] == key if len(self.arcs) else np.zeros(len(left), bool)
+            weight[left[hit]] += self.weight[at[hit]]
+            after[left[hit]] = self.target[at[hit]]
+            left = left[~hit]
+            weight[left] += self.fail_weight[state[left]]
+            state[left] = self.fail[state[left]]
+        return after, weight
+
+    def traverse(self, seq: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """log10 probability of each text."""
+        runs = -(-lengths // RUN)
+        text = np.repeat(np.arange(len(lengths)), runs)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(runs) - runs, runs)
+        begin = (np.cumsum(lengths) - lengths)[text] + nth * RUN
+        stop = np.minimum(begin + RUN, np.cumsum(lengths)[text])
+        state, score = np.where(nth == 0, self.start, 0), np.zeros(len(text))
+        for k in range(-(ORDER - 1), RUN):
+            live = np.flatnonzero((begin + k < stop) & ((nth > 0) | (k >= 0)))
+            state[live], weight = self.step(state[live], seq[begin[live] + k])
+            if k >= 0:
+                score[live] += weight
+        return np.bincount(text, score, len(lengths))
+
+
+def _score(kind: pa.DataType, names: list[str], mu: float, n: int, v: int, shards: int):
+    def score(row: dict) -> pa.RecordBatch:
+        grams = Grams(row)
+        told = {(r["kind"], r["to"]): r["counts"] for r in row["replies"]}
+        count = {}
+        for order in range(1, ORDER + 1):
+            place, keys, own = grams.sent(order)
+            edges = shard_edges(keys, shards)
+            said = np.concatenate([np.zeros(0, "<u4"), *(unplanes(told[order, s]) for s, (x, y) in enumerate(zip(edges, edges[1:])) if y > x)])
+            count[order] = np.empty(len(keys), np.int64)
+            count[order][place] = np.where(said > 0, said, own)
+        model = Automaton(grams, count, mu, n, v)
+        c = count[1][grams.seq]
+        add = lambda x: np.add.reduceat(x, grams.starts)
+        cols = [grams.held, grams.lengths, add((c > 0).astype(np.int64)), np.full(len(grams.ids), n, np.int64), add(model.root[grams.seq]), model.traverse(grams.seq, grams.lengths)]
+        return pa.RecordBatch.from_arrays([pa.array(grams.ids, kind), *map(pa.array, cols)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                yield score(b.slice(k, 1).to_pylist()[0])
 
     return run
 
@@ -201,15 +286,23 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     end token; a null id counts as the empty string. Repeated rows are learnt from and scored each; an empty table gives
     an empty result; other columns don't matter.
     """
-    spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
-    shards = 4 * shuffle_partitions(spark)
-    ddl = _ROW.format(id=kind)
-    schema = pa.schema([("to", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("ids", pa.list_(_arrow_type(spark, kind))), *((x, pa.binary()) for x in ("lengths", "seq", "keys", "counts")), ("n", pa.int64()), ("v", pa.int64())])
-    sent = docs.select(id_col, text_col).mapInArrow(_emit(shards, schema), ddl).repartition(shuffle_partitions(spark), "to")
-    back = materialise(sent.mapInArrow(_sum_shards(schema), ddl), "ngrams")
-    size = back.where("kind = 3").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
-    out = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return back.where("kind < 3").groupBy("block").applyInArrow(_score(id_col, mu, size["n"] or 0, size["v"] or 0, shards), out)
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+    arrow, i, b = _arrow_type(spark, kind), pa.int64(), pa.binary()
+    cut = pa.schema([("block", i), ("ids", pa.list_(arrow)), ("lengths", b), ("vocab", b), ("seq", b), ("n_tokens", i)])
+    blocks = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")).mapInArrow(_cut(cut), _BLOCK.format(id=kind))
+    blocks = materialise(blocks, "blocks", **{"parquet.block.size": 16 << 20})  # a task reads few blocks at a time
+    tokens = blocks.agg(F.sum("n_tokens")).first()[0] or 0
+    parts = max(shuffle_partitions(spark), -(-tokens * ORDER // (2 * TASK_GRAMS)))
+    shards = SHARDS * parts
+    sent = pa.schema([("to", pa.int32()), ("block", i), ("kind", pa.int32()), ("keys", b), ("counts", b)])
+    sent = blocks.mapInArrow(_send(shards, sent), _SENT).repartition(parts, "to")
+    reply = pa.schema([("to", pa.int32()), ("block", i), ("kind", pa.int32()), ("counts", b), ("n", i), ("v", i)])
+    replies = materialise(sent.mapInArrow(_sum_shards(reply), _REPLY), "replies")
+    size = replies.where("kind is null").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    told = replies.where("kind is not null").groupBy("block").agg(F.collect_list(F.struct("kind", "to", "counts")).alias("replies"))
+    names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    out = f"{quoted(id_col)} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return blocks.join(told.hint("merge"), "block").mapInArrow(_score(arrow, names, mu, size["n"] or 0, size["v"] or 0, shards), out)
 
 
 def _arrow_type(spark, kind: str) -> pa.DataType:

@@ -122,30 +122,61 @@ def test_quality(docs, empty):
     assert quality.judge_quality(empty).count() == 0
 
 
-def test_lm_scoring(docs, empty):
+@pytest.mark.parametrize("block", [300, lm_scoring.BLOCK_TOKENS])
+def test_lm_scoring(docs, empty, monkeypatch, block):
+    monkeypatch.setattr(lm_scoring, "BLOCK_TOKENS", block)
     c, arcs, n, own = collections.Counter(), collections.Counter(), 0, plain(docs)
     for i, t in own:
         if not lm_scoring.held_out(i):
-            w = [*words(t), None]
-            c.update(w)
-            arcs.update(zip([0, *w[:-1]], w))
-            n += len(w)
-    want = collections.defaultdict(list)
+            w = [0, *words(t), None]
+            c.update(w[1:])
+            for k in (2, 3):
+                arcs.update(tuple(w[x : x + k]) for x in range(len(w) - k + 1))
+            arcs[(0,)] += 1
+            n += len(w) - 1
+    c_of = lambda g: c[g[0]] if len(g) == 1 and g != (0,) else arcs[g]
+    size = len([k for k in c if c[k]])
+
+    def p(h, x):
+        if not h:
+            return (c[x] + 1) / (n + size + 1)
+        return (arcs[(*h, x)] + lm_scoring.MU * p(h[1:], x)) / (c_of(h) + lm_scoring.MU)
+
+    want = {}
     for i, t in own:
-        h, base, score, w = 0, 0.0, 0.0, [*words(t), None]
-        for x in w:
-            p = (c[x] + 1) / (n + len([k for k in c if c[k]]) + 1)
-            base += math.log10(p)
-            score += math.log10((arcs[h, x] + lm_scoring.MU * p) / (c[None if h == 0 else h] + lm_scoring.MU))
-            h = x
-        want[i].append((len(w), base, score))
-    for r in lm_scoring.score_texts(docs).collect():
-        k, base, score = want[r["doc_id"]][0]
-        assert r["n_tokens"] == k and r["train_tokens"] == n
+        w = [0, *words(t), None]
+        steps = [(tuple(w[max(0, x - 2) : x]), w[x]) for x in range(1, len(w))]
+        want[i] = len(steps), sum(c[x] > 0 for _, x in steps), sum(math.log10(p((), x)) for _, x in steps), sum(math.log10(p(h, x)) for h, x in steps)
+    rows = lm_scoring.score_texts(docs).collect()
+    assert len(rows) == len(own)
+    for r in rows:
+        k, known, base, score = want[r["doc_id"]]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (k, known, n, lm_scoring.held_out(r["doc_id"]))
         assert abs(r["base_score"] - base) < 1e-6 * max(1, -base) and abs(r["score"] - score) < 1e-6 * max(1, -score)
     assert lm_scoring.score_texts(empty).count() == 0
 
 
+def test_automaton_sums_to_one_and_follows_failure_arcs():
+    words_ = np.array([lm_scoring.END, 5, 6, 7], np.uint64)
+    seq, lengths = np.array([1, 2, 1, 2, 3, 0, 2, 0]), np.array([6, 2])
+    row = {"ids": [i for i in range(20) if not lm_scoring.held_out(i)][:2], "lengths": lengths.astype("<i8").tobytes(), "vocab": words_.tobytes(), "seq": lm_scoring.planes(seq)}
+    grams = lm_scoring.Grams(row)
+    count = {}
+    for k in (1, 2, 3):
+        place, _, own = grams.sent(k)
+        count[k] = np.empty(len(own), np.int64)
+        count[k][place] = own
+    model = lm_scoring.Automaton(grams, count, 2.0, int(count[1].sum()), int((count[1] > 0).sum()))
+    unseen = 1 / (count[1].sum() + (count[1] > 0).sum() + 1)
+    for s in range(len(model.fail)):
+        _, weight = model.step(np.full(4, s), np.arange(4))
+        way, at = 0.0, s
+        while at:
+            way, at = way + model.fail_weight[at], model.fail[at]
+        assert abs((10**weight).sum() + 10**way * unseen - 1) < 1e-9
+    assert model.fail[model.step(np.array([model.start]), np.array([1]))[0]] > 0  # after two words: fails to one
+
+
 def test_mixing(docs, empty):
     rows = mixing.mix(docs).collect()
     again = mixing.mix(docs.repartition(3)).collect()
