@@ -9,7 +9,8 @@ weights on the way of an unseen word multiply up to its P(w | h); the arcs out o
 
 It never exists in one place. The corpus is cut into blocks of bounded size, written once. Each block counts its own
 n-grams and sends (n-gram, count) to the shard of the n-gram, packed as bytes; texts stay where they are. A shard adds up
-its n-grams over blocks and replies to each block with the totals that differ from what the block knows itself. A block
+its n-grams over blocks and replies to each block with the totals of those that other blocks have too. Words and pairs go
+first; of trigrams a block sends those alone whose two pairs other blocks have, as it knows the others' counts. A block
 then builds the states and arcs that its texts can reach, and texts go through it from left to right, all in step: each
 carries its state, follows failure arcs until there is an arc, and adds up weights. As a state remembers two words, long
 texts are cut into runs that read the two words before them first. A frequent n-gram costs a shard one entry a block, so
@@ -132,11 +133,27 @@ class Grams:
         self.next3 = np.zeros(len(three), np.int64)  # the trigram's last two words
         self.next3[self.at3] = self.at2[self.later]
 
-    def sent(self, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of an order: the order in which its n-grams are sent, their sorted hashes, and the block's own training counts."""
+    def sent(self, kind: int, shared2: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of an order: the places of the n-grams that are sent, as they are sent, their sorted hashes and own training counts; and the counts of all.
+
+        shared2: the pairs that other blocks have too.
+        """
         keys, at, train = {1: (self.vocab, self.seq, self.train), 2: (self.keys2, self.at2, self.train), 3: (self.keys3, self.at3, self.train[self.later])}[kind]
+        own = np.bincount(at, train, len(keys)).astype(np.int64)
         order = np.argsort(keys, kind="stable")
-        return order, keys[order], np.bincount(at, train, len(keys)).astype(np.int64)[order]
+        if kind == 3:
+            order = order[shared2[self.history3[order]] & shared2[self.next3[order]]]
+        return order, keys[order], own[order], own
+
+    def told(self, kind: int, replies: dict[tuple[int, int], bytes], shards: int, shared2: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The corpus's counts of an order's n-grams, and which of them other blocks have too."""
+        place, keys, _, count = self.sent(kind, shared2)
+        edges = shard_edges(keys, shards)
+        said = np.concatenate([np.zeros(0, "<u4"), *(unplanes(replies[kind, s]) for s, (x, y) in enumerate(zip(edges, edges[1:])) if y > x)]).astype(np.int64)
+        count, shared = count.copy(), np.zeros(len(count), bool)
+        shared[place] = said > 0
+        count[place] = np.where(said > 0, said - 1, count[place])
+        return count, shared
 
 
 def shard_edges(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -144,7 +161,11 @@ def shard_edges(keys: np.ndarray, shards: int) -> np.ndarray:
     return np.append(np.searchsorted(keys, np.arange(shards, dtype=U) * U((1 << 64) // shards)), len(keys))
 
 
-def _send(shards: int, schema: pa.Schema):
+def _said(row: dict) -> dict[tuple[int, int], bytes]:
+    return {(r["kind"], r["to"]): r["counts"] for r in row["replies"] or ()}
+
+
+def _send(shards: int, schema: pa.Schema, orders: tuple[int, ...]):
     """The n-grams of each block, by order and shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,8 +173,9 @@ def _send(shards: int, schema: pa.Schema):
             for k in range(b.num_rows):
                 row = b.slice(k, 1).to_pylist()[0]
                 grams = Grams(row)
-                for kind in range(1, ORDER + 1):
-                    _, keys, own = grams.sent(kind)
+                shared2 = grams.told(2, _said(row), shards)[1] if 3 in orders else None
+                for kind in orders:
+                    _, keys, own, _ = grams.sent(kind, shared2)
                     edges = shard_edges(keys, shards)
                     yield _batch([{"to": s, "block": row["block"], "kind": kind, "keys": deltas(keys[x:y]), "counts": planes(own[x:y])} for s, (x, y) in enumerate(zip(edges, edges[1:])) if y > x], schema)
 
@@ -161,7 +183,7 @@ def _send(shards: int, schema: pa.Schema):
 
 
 def _sum_shards(schema: pa.Schema):
-    """Replies with the totals of a partition's n-grams, for each block in the order in which it sent them: 0 where it knows the total."""
+    """Replies about a partition's n-grams, for each block in the order in which it sent them: the total and 1, or 0 if no other block has it."""
 
     def total(kind: int, parts: list) -> Iterator[pa.RecordBatch]:
         keys, own = np.concatenate([undeltas(p[2]) for p in parts]), np.concatenate([unplanes(p[3]) for p in parts])
@@ -174,8 +196,8 @@ def _sum_shards(schema: pa.Schema):
         if kind == 1:
             yield _batch([{"n": int(sums.sum()), "v": int((sums > 0).sum())}], schema)
         all_ = np.empty(len(own), np.int64)
-        all_[order] = np.repeat(sums, width)
-        reply = np.split(np.where(all_ == own, 0, all_), np.cumsum([len(p[3]) // 4 for p in parts])[:-1])
+        all_[order] = np.repeat(np.where(width > 1, sums + 1, 0), width)
+        reply = np.split(all_, np.cumsum([len(p[3]) // 4 for p in parts])[:-1])
         for i in range(0, len(parts), 64):
             yield _batch([{"to": p[1], "block": p[0], "kind": kind, "counts": planes(x)} for p, x in zip(parts[i : i + 64], reply[i : i + 64])], schema)
 
@@ -256,15 +278,10 @@ class Automaton:
 
 def _score(kind: pa.DataType, names: list[str], mu: float, n: int, v: int, shards: int):
     def score(row: dict) -> pa.RecordBatch:
-        grams = Grams(row)
-        told = {(r["kind"], r["to"]): r["counts"] for r in row["replies"]}
-        count = {}
-        for order in range(1, ORDER + 1):
-            place, keys, own = grams.sent(order)
-            edges = shard_edges(keys, shards)
-            said = np.concatenate([np.zeros(0, "<u4"), *(unplanes(told[order, s]) for s, (x, y) in enumerate(zip(edges, edges[1:])) if y > x)])
-            count[order] = np.empty(len(keys), np.int64)
-            count[order][place] = np.where(said > 0, said, own)
+        grams, said, count = Grams(row), _said(row), {}
+        count[1], _ = grams.told(1, said, shards)
+        count[2], shared2 = grams.told(2, said, shards)
+        count[3], _ = grams.told(3, said, shards, shared2)
         model = Automaton(grams, count, mu, n, v)
         c = count[1][grams.seq]
         add = lambda x: np.add.reduceat(x, grams.starts)
@@ -295,14 +312,22 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = max(shuffle_partitions(spark), -(-tokens * ORDER // (2 * TASK_GRAMS)))
     shards = SHARDS * parts
     sent = pa.schema([("to", pa.int32()), ("block", i), ("kind", pa.int32()), ("keys", b), ("counts", b)])
-    sent = blocks.mapInArrow(_send(shards, sent), _SENT).repartition(parts, "to")
     reply = pa.schema([("to", pa.int32()), ("block", i), ("kind", pa.int32()), ("counts", b), ("n", i), ("v", i)])
-    replies = materialise(sent.mapInArrow(_sum_shards(reply), _REPLY), "replies")
+
+    def ask(rows: DataFrame, *orders: int) -> DataFrame:
+        rows = rows.mapInArrow(_send(shards, sent, orders), _SENT).repartition(parts, "to")
+        return materialise(rows.mapInArrow(_sum_shards(reply), _REPLY), "replies")
+
+    def told(replies: DataFrame) -> DataFrame:
+        by_block = replies.where("kind is not null").groupBy("block").agg(F.collect_list(F.struct("kind", "to", "counts")).alias("replies"))
+        return blocks.join(by_block.hint("merge"), "block", "left")
+
+    replies = ask(blocks, 1, 2)
     size = replies.where("kind is null").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
-    told = replies.where("kind is not null").groupBy("block").agg(F.collect_list(F.struct("kind", "to", "counts")).alias("replies"))
+    replies = replies.unionByName(ask(told(replies), 3))
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     out = f"{quoted(id_col)} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.join(told.hint("merge"), "block").mapInArrow(_score(arrow, names, mu, size["n"] or 0, size["v"] or 0, shards), out)
+    return told(replies).mapInArrow(_score(arrow, names, mu, size["n"] or 0, size["v"] or 0, shards), out)
 
 
 def _arrow_type(spark, kind: str) -> pa.DataType:
