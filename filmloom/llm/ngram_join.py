@@ -531,16 +531,14 @@ def keep_one_of_linked(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     inner = docs.select(*[F.col(quoted(c)).alias(f"_x{i}") for i, c in enumerate(docs.columns)])
     own, text = f"_x{docs.columns.index(id_col)}", f"_x{docs.columns.index(text_col)}"
-    row = F.xxhash64(*[c for c, kind in inner.dtypes if "map<" not in kind and "variant" not in kind])
-    keyed = inner.withColumn("_row", row)
-    name = F.struct(F.col(own).isNull().alias("z"), F.col(own).alias("i"), F.col("_row").alias("r"))
+    hashed = [c for c, kind in inner.dtypes if "map<" not in kind and "variant" not in kind]
+    keyed = inner.withColumn("_r", F.xxhash64(*hashed)).withColumn("_q", F.xxhash64(F.lit(1), *hashed))
+    name = F.struct(F.col(own).isNull().alias("z"), F.col(own).alias("i"), F.col("_r").alias("r"), F.col("_q").alias("q"))
     linked = link_documents(keyed.select(name.alias("_name"), F.col(text).alias("_text")), "_name", "_text", width, percent)
-    stay = linked.where(F.col("component_id").eqNullSafe(F.col("_name"))).groupBy("_name").agg(F.max("n_shingles").alias("_n"))
-    stay = stay.select(F.col("_name.r").alias("_row"), F.col("_name.i").alias("_stay"), "_n")
-    same = (keyed[own] == stay["_stay"]) | (keyed[own].isNull() & stay["_stay"].isNull())  # no key of the join: rows stay dealt by _row
-    out = keyed.join(stay.hint("merge"), (keyed["_row"] == stay["_row"]) & same).drop(stay["_row"])
-    first = F.row_number().over(Window.partitionBy("_row", "_stay").orderBy("_row"))
-    out = out.withColumn("_first", F.when(F.col("_n") > 0, first).otherwise(1)).where("_first = 1")
+    # The name's hashes hold the id too, so that they alone deal out the rows: for the join, and for the choice among equal rows.
+    stay = linked.where(F.col("component_id").eqNullSafe(F.col("_name"))).groupBy(F.col("_name.r").alias("_r"), F.col("_name.q").alias("_q")).agg(F.max("n_shingles").alias("_n"))
+    first = F.row_number().over(Window.partitionBy("_r", "_q").orderBy("_r"))
+    out = keyed.join(stay.hint("merge"), ["_r", "_q"]).withColumn("_first", F.when(F.col("_n") > 0, first).otherwise(1)).where("_first = 1")
     return out.select(*[F.col(f"_x{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
