@@ -16,7 +16,8 @@ sizes' sum.
    link are left, then fine count vectors bound the overlap of documents of different components. The first two rounds
    take, of the pairs that survive, a spanning forest of each unit's components (at most a pair a row): first within
    blocks of a box, then across blocks too. Sets decide. The last round takes all pairs that survive and were not
-   rejected before, each in the smallest of the boxes that both are in, so no link between components is lost.
+   rejected before, each in the smallest of the boxes that both are in, so no link between components is lost; they are
+   many where a large group lies close to the threshold, so sets are sent to units, not to pairs.
 
 Pairs meet their count vectors before any set is fetched. Sets, links and boxes stay in tables; the driver sees counts only.
 """
@@ -368,10 +369,10 @@ def _cross_pairs(percent: int, all_pairs: bool):
                 return
             unit = t["unit"].to_numpy()
             edges = [0, *(np.flatnonzero(unit[1:] != unit[:-1]) + 1).tolist(), len(unit)]
-            found = {p for x, y in zip(edges, edges[1:]) if y - x > 1 for p in search(t.slice(x, y - x))}
+            found = {(*p, int(unit[x])) for x, y in zip(edges, edges[1:]) if y - x > 1 for p in search(t.slice(x, y - x))}
             if found:
                 a = np.array(sorted(found), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a[:, k]) for k in range(3)], names=["a", "b", "unit"])
 
         for b in batches:  # a unit may go on in the next batch
             unit = b.column("unit").to_numpy()
@@ -400,6 +401,41 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None
     return materialise(both.mapInArrow(_linked(percent), "a long, b long, ok boolean"), "verified", (near,))
 
 
+def _linked_in_unit(percent: int):
+    """Of a unit's pairs (a, b), given its sets (sid, hashes), links that join all that its links join."""
+
+    def run(pairs: pa.Table, rows: pa.Table) -> pa.Table:
+        sets = {i: np.frombuffer(h.as_buffer(), U) for i, h in zip(rows["sid"].to_pylist(), rows["hashes"])}
+        root, out = {i: i for i in sets}, []
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist()):
+            if find(a) != find(b):
+                x, y = sets[a], sets[b]
+                both = np.concatenate([x, y])
+                both.sort(kind="stable")
+                same = int((both[1:] == both[:-1]).sum())
+                if 100 * same >= percent * (len(x) + len(y) - same):
+                    root[find(a)] = find(b)
+                    out.append((a, b))
+        return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
+
+    return run
+
+
+def _verify_in_units(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """A table of links (a, b) among pairs (a, b, unit). Each set goes once to each unit that needs it, not once to each pair; a unit has at most two blocks of sets."""
+    ends = pairs.select(F.col("unit").alias("of"), F.col("a").alias("sid")).union(pairs.select("unit", "b")).distinct()
+    rows = ends.join(sets.select("sid", "hashes"), "sid")
+    links = pairs.groupBy("unit").cogroup(rows.groupBy("of")).applyInArrow(_linked_in_unit(percent), "a long, b long")
+    return materialise(links, "links")
+
+
 def _merge(comp: DataFrame, links: DataFrame) -> DataFrame:
     """comp (sid, comp) after links between sids."""
     if links.isEmpty():
@@ -427,7 +463,7 @@ def _units(live: DataFrame, comp: DataFrame, across: bool) -> tuple[DataFrame, D
 
 
 def _round(shared: DataFrame, comp: DataFrame, sets: DataFrame, percent: int, parts: int, across: bool, all_pairs: bool) -> DataFrame | None:
-    """A table of pairs (a, b) of different components that may link, or None if no unit has several components."""
+    """A table of pairs (a, b) of different components that may link, or None if no unit has several components. With all_pairs it names their units too."""
     live, units = _units(shared, comp, across)
     if units.isEmpty():
         drop(live, units)
@@ -440,8 +476,8 @@ def _round(shared: DataFrame, comp: DataFrame, sets: DataFrame, percent: int, pa
     rows = rows.select("key", "sid", "comp", "keys", F.col("side").alias("own")).join(ends, ["key", "own"])
     rows = rows.join(sets.select("sid", "n", "coarse", "fine"), "sid")
     rows = rows.select(F.xxhash64("key", "side", "other").alias("unit"), (F.col("side") < F.col("other")).alias("across"), F.col("own").alias("side"), "key", "sid", "n", "comp", "keys", "coarse", "fine")
-    pairs = rows.repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(_cross_pairs(percent, all_pairs), "a long, b long").distinct()
-    return materialise(pairs, "crossing", (live, units))
+    pairs = rows.repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(_cross_pairs(percent, all_pairs), "a long, b long, unit long")
+    return materialise(pairs if all_pairs else pairs.select("a", "b").distinct(), "crossing", (live, units))
 
 
 def _components(shared: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
@@ -451,24 +487,32 @@ def _components(shared: DataFrame, sets: DataFrame, percent: int, parts: int) ->
     first = low.groupBy("sid", "low").agg(F.count("*").alias("c")).groupBy("sid").agg(F.max_by("low", F.struct("c", "low")).alias("low"))
     comp, tried = materialise(sets.select("sid", F.col("sid").alias("comp")), "comp"), []
 
-    def settle(pairs: DataFrame) -> None:
-        nonlocal comp
+    def untried(pairs: DataFrame) -> DataFrame:
         for t in tried:
             pairs = pairs.join(t.where("not ok").select("a", "b"), ["a", "b"], "left_anti")
-        found = _verify(pairs, sets, percent)
+        return pairs
+
+    def settle(pairs: DataFrame) -> None:
+        nonlocal comp
+        found = _verify(untried(pairs), sets, percent)
         if found is not None:
             tried.append(found)
             comp = _merge(comp, found.where("ok"))
 
     settle(first.select(F.col("low").alias("a"), F.col("sid").alias("b")))
     large = not shared.groupBy("key").count().where(F.col("count") > BLOCK_ROWS).isEmpty()
-    for across, all_pairs in ((False, False), *([(True, False)] if large else []), (True, True)):
-        crossing = _round(shared, comp, sets, percent, parts, across, all_pairs)
+    for across in (False, True) if large else (False,):
+        crossing = _round(shared, comp, sets, percent, parts, across, False)
         if crossing is not None:
             settle(crossing)
             drop(crossing)
-        elif across:
-            break
+    crossing = _round(shared, comp, sets, percent, parts, True, True)
+    if crossing is not None:
+        pairs = materialise(untried(crossing), "pairs", (crossing,))
+        links = _verify_in_units(pairs, sets, percent)
+        drop(pairs)
+        comp = _merge(comp, links)
+        drop(links)
     drop(*tried)
     return comp
 

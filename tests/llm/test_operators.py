@@ -305,8 +305,8 @@ def test_ngram_join_in_blocks(spark, monkeypatch):
         for _ in range(r.choice([1, 1, 2, 3])):
             w[r.randrange(60)] = f"x{r.randrange(100)}"
         rows.append((i, " ".join(w)))
-    long = [f"y{r.randrange(10**6)}" for _ in range(200_000)]
-    rows += [(100, " ".join(long)), (101, " ".join(long[:-9000])), (102, " ".join(long[:90_000]))]
+    long = [f"y{r.randrange(10**6)}" for _ in range(20_000)]
+    rows += [(100, " ".join(long)), (101, " ".join(long[:-900])), (102, " ".join(long[:9_000]))]
     sets = [{tuple(t.split()[k : k + 4]) for k in range(len(t.split()) - 3)} for _, t in rows]
     root = list(range(len(rows)))
     for a in range(len(rows)):
