@@ -28,3 +28,21 @@ def usual_length(start: Column, end: Column) -> Column:
     """The score where a question names no time."""
     length = end - start
     return F.when((length > 0) & (length <= USUAL), 1.0).otherwise(F.greatest(F.lit(0.5), 1.0 - (length - USUAL) / USUAL))
+
+
+def clock(seconds: Column) -> Column:
+    """Seconds as H:MM:SS, or M:SS under an hour."""
+    h, m, s = (F.floor(x).cast("long") for x in (seconds / 3600, F.pmod(seconds, F.lit(3600.0)) / 60, F.pmod(seconds, F.lit(60.0))))
+    return F.when(h > 0, F.format_string("%d:%02d:%02d", h, m, s)).otherwise(F.format_string("%d:%02d", m, s))
+
+
+def timecode(seconds: Column) -> Column:
+    """Seconds as HH:MM:SS.ss, without .00; null and negative ones as zero."""
+    t = F.greatest(F.lit(0.0), F.coalesce(seconds.cast("double"), F.lit(0.0)))
+    h, m = F.floor(t / 3600).cast("long"), F.floor(F.pmod(t, F.lit(3600.0)) / 60).cast("long")
+    return F.replace(F.format_string("%02d:%02d:%05.2f", h, m, t - (h * 3600 + m * 60)), F.lit(".00"), F.lit(""))
+
+
+def seconds_per_shot(runtime_minutes: Column, shots: Column) -> Column:
+    """A film's seconds by its shots; 8 where the runtime or the shots are not known."""
+    return F.when((runtime_minutes > 0) & (shots > 1), runtime_minutes * 60.0 / shots).otherwise(F.lit(8.0))

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from filmloom.plans import queries as _queries, retrieval as _retrieval  # noqa: F401
+from filmloom.plans import entities as _entities, queries as _queries, retrieval as _retrieval  # noqa: F401
 from filmloom.plans.registry import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
