@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What counts as white space, and the suffixes in the order in which they are tried.
-SPACE = r"[\s\x0B\x1C-\x1F\x85\xA0  -     　]+"
+SPACE = r"[\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
 SUFFIXES = ("ing", "ers", "ies", "ied", "ed", "es", "s")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filmloom.functions import names, temporal
-from filmloom.operators import grading
+from filmloom.operators import grading, sequences
 from filmloom.plans.registry import query
 from filmloom.session import table
 
@@ -69,3 +69,26 @@ def grade_threshold(spark, d: str) -> DataFrame:
 def groups_of_entity(spark, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").select("l_suppkey", F.col("l_orderkey").alias("o_orderkey")).join(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey")
     return grading.groups_of_entity(rows, "l_suppkey", "o_orderpriority", "o_orderkey")
+
+
+@query("keyframe_thinning", """
+WITH e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+SELECT user_id, event_id, place FROM e WHERE n <= 7 OR place IN (SELECT floor(i * n / 7.0)::BIGINT FROM range(7) t(i))""")
+def keyframe_thinning(spark, d: str) -> DataFrame:
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    rows = table(spark, d, "events").select("user_id", "event_id", nth.cast("long").alias("place"))
+    return sequences.thin(rows, "user_id", "place", 7)
+
+
+@query("text_matches_any", "SELECT p_partkey, (contains(t, 'brand') OR contains(t, 'steel')) AS hit FROM (SELECT p_partkey, trim(regexp_replace(lower(p_brand || '-' || p_type), '[^a-z0-9_]+', ' ', 'g')) AS t FROM part)")
+def text_matches_any(spark, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", sequences.matches_any(F.concat("p_brand", F.lit("-"), "p_type"), F.array(F.lit("Brand!"), F.lit("STEEL"))).alias("hit"))
+
+
+@query("min_duration_refine")
+def min_duration_refine(spark, d: str) -> DataFrame:
+    """Of each order's ship days since its first, those at least ten days after the last one kept. A fold has no plain SQL; a worked case tests it."""
+    day = F.datediff("l_shipdate", F.lit("2020-01-01")).cast("double")
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_set(day)).alias("days"))
+    days = F.transform("days", lambda x: x - F.col("days")[0])
+    return rows.select("l_orderkey", sequences.min_duration(days, F.array_max(days) + 1, 10.0).alias("kept"))
