@@ -42,7 +42,7 @@ def word_stems(spark, d: str) -> DataFrame:
     return words.groupBy(names.stem(F.col("w")).alias("stem")).agg(F.count("*").alias("n"))
 
 
-@query("clock_times", "SELECT l_orderkey, l_linenumber, sum(h) AS n_hours, max(CASE WHEN h > 0 THEN printf('%d:%02d:%02d', h, m, s) ELSE printf('%d:%02d', m, s) END) AS last FROM (SELECT l_orderkey, l_linenumber, (t // 3600)::BIGINT AS h, (t % 3600 // 60)::BIGINT AS m, (t % 60)::BIGINT AS s FROM (SELECT *, floor(l_extendedprice)::BIGINT AS t FROM lineitem)) GROUP BY ALL")
+@query("clock_times", "SELECT l_orderkey, l_linenumber, sum(h)::BIGINT AS n_hours, max(CASE WHEN h > 0 THEN printf('%d:%02d:%02d', h, m, s) ELSE printf('%d:%02d', m, s) END) AS last FROM (SELECT l_orderkey, l_linenumber, (t // 3600)::BIGINT AS h, (t % 3600 // 60)::BIGINT AS m, (t % 60)::BIGINT AS s FROM (SELECT *, floor(l_extendedprice)::BIGINT AS t FROM lineitem)) GROUP BY ALL")
 def clock_times(spark, d: str) -> DataFrame:
     t = F.floor("l_extendedprice").cast("double")
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.floor(t / 3600).alias("h"), temporal.clock(t).alias("c"))
