@@ -17,6 +17,8 @@ WS_RE = r"[\x20\x09-\x0D]+"
 WORD_RE = r"[^\x20\x09-\x0D]+"
 #: Drops a query's shuffle files as soon as it has ended.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of an Arrow batch.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Scratch tables that are still there.
 _live: set[str] = set()
 
@@ -33,15 +35,30 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._filmloom_scratch
 
 
-def _write(spark: SparkSession, label: str, write) -> str:
-    """The path in the shared folder that write, called with it, has filled; it goes when the session ends."""
-    path = os.path.join(shared_dir(spark), f"filmloom-{label}-{uuid.uuid4().hex}")
-    before = spark.conf.get(CLEAN_UP, "false")
-    spark.conf.set(CLEAN_UP, "true")
+@contextmanager
+def _settings(spark: SparkSession, values: dict[str, object]) -> Iterator[None]:
+    """Session settings that hold within alone."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, str(v))
     try:
-        write(path)
+        yield
     finally:
-        spark.conf.set(CLEAN_UP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def _write(spark: SparkSession, label: str, write, batch_bytes: int | None = None) -> str:
+    """The path in the shared folder that write, called with it, has filled; it goes when the session ends.
+
+    batch_bytes: about so many bytes reach Python at a time, and a row at least.
+    """
+    path = os.path.join(shared_dir(spark), f"filmloom-{label}-{uuid.uuid4().hex}")
+    with _settings(spark, {CLEAN_UP: "true", **({BATCH_BYTES: batch_bytes} if batch_bytes else {})}):
+        write(path)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
@@ -49,12 +66,13 @@ def _write(spark: SparkSession, label: str, write) -> str:
     return path
 
 
-def materialise(df: DataFrame, label: str, free: tuple[DataFrame, ...] = (), **options: object) -> DataFrame:
+def materialise(df: DataFrame, label: str, free: tuple[DataFrame, ...] = (), batch_bytes: int | None = None, **options: object) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: later steps start from files that outlive executors.
 
-    free: tables from earlier calls that nothing needs any more; their files go once df is written. options: the writer's.
+    free: tables from earlier calls that nothing needs any more; their files go once df is written. batch_bytes: for df's
+    Python functions, the size of a batch. options: the writer's.
     """
-    path = _write(df.sparkSession, label, df.write.options(**options).parquet)
+    path = _write(df.sparkSession, label, df.write.options(**options).parquet, batch_bytes)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._filmloom_path = path
     drop(*free)

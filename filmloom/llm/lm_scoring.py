@@ -37,6 +37,8 @@ ORDER = 3
 BLOCK_TOKENS = 1 << 19
 #: N-grams that a shard's task holds at a time, about, and shards a task.
 TASK_GRAMS, SHARDS = 2_000_000, 4
+#: Bytes of blocks or n-grams that go to Python at a time.
+BATCH = 4 << 20
 #: Tokens of a run.
 RUN = 64
 FOLDS, HELD_OUT = 7, 2
@@ -316,18 +318,19 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def ask(rows: DataFrame, *orders: int) -> DataFrame:
         rows = rows.mapInArrow(_send(shards, sent, orders), _SENT).repartition(parts, "to")
-        return materialise(rows.mapInArrow(_sum_shards(reply), _REPLY), "replies")
+        return materialise(rows.mapInArrow(_sum_shards(reply), _REPLY), "replies", batch_bytes=BATCH)
 
     def told(replies: DataFrame) -> DataFrame:
         by_block = replies.where("kind is not null").groupBy("block").agg(F.collect_list(F.struct("kind", "to", "counts")).alias("replies"))
         return blocks.join(by_block.hint("merge"), "block", "left")
 
-    replies = ask(blocks, 1, 2)
-    size = replies.where("kind is null").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
-    replies = replies.unionByName(ask(told(replies), 3))
+    first = ask(blocks, 1, 2)
+    size = first.where("kind is null").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    second = ask(told(first), 3)
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     out = f"{quoted(id_col)} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return told(replies).mapInArrow(_score(arrow, names, mu, size["n"] or 0, size["v"] or 0, shards), out)
+    scored = told(first.unionByName(second)).mapInArrow(_score(arrow, names, mu, size["n"] or 0, size["v"] or 0, shards), out)
+    return materialise(scored, "scored", (blocks, first, second), batch_bytes=BATCH)
 
 
 def _arrow_type(spark, kind: str) -> pa.DataType:
