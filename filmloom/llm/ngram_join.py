@@ -468,12 +468,12 @@ def _round(shared: DataFrame, comp: DataFrame, sets: DataFrame, percent: int, pa
     if units.isEmpty():
         drop(live, units)
         return None
-    if all_pairs:  # a document's boxes, which its number of ranges bounds
-        rows = live.join(live.groupBy("sid").agg(F.collect_list("key").alias("keys")), "sid")
-    else:
-        rows = live.withColumn("keys", F.lit(None).cast("array<long>"))
     ends = units.select("key", "side", "other", F.col("side").alias("own")).union(units.where("side < other").select("key", "side", "other", F.col("other").alias("own")))
-    rows = rows.select("key", "sid", "comp", "keys", F.col("side").alias("own")).join(ends, ["key", "own"])
+    rows = live.select("key", "sid", "comp", F.col("side").alias("own")).join(ends, ["key", "own"])
+    if all_pairs:  # a document's boxes, which its number of ranges bounds; like its vectors they come last, so that they are sent once
+        rows = rows.join(live.groupBy("sid").agg(F.collect_list("key").alias("keys")), "sid")
+    else:
+        rows = rows.withColumn("keys", F.lit(None).cast("array<long>"))
     rows = rows.join(sets.select("sid", "n", "coarse", "fine"), "sid")
     rows = rows.select(F.xxhash64("key", "side", "other").alias("unit"), (F.col("side") < F.col("other")).alias("across"), F.col("own").alias("side"), "key", "sid", "n", "comp", "keys", "coarse", "fine")
     pairs = rows.repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(_cross_pairs(percent, all_pairs), "a long, b long, unit long")
