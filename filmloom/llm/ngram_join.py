@@ -16,7 +16,7 @@ sizes' sum.
    link are left, then fine count vectors bound the overlap of documents of different components. The first two rounds
    take, of the pairs that survive, a spanning forest of each unit's components (at most a pair a row): first within
    blocks of a box, then across blocks too. Sets decide. The last round takes all pairs that survive and were not
-   rejected before, each in the smallest of the boxes that both are in, so no link between components is lost; they are
+   rejected before, each once whatever boxes it shares, so no link between components is lost; they are
    many where a large group lies close to the threshold, so sets are sent to units, not to pairs.
 
 Pairs meet their count vectors before any set is fetched. Sets, links and boxes stay in tables; the driver sees counts only.
@@ -41,6 +41,8 @@ GROUPS = 64
 FINEST = 1 << 15
 #: Rows of a box that are searched together.
 BLOCK_ROWS = 1024
+#: Pairs of units that a task holds before it passes them on.
+HELD_PAIRS = 1 << 18
 GROWTH = 1.5
 #: Ranges for each shingle that may differ. More of them let a document leave out more of its common boxes.
 SPARE = 1.25
@@ -334,13 +336,13 @@ def _linked(percent: int):
 
 
 def _cross_pairs(percent: int, all_pairs: bool):
-    """Pairs of different components in a unit (rows sorted by it) that count vectors can't rule out: a spanning forest of
-    them, or all of those whose smallest common box is this one."""
+    """Pairs of different components in a unit (rows sorted by it) that count vectors can't rule out: all of them or a
+    spanning forest. Two that share several boxes may be in several units' pairs."""
 
-    def search(t: pa.Table) -> Iterator[tuple[int, int]]:
+    def search(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         comp, side, size, sid = (t[c].to_numpy() for c in ("comp", "side", "n", "sid"))
         if (comp == comp[0]).all():
-            return
+            return sid[:0], sid[:0]
         coarse = np.frombuffer(b"".join(t["coarse"].to_pylist()), "<u4").reshape(len(sid), GROUPS).astype(np.int64)
         i, j = CountRTree(coarse, size, percent).join()
         ok = comp[i] != comp[j]
@@ -350,16 +352,12 @@ def _cross_pairs(percent: int, all_pairs: bool):
         bound = CountVectors(t["fine"].to_pylist(), size).bounds(i, j)
         spare = (100 + percent) * bound - percent * (size[i] + size[j])
         i, j, spare = i[spare >= 0], j[spare >= 0], spare[spare >= 0]
-        if all_pairs:
-            keys, own = t["keys"].to_pylist(), t["key"][0].as_py()
-            chosen = [x for x in range(len(i)) if min(set(keys[i[x]]).intersection(keys[j[x]])) == own]
-        else:
+        if not all_pairs:
             order = np.lexsort([sid[j], sid[i], -spare / (size[i] + size[j])])
             i, j = i[order], j[order]
             chosen = spanning(i, j, comp)
-        for x in chosen:
-            a, b = int(sid[i[x]]), int(sid[j[x]])
-            yield min(a, b), max(a, b)
+            i, j = i[chosen], j[chosen]
+        return np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -369,10 +367,15 @@ def _cross_pairs(percent: int, all_pairs: bool):
                 return
             unit = t["unit"].to_numpy()
             edges = [0, *(np.flatnonzero(unit[1:] != unit[:-1]) + 1).tolist(), len(unit)]
-            found = {(*p, int(unit[x])) for x, y in zip(edges, edges[1:]) if y - x > 1 for p in search(t.slice(x, y - x))}
-            if found:
-                a = np.array(sorted(found), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(a[:, k]) for k in range(3)], names=["a", "b", "unit"])
+            found: list[tuple[np.ndarray, ...]] = []
+            for x, y in zip(edges, edges[1:]):
+                if y - x > 1:
+                    a, b = search(t.slice(x, y - x))
+                    if len(a):
+                        found.append((a, b, np.full(len(a), unit[x])))
+                if found and (y == len(unit) or sum(len(f[0]) for f in found) > HELD_PAIRS):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["a", "b", "unit"])
+                    found = []
 
         for b in batches:  # a unit may go on in the next batch
             unit = b.column("unit").to_numpy()
@@ -470,14 +473,11 @@ def _round(shared: DataFrame, comp: DataFrame, sets: DataFrame, percent: int, pa
         return None
     ends = units.select("key", "side", "other", F.col("side").alias("own")).union(units.where("side < other").select("key", "side", "other", F.col("other").alias("own")))
     rows = live.select("key", "sid", "comp", F.col("side").alias("own")).join(ends, ["key", "own"])
-    if all_pairs:  # a document's boxes, which its number of ranges bounds; like its vectors they come last, so that they are sent once
-        rows = rows.join(live.groupBy("sid").agg(F.collect_list("key").alias("keys")), "sid")
-    else:
-        rows = rows.withColumn("keys", F.lit(None).cast("array<long>"))
     rows = rows.join(sets.select("sid", "n", "coarse", "fine"), "sid")
-    rows = rows.select(F.xxhash64("key", "side", "other").alias("unit"), (F.col("side") < F.col("other")).alias("across"), F.col("own").alias("side"), "key", "sid", "n", "comp", "keys", "coarse", "fine")
+    rows = rows.select(F.xxhash64("key", "side", "other").alias("unit"), (F.col("side") < F.col("other")).alias("across"), F.col("own").alias("side"), "sid", "n", "comp", "coarse", "fine")
     pairs = rows.repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(_cross_pairs(percent, all_pairs), "a long, b long, unit long")
-    return materialise(pairs if all_pairs else pairs.select("a", "b").distinct(), "crossing", (live, units))
+    once = pairs.groupBy("a", "b").agg(F.min("unit").alias("unit")) if all_pairs else pairs.select("a", "b").distinct()
+    return materialise(once, "crossing", (live, units))
 
 
 def _components(shared: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
