@@ -110,6 +110,11 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def two_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """An id and a text column as _id and _text: functions that map batches take no names with dots."""
+    return docs.select(F.col(quoted(id_col)).alias("_id"), F.col(quoted(text_col)).alias("_text"))
+
+
 @contextmanager
 def bucketed(df: DataFrame, key: str, label: str, buckets: int) -> Iterator[DataFrame]:
     """Like materialise, in buckets of key: joins on key don't shuffle this side. For keys without hot values; its files go at the end."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact_dedup, lm_scoring, mixing, ngram_join, packing, pii, quality, suffix_dedup, token_counts, url_filter
+from . import exact_dedup, lm_scoring, mixing, ngram_join, packing, period_runs, pii, quality, suffix_dedup, token_counts, url_filter
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -18,6 +18,7 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_pii": pii.op9_pii,
     "op10_url_filters": url_filter.op10_url_filters,
+    "op11_period_runs": period_runs.op11_period_runs,
 }
 
 ORACLE = {
