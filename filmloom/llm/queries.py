@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact_dedup, lm_scoring, mixing, ngram_join, packing, period_runs, pii, quality, suffix_dedup, token_counts, url_filter
+from . import exact_dedup, lm_scoring, mixing, ngram_join, packing, period_runs, pii, quality, suffix_dedup, token_counts, url_filter, whitening
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -19,6 +19,7 @@ QUERIES = {
     "op9_pii": pii.op9_pii,
     "op10_url_filters": url_filter.op10_url_filters,
     "op11_period_runs": period_runs.op11_period_runs,
+    "op12_whitening": whitening.op12_whitening,
 }
 
 ORACLE = {
