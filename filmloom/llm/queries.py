@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact_dedup, lm_scoring, mixing, ngram_join, packing, period_runs, pii, quality, suffix_dedup, token_counts, url_filter, whitening
+from . import exact_dedup, lm_scoring, mixing, ngram_join, nn_descent, packing, period_runs, pii, quality, suffix_dedup, token_counts, url_filter, whitening
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -20,6 +20,7 @@ QUERIES = {
     "op10_url_filters": url_filter.op10_url_filters,
     "op11_period_runs": period_runs.op11_period_runs,
     "op12_whitening": whitening.op12_whitening,
+    "op13_nn_descent": nn_descent.op13_nn_descent,
 }
 
 ORACLE = {
