@@ -11,13 +11,13 @@ from filmloom.functions import temporal
 EXPRESSIONS = (
     ("at_time", r"at\s+(\d{1,2}:\d{2}(?::\d{2})?)", 1.0),
     ("at_time", r"at\s+(\d+(?:\.\d+)?)\s*(seconds?|minutes?|mins?|secs?|hours?|hrs?)", 0.9),
-    ("first_occurrence", r"first\s+(?:time\s+)?(?:we\s+|I\s+)?(?:see\s*)?([A-Z][A-Z\s]+?)\s+(?:appears?|see|shown)", 0.9),
-    ("first_occurrence", r"first\s+([A-Z][A-Z]+)", 0.8),
-    ("last_occurrence", r"last\s+(?:time\s+)?(?:we\s+|I\s+)?(?:see|saw)\s+([A-Z][A-Z]+)", 0.9),
-    ("before_event", r"before\s+([A-Z][A-Z]+)\s+(?:happens?|appears?)", 0.85),
-    ("after_event", r"after\s+([A-Z][A-Z]+)", 0.85),
-    ("any_occurrence", r"when\s+does\s+([A-Z][A-Z]+)\s+(?:happen|appear|show)", 0.85),
-    ("during_event", r"during\s+(?:the\s+)?([A-Z][A-Z]+)", 0.8),
+    ("first_occurrence", r"(?:the\s+)?first\s+(?:time\s+)?(?:we\s+|I\s+)?(?:see|see\s+|see\s+)?([A-Z][a-zA-Z\s]+?)(?:\s+(?:appears?|see|appear|shown))", 0.9),
+    ("first_occurrence", r"first\s+([a-z][a-zA-Z]+)", 0.8),
+    ("last_occurrence", r"last\s+(?:time\s+)?(?:we\s+|I\s+)?(?:see|see\s+|saw)\s+([A-Z][a-zA-Z]+)", 0.9),
+    ("before_event", r"before\s+([A-Z][a-zA-Z]+)\s+(?:happens?|appears?)", 0.85),
+    ("after_event", r"after\s+([A-Z][a-zA-Z]+)", 0.85),
+    ("any_occurrence", r"when\s+does\s+([A-Z][a-zA-Z]+)\s+(happen|appear|show)", 0.85),
+    ("during_event", r"during\s+(?:the\s+)?([A-Z][a-zA-Z]+)", 0.8),
 )
 #: The score of an event whose time is unknown, of one that the interval may lie in, of a named entity found, of any other.
 UNKNOWN, DURING, NAMED, OTHER = 0.6, 0.9, 0.95, 0.5

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
@@ -85,26 +88,39 @@ def greedy_chunks(df: DataFrame, keys: list[str], start: str, end: str, most: fl
     """Segments of each key joined in order of start while they span at most `most` seconds: chunk, start_s, end_s, n.
 
     Where a chunk ends depends on where it began, which no window expresses. But one always ends where the next end is
-    more than `most` after the start before, so each key is first cut there by a window, which sorts a key in one task and
-    may spill; a part without such a gap is held in one task.
+    more than `most` after the start before, so a window first cuts each key there. Rows are dealt by key and cut, sorted,
+    and read in one pass that keeps a chunk at a time, however long a part without a cut is. Rows with a null start or end go.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-
-    inner, ids = [start, end], [*keys, "_cut"]
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        for s, e in pdf[inner].sort_values(inner).itertuples(index=False):
-            if out and max(out[-1][1], e) - out[-1][0] <= most:
-                out[-1][1], out[-1][2] = max(out[-1][1], e), out[-1][2] + 1
-            else:
-                out.append([s, e, 1])
-        return pd.DataFrame([[*key, i, *c] for i, c in enumerate(out)], columns=[*ids, "_i", "start_s", "end_s", "n"])
-
-    rows = df.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select(*keys, F.col(start).cast("double"), F.col(end).cast("double"))
-    w = Window.partitionBy(*keys).orderBy(start, end)
-    gap = F.coalesce((F.col(end) - F.lag(start).over(w) > most).cast("long"), F.lit(0).cast("long"))
-    rows = rows.withColumn("_gap", gap).withColumn("_cut", F.sum("_gap").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_gap")
-    found = rows.groupBy(*ids).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", _cut long, _i int, start_s double, end_s double, n long")
-    chunk = F.row_number().over(Window.partitionBy(*keys).orderBy("_cut", "_i")) - 1
-    return found.withColumn("chunk", chunk.cast("int")).select(*keys, "chunk", "start_s", "end_s", "n")
+    kinds = {f.name: f.dataType for f in df.schema}
+    names, ids = [f"_k{i}" for i in range(len(keys))], [*range(len(keys)), len(keys)]
+    out = pa.schema([*((n, to_arrow_type(kinds[k])) for n, k in zip(names, keys)), ("_cut", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list | None = None  # a part's key and cut, and the start, end and rows of its open chunk
+        for b in batches:
+            done = []
+            key = [b.column(i).to_pylist() for i in ids]
+            for *k, s, e in zip(*key, b.column(len(ids)).to_pylist(), b.column(len(ids) + 1).to_pylist()):
+                if held and held[0] == k and max(held[2], e) - held[1] <= most:
+                    held[2], held[3] = max(held[2], e), held[3] + 1
+                else:
+                    done += [held] if held else []
+                    held = [k, s, e, 1]
+            if done:
+                yield as_batch(done)
+        if held:
+            yield as_batch([held])
+
+    def as_batch(done: list[list]) -> pa.RecordBatch:
+        rows = [[*k, *rest] for k, *rest in done]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
+
+    rows = df.where(F.col(start).isNotNull() & F.col(end).isNotNull())
+    rows = rows.select(*[F.col(k).alias(n) for n, k in zip(names, keys)], F.col(start).cast("double").alias("_s"), F.col(end).cast("double").alias("_e"))
+    w = Window.partitionBy(*names).orderBy("_s", "_e")
+    gap = F.coalesce((F.col("_e") - F.lag("_s").over(w) > most).cast("long"), F.lit(0).cast("long"))
+    rows = rows.withColumn("_gap", gap).withColumn("_cut", F.sum("_gap").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    dealt = rows.select(*names, "_cut", "_s", "_e").repartition(*names, "_cut").sortWithinPartitions(*names, "_cut", "_s", "_e")
+    found = dealt.mapInArrow(run, ", ".join(f"{n} {kinds[k].simpleString()}" for n, k in zip(names, keys)) + ", _cut long, start_s double, end_s double, n long")
+    chunk = F.row_number().over(Window.partitionBy(*names).orderBy("start_s", "end_s")) - 1
+    return found.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], chunk.cast("int").alias("chunk"), "start_s", "end_s", "n")

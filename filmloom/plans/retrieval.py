@@ -68,7 +68,7 @@ def temporal_score_at_time(spark, d: str) -> DataFrame:
     return x.select("user_id", "day", *[F.round(c, 6).alias(n) for n, c in scores.items()])
 
 
-@query("greedy_chunks")
+@query("greedy_chunks", f"WITH RECURSIVE {_D_EV}, o AS (SELECT user_id, t AS s, t + 60 AS e, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS rn FROM ev), c AS (SELECT user_id, rn, 0 AS chunk, s AS start_s, e AS end_s FROM o WHERE rn = 1 UNION ALL SELECT o.user_id, o.rn, CASE WHEN greatest(end_s, e) - start_s <= 21600 THEN chunk ELSE chunk + 1 END, CASE WHEN greatest(end_s, e) - start_s <= 21600 THEN start_s ELSE s END, CASE WHEN greatest(end_s, e) - start_s <= 21600 THEN greatest(end_s, e) ELSE e END FROM c JOIN o ON o.user_id = c.user_id AND o.rn = c.rn + 1) SELECT user_id, chunk, min(start_s) AS start_s, max(end_s) AS end_s, count(*) AS n FROM c GROUP BY user_id, chunk")
 def greedy_chunks(spark, d: str) -> DataFrame:
     """Chunks of at most six hours of each user's events, each event taken as a minute long."""
     ev = events(spark, d).withColumn("e", F.col("t") + 60)
