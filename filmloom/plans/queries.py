@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from filmloom.functions import text as T
 from filmloom.functions.vectors import dot, doubles, mean_vector
-from filmloom.operators import graph, search, timeline
+from filmloom.operators import graph, ranges, search, timeline
 from filmloom.plans.registry import query
 from filmloom.session import table
 
@@ -82,10 +82,11 @@ def vector_mean_pool_group(spark, d: str) -> DataFrame:
 
 @query("sim_drop_segments", f"WITH {_D_E}, s AS (SELECT label, vec_id, round(list_inner_product(v, lag(v) OVER w), 4) AS sim FROM e WINDOW w AS (PARTITION BY label ORDER BY vec_id)) SELECT label, vec_id, sim, sum(CASE WHEN sim < 0.3 THEN 1 ELSE 0 END) OVER (PARTITION BY label ORDER BY vec_id)::BIGINT AS segment FROM s")
 def sim_drop_segments(spark, d: str) -> DataFrame:
-    w = Window.partitionBy("label").orderBy("vec_id")
     v = doubles(F.col("embedding"))
-    out = table(spark, d, "embeddings").select("label", "vec_id", F.round(dot(v, F.lag(v).over(w)), 4).alias("sim"))
-    return out.withColumn("segment", F.sum(F.when(F.col("sim") < 0.3, 1).otherwise(0)).over(w))
+    rows = ranges.placed(table(spark, d, "embeddings").select("label", "vec_id", v.alias("v")), "label", "vec_id")
+    out = ranges.over_ranges(rows, "label", "place", 1, 0, lambda w: {"sim": F.round(dot(F.col("v"), F.lag("v").over(w)), 4)}).drop("v")
+    drops = F.when(F.col("sim") < 0.3, 1).otherwise(0)
+    return ranges.running_sum(out, "label", "place", drops, "segment").drop("place")
 
 
 @query("hybrid_window_search", f"WITH {_D_E}, q AS (SELECT v AS q FROM e WHERE vec_id = 0), s AS (SELECT label, vec_id, round(list_inner_product(v, q), 4) AS sim FROM e, q) SELECT label, vec_id, sim, round(0.6 * sim + 0.4 * avg(sim) OVER (PARTITION BY label ORDER BY vec_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 3) AS score FROM s")
@@ -93,8 +94,8 @@ def hybrid_window_search(spark, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings")
     q = rows.where("vec_id = 0").select(doubles(F.col("embedding")).alias("q")).limit(1)
     sim = rows.join(F.broadcast(q)).select("label", "vec_id", F.round(dot(doubles(F.col("embedding")), F.col("q")), 4).alias("sim"))
-    around = Window.partitionBy("label").orderBy("vec_id").rowsBetween(-3, 3)
-    return sim.withColumn("score", F.round(0.6 * F.col("sim") + 0.4 * F.avg("sim").over(around), 3))
+    score = lambda w: {"score": F.round(0.6 * F.col("sim") + 0.4 * F.avg("sim").over(w.rowsBetween(-3, 3)), 3)}
+    return ranges.over_ranges(ranges.placed(sim, "label", "vec_id"), "label", "place", 3, 3, score).drop("place")
 
 
 @query("softmax_relevance", f"WITH {_D_E}, q AS (SELECT v AS q FROM e WHERE vec_id = 0), s AS (SELECT label, vec_id, exp(round(list_inner_product(v, q), 4) / 0.5) AS x FROM e, q) SELECT label, vec_id, round(x / (sum(x) OVER (PARTITION BY label) + 1e-8), 5) AS p FROM s")

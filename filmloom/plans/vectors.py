@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filmloom.operators import cluster
+from filmloom.functions.vectors import dot, doubles
+from filmloom.operators import choice, cluster, ranges, segments
 from filmloom.plans.queries import _D_E
 from filmloom.plans.registry import query
 from filmloom.session import table
@@ -17,3 +18,42 @@ _D_U = f"{_D_E}, u AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqr
 def dbscan_clusters(spark, d: str) -> DataFrame:
     """Clusters of each label's vectors; the tables' vectors lie far apart, so eps is wide."""
     return cluster.dbscan(table(spark, d, "embeddings"), "vec_id", "embedding", "label", 1.15, 3)
+
+
+_D_PL = "pl AS (SELECT vec_id, label, v, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS place FROM e)"
+
+
+def in_order(spark, d: str) -> DataFrame:
+    """The embeddings with their place in their label, by id."""
+    return ranges.placed(table(spark, d, "embeddings"), "label", "vec_id")
+
+
+@query("assign_parts", "WITH RECURSIVE s AS (SELECT l_returnflag AS g, l_suppkey AS i, l_partkey AS j, sum(l_quantity)::DOUBLE AS s FROM lineitem GROUP BY ALL), c AS (SELECT g, i, list({'j': j, 's': s} ORDER BY s DESC, j) AS js, row_number() OVER (PARTITION BY g ORDER BY i) AS k FROM s GROUP BY g, i), a(g, k, i, pick, used) AS (SELECT g, 0, NULL::BIGINT, NULL::STRUCT(j BIGINT, s DOUBLE), []::BIGINT[] FROM s GROUP BY g UNION ALL SELECT g, k, i, pick, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick.j) END FROM (SELECT c.g, c.k, c.i, a.used, list_filter(c.js, lambda x: NOT list_contains(a.used, x.j))[1] AS pick FROM a JOIN c ON c.g = a.g AND c.k = a.k + 1)) SELECT g AS l_returnflag, i AS l_suppkey, pick.j AS l_partkey, pick.s AS quantity FROM a WHERE pick IS NOT NULL")
+def assign_parts(spark, d: str) -> DataFrame:
+    """For each return flag, suppliers in order of key take the part they shipped most of that none before took."""
+    shipped = table(spark, d, "lineitem").groupBy("l_returnflag", "l_suppkey", "l_partkey").agg(F.sum("l_quantity").cast("double").alias("quantity"))
+    return choice.assign(shipped, "l_returnflag", "l_suppkey", "l_partkey", "quantity")
+
+
+@query("coverage_selection")
+def coverage_selection(spark, d: str) -> DataFrame:
+    """Fifty vectors that stand for each label, relevant by their similarity to vector 0, placed in time by id."""
+    rows = in_order(spark, d)
+    q = rows.where("vec_id = 0").select(doubles(F.col("embedding")).alias("q")).limit(1)
+    rows = rows.join(F.broadcast(q)).withColumn("relevance", F.round(dot(doubles(F.col("embedding")), F.col("q")), 4))
+    return choice.cover(rows, "label", "place", "embedding", "relevance", "vec_id").select("label", "vec_id", "chosen")
+
+
+@query("density_segments", f"WITH {_D_E}, {_D_PL}, s AS (SELECT label, place, round(list_inner_product(v, lead(v) OVER (PARTITION BY label ORDER BY place)), 6) AS sim FROM pl), g AS (SELECT label, place, (lead(sim, 5) OVER (PARTITION BY label ORDER BY place) - sim) / 5 AS change FROM s), low AS (SELECT label, quantile_cont(change, 0.15) AS low FROM g GROUP BY label), c AS (SELECT label, place, row_number() OVER (PARTITION BY label ORDER BY place) AS k FROM g JOIN low USING (label) WHERE change < low), n AS (SELECT label, count(*) AS n FROM e GROUP BY label), r AS (WITH RECURSIVE w(label, k, place, last, taken) AS (SELECT label, k, place, place, true FROM c WHERE k = 1 UNION ALL SELECT c.label, c.k, c.place, CASE WHEN c.place - w.last >= 3 THEN c.place ELSE w.last END, c.place - w.last >= 3 FROM w JOIN c ON c.label = w.label AND c.k = w.k + 1) SELECT label, place + 1 AS start FROM w WHERE taken UNION ALL SELECT label, 0 FROM n), b AS (SELECT r.label, start, coalesce(lead(start) OVER (PARTITION BY r.label ORDER BY start), n) AS stop, n FROM r JOIN n ON n.label = r.label), q AS (SELECT label, start, stop, n, CASE WHEN stop - start > 30 THEN (stop - start - 1) // 30 + 1 ELSE 1 END AS parts FROM b WHERE start = 0 OR stop - start >= 3), p AS (SELECT label, start + i * ((stop - start) // parts) AS start, CASE WHEN i < parts - 1 THEN start + (i + 1) * ((stop - start) // parts) ELSE stop END AS stop, n FROM (SELECT *, unnest(range(parts)) AS i FROM q)), f AS (SELECT label, start, CASE WHEN start = max(start) OVER (PARTITION BY label) THEN n ELSE stop END AS stop FROM p) SELECT f.label, start, stop::BIGINT AS \"end\", round(coalesce(avg(list_inner_product(x.v, y.v)), 1), 4) AS avg_similarity FROM f JOIN pl x ON x.label = f.label AND x.place >= start AND x.place < stop LEFT JOIN pl y ON y.label = x.label AND y.place > x.place AND y.place <= x.place + 4 AND y.place < stop GROUP BY f.label, start, stop")
+def density_segments(spark, d: str) -> DataFrame:
+    """Segments of each label's vectors, in order of id, cut where their neighbours' similarity falls most."""
+    rows = in_order(spark, d)
+    cuts = segments.density_boundaries(segments.neighbour_similarity(rows, "label", "place", "embedding"), "label", "place", "sim")
+    return segments.segment_similarity(cuts, rows, "label", "place", "embedding").withColumn("avg_similarity", F.round("avg_similarity", 4))
+
+
+@query("moving_average_merge", f"WITH {_D_E}, x AS (SELECT label, vec_id, unnest(range(64)) AS dim, unnest(v) AS c FROM e) SELECT label, vec_id, dim::INT AS dim, round(avg(c) OVER (PARTITION BY label, dim ORDER BY vec_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 5) AS mean FROM x")
+def moving_average_merge(spark, d: str) -> DataFrame:
+    """Each vector's mean with its neighbours in order of id, an entry a row."""
+    merged = segments.nearby_mean(in_order(spark, d), "label", "place", "embedding")
+    return merged.select("label", "vec_id", F.posexplode("merged").alias("dim", "mean")).withColumn("mean", F.round("mean", 5))
