@@ -1 +1 @@
-
+"""Stateful operators on streams."""
