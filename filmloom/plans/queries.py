@@ -250,6 +250,14 @@ def causal_statements(spark, d: str) -> DataFrame:
     return hits.select("doc_id", "t.cause", F.lit("causes").alias("relation"), "t.effect", "evidence", F.lit(0.7).alias("confidence"))
 
 
+@query("causal_chains")
+def causal_chains(spark, d: str) -> DataFrame:
+    """The chain of causes of every effect that a document states. The test tables state none."""
+    hits = table(spark, d, "documents").select("doc_id", F.posexplode(T.causal_triples(F.col("text"))).alias("nth", "t"))
+    triples = hits.select("doc_id", "nth", "t.cause", "t.effect", F.lit(0.7).alias("confidence"))
+    return graph.causal_chains(triples, triples.select("doc_id", F.col("effect").alias("target")), "doc_id")
+
+
 @query("tag_strip_blocks", r"SELECT page_id, trim(regexp_replace(replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script.*?</script>|<style.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&amp;', '&'), '\s+', ' ', 'g')) AS plain FROM pages")
 def tag_strip_blocks(spark, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", T.without_markup(F.col("html")).alias("plain"))
@@ -311,13 +319,27 @@ def graph_bfs4(spark, d: str) -> DataFrame:
     return graph.hops(e, spark.range(1, 2).select("id"), 4)
 
 
-@query("graph_paths4")
+_D_BFS = "e AS (SELECT DISTINCT 's:' || l_suppkey AS a, 'p:' || l_partkey AS b FROM lineitem WHERE l_suppkey IS NOT NULL AND l_partkey IS NOT NULL), g AS (SELECT a AS src, b AS dst FROM e UNION ALL SELECT b, a FROM e), r(id, hops) AS (SELECT 's:' || s_suppkey, 0 FROM supplier WHERE s_suppkey = 1 UNION SELECT dst, hops + 1 FROM r JOIN g ON src = id WHERE hops < 4), h AS (SELECT id, min(hops)::INT AS hops FROM r GROUP BY id)"
+
+
+@query("graph_shortest_paths", f"WITH RECURSIVE {_D_BFS}, up AS (SELECT n.id, n.hops, min(m.id) AS parent FROM h n JOIN g ON dst = n.id JOIN h m ON m.id = src AND m.hops = n.hops - 1 GROUP BY n.id, n.hops), p(id, hops, path) AS (SELECT id, hops, id FROM h WHERE hops = 0 UNION ALL SELECT up.id, up.hops, path || ' ' || up.id FROM p JOIN up ON up.parent = p.id) SELECT id, hops, path FROM p")
+def graph_shortest_paths(spark, d: str) -> DataFrame:
+    """A shortest path from supplier 1 to each part and supplier within 4 hops, links followed both ways."""
+    return graph.shortest_paths(*_parts_and_suppliers(spark, d), 4).withColumn("path", F.array_join("path", " "))
+
+
+@query("graph_paths4", f"WITH RECURSIVE {_D_BFS} SELECT id, hops FROM h")
 def graph_paths4(spark, d: str) -> DataFrame:
-    """Parts and suppliers within 4 hops of supplier 1, links followed both ways; ids keep their kind: p:1 is not s:1."""
+    """Parts and suppliers within 4 hops of supplier 1, links followed both ways."""
+    return graph.hops(*_parts_and_suppliers(spark, d), 4)
+
+
+def _parts_and_suppliers(spark, d: str) -> tuple[DataFrame, DataFrame]:
+    """Links both ways between parts and suppliers, and supplier 1; ids keep their kind: p:1 is not s:1."""
     node = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
     e = table(spark, d, "lineitem").select(node("s", "l_suppkey").alias("src"), node("p", "l_partkey").alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL").distinct()
     start = table(spark, d, "supplier").where("s_suppkey = 1").select(node("s", "s_suppkey").alias("id"))
-    return graph.hops(graph.both_ways(e), start, 4)
+    return graph.both_ways(e), start
 
 
 @query("identity_map", "SELECT lower(n_name) AS name, count(*) AS n, min(s_suppkey) AS first_supplier, count(DISTINCT s_acctbal > 0) AS n_signs FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY lower(n_name)")
