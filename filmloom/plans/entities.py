@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filmloom.functions import names, temporal
-from filmloom.operators import grading, sequences
+from filmloom.operators import entities, grading, sequences
 from filmloom.plans.registry import query
 from filmloom.session import table
 
@@ -92,3 +92,24 @@ def min_duration_refine(spark, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_set(day)).alias("days"))
     days = F.transform("days", lambda x: x - F.col("days")[0])
     return rows.select("l_orderkey", sequences.min_duration(days, F.array_max(days) + 1, 10.0).alias("kept"))
+
+
+_LIST = lambda ws: "(" + ", ".join(f"'{w}'" for w in ws) + ")"
+_D_NAMES = f"""r AS (SELECT g, name, ws, list_filter(ws, lambda w: w NOT IN {_LIST(entities.WEAK)}) AS strong, key FROM (SELECT g, name, upper(name) AS key, string_split(upper(name), ' ') AS ws FROM n))"""
+_RANKED = "SELECT g, canonical, arg_min(name, {'a': -len(string_split(sig, ' ')), 'b': -length(sig), 'c': -(length(name) - off), 'd': name}) AS preferred, count(*) AS n_aliases FROM c GROUP BY g, canonical"
+
+
+@query("entity_canonical", f"WITH n AS (SELECT DISTINCT source AS g, unnest(regexp_extract_all(text, '[A-Z][a-z]+(?: [a-z]+)?')) AS name FROM documents WHERE source IS NOT NULL), {_D_NAMES}, s AS (SELECT g, name, key, list_filter(ws, lambda w: w NOT IN {_LIST(entities.LEFT_OUT['Character'])}) AS ws FROM r WHERE NOT (len(strong) > 0 AND len(list_filter(strong, lambda w: w NOT IN {_LIST(entities.GENERIC['Character'])})) = 0)), t AS (SELECT g, name, key, array_to_string(CASE WHEN len(ws) > 1 THEN list_filter(ws, lambda w: length(w) > 1) ELSE ws END, ' ') AS j FROM s), u AS (SELECT g, name, CASE WHEN j = '' THEN key ELSE j END AS sig, CASE WHEN regexp_matches(upper(name), '^(DR|MR|MRS|MS)[ .]') THEN 6 ELSE 0 END AS off FROM t), d AS (SELECT DISTINCT g, sig, list_distinct(string_split(sig, ' ')) AS ws FROM u), m AS (SELECT g, w, min(sig) AS holder FROM (SELECT g, sig, unnest(ws) AS w FROM d WHERE len(ws) > 1) GROUP BY g, w HAVING count(*) = 1), c AS (SELECT u.g, name, sig, off, coalesce(holder, sig) AS canonical FROM u LEFT JOIN m ON m.g = u.g AND len(list_distinct(string_split(sig, ' '))) = 1 AND m.w = split_part(sig, ' ', 1)), b AS ({_RANKED}) SELECT c.g AS source, name, sig AS signature, c.canonical, preferred, n_aliases FROM c JOIN b ON b.g = c.g AND b.canonical = c.canonical")
+def entity_canonical(spark, d: str) -> DataFrame:
+    """Capitalised words of each source, with the word after them, as characters' names."""
+    docs = table(spark, d, "documents")
+    found = docs.select("source", F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+(?: [a-z]+)?"), F.lit(0))).alias("name"))
+    return entities.resolve(found, "source", "name", "Character")
+
+
+@query("entity_objects", f"WITH n AS (SELECT DISTINCT p_brand AS g, unnest([p_name, p_type || ' ' || p_name, 'the ' || p_name]) AS name FROM part), {_D_NAMES}, s AS (SELECT g, name, key, list_filter(ws, lambda w: w NOT IN {_LIST(entities.LEFT_OUT['Object'])}) AS ws FROM r WHERE NOT (len(strong) > 0 AND len(list_filter(strong, lambda w: w NOT IN {_LIST(entities.GENERIC['Object'])})) = 0)), c0 AS (SELECT g, name, CASE WHEN len(ws) = 0 THEN key ELSE array_to_string(ws, ' ') END AS sig, 0 AS off FROM s), d AS (SELECT DISTINCT g, sig, list_distinct(string_split(sig, ' ')) AS ws FROM c0), h AS (SELECT x.g, x.sig, min(y.sig) AS holder FROM d x JOIN d y ON y.g = x.g AND y.sig <> x.sig AND len(list_intersect(x.ws, y.ws)) = len(x.ws) GROUP BY x.g, x.sig, len(x.ws) HAVING count(*) = 1 AND min(len(string_split(y.sig, ' '))) <= len(x.ws) + 2), c AS (SELECT c0.g, name, c0.sig, off, coalesce(holder, c0.sig) AS canonical FROM c0 LEFT JOIN h ON h.g = c0.g AND h.sig = c0.sig), b AS ({_RANKED}) SELECT c.g AS p_brand, name, sig AS signature, c.canonical, preferred, n_aliases FROM c JOIN b ON b.g = c.g AND b.canonical = c.canonical")
+def entity_objects(spark, d: str) -> DataFrame:
+    """Parts of each brand under their name, with an article, and with their type before it, as objects' names."""
+    part = table(spark, d, "part")
+    forms = F.array("p_name", F.concat_ws(" ", "p_type", "p_name"), F.concat(F.lit("the "), F.col("p_name")))
+    return entities.resolve(part.select("p_brand", F.explode(forms).alias("name")), "p_brand", "name", "Object")
