@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filmloom.functions.vectors import dot, doubles
-from filmloom.operators import choice, cluster, ranges, segments
+from filmloom.operators import choice, cluster, fusion, ranges, search, segments
 from filmloom.plans.queries import _D_E
 from filmloom.plans.registry import query
 from filmloom.session import table
@@ -57,3 +57,27 @@ def moving_average_merge(spark, d: str) -> DataFrame:
     """Each vector's mean with its neighbours in order of id, an entry a row."""
     merged = segments.nearby_mean(in_order(spark, d), "label", "place", "embedding")
     return merged.select("label", "vec_id", F.posexplode("merged").alias("dim", "mean")).withColumn("mean", F.round("mean", 5))
+
+
+_D_HITS = (
+    f"WITH {_D_E}, s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_inner_product(e.v, q.v), 4) AS score FROM e JOIN e q ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id), "
+    "h AS (SELECT 'visual' AS source, query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM s UNION ALL SELECT 'script', query_id, id, round(score * 0.9, 6), row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 FROM s WHERE id % 2 = 0), "
+    "f AS (SELECT *, (source = 'script')::INT * 100 + rank AS spot, CASE WHEN id % 3 > 0 THEN 'g' || id // 25 WHEN id % 5 > 0 THEN 'script_scene::' || id // 40 ELSE source || '::' || rank END AS scene FROM h WHERE rank < 12), "
+    "c AS (SELECT query_id, scene, greatest(0, coalesce(max(score) FILTER (WHERE source = 'visual'), 0)) AS bv, greatest(0, coalesce(max(score) FILTER (WHERE source = 'script'), 0)) AS bs, count(*) FILTER (WHERE source = 'visual') AS nv, count(*) FILTER (WHERE source = 'script') AS ns, min(spot) AS lead_spot, min(id * 2)::DOUBLE AS start_s, max(id * 2 + 5)::DOUBLE AS end_s, arg_max('f' || id, {'s': score, 'r': rank}) FILTER (WHERE source = 'visual') AS frame FROM f GROUP BY ALL), "
+    "r AS (SELECT *, 0.6 * bv + 0.4 * bs AS score, row_number() OVER (PARTITION BY query_id ORDER BY 0.6 * bv + 0.4 * bs DESC, bv DESC, bs DESC, nv DESC, ns DESC, lead_spot) - 1 AS place FROM c) "
+)
+
+
+@query("cluster_fusion", _D_HITS + "SELECT query_id, place::INT AS place, scene AS id, round(score, 6) AS score, start_s, end_s, frame, nv + ns AS evidence_count FROM r WHERE place < 6")
+def cluster_fusion(spark, d: str) -> DataFrame:
+    """For every hundredth vector, its twelve nearest of all and of even ids as two rankers' hits, fused by scene."""
+    rows = table(spark, d, "embeddings")
+    asked = rows.where("vec_id % 100 = 0")
+    ranked = lambda df, source, times: search.topk_batch(df, asked, fusion.HITS).select("query_id", F.lit(source).alias("source"), (F.col("rank") - 1).alias("rank"), F.round(F.col("score") * times, 6).alias("score"), "vec_id")
+    hits = ranked(rows, "visual", 1.0).union(ranked(rows.where("vec_id % 2 = 0"), "script", 0.9))
+    i, none = F.col("vec_id"), F.lit(None).cast("string")
+    hits = hits.withColumns({
+        "scene_group_id": F.when(i % 3 > 0, F.concat(F.lit("g"), F.floor(i / 25).cast("string"))), "scene_group_type": none, "script_scene_uid": F.when(i % 5 > 0, F.floor(i / 40).cast("string")), "start_s": (i * 2).cast("double"), "end_s": (i * 2 + 5).cast("double"),
+        "path": F.concat(F.lit("f"), i.cast("string")), "scene_score": F.lit(0.0), "characters": F.array().cast("array<string>"), "script_characters": F.array().cast("array<string>"), **{c: none for c in ("parent_scene_id", "subscene_id", "chunk_id", "clip_id", "movie_id", "heading", "location", "cue")},
+    })
+    return fusion.fuse(hits, "query_id").select("query_id", "place", "id", F.round("score", 6).alias("score"), "start_s", "end_s", "frame", "evidence_count")
