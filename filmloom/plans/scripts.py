@@ -9,6 +9,7 @@ from filmloom.functions import fuzzy
 from filmloom.operators import anchors
 from filmloom.plans.registry import query
 from filmloom.session import table
+from filmloom.sources import screenplay
 
 
 def as_subtitles(docs: DataFrame, each: int = 8, seconds: float = 3.0) -> DataFrame:
@@ -24,3 +25,18 @@ def script_anchors(spark, d: str) -> DataFrame:
     asked = table(spark, d, "benchmark").select("item_id", fuzzy.candidates(F.array("text")).alias("texts"))
     found = anchors.find_anchors(asked, as_subtitles(table(spark, d, "documents")), "item_id", "doc_id", "place", gram=4, least=0.5)
     return found.withColumn("score", F.round("score", 4))
+
+
+_D_LINES = "raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, pos, CASE WHEN pos % 7 = 0 THEN pos || ' INT. ' || left(line, 30) WHEN pos % 7 IN (2, 4) THEN repeat(' ', 14) || upper(regexp_extract(line, '[A-Za-z]+')) WHEN pos % 7 = 5 THEN repeat(' ', 9) || line ELSE line END AS line FROM raw)"
+_D_SP = r"'^[\s\x0B\x{85}\p{Z}]+|[\s\x0B\x{85}\p{Z}]+$'"
+
+
+@query("screenplay_blocks", rf"WITH {_D_LINES}, a AS (SELECT doc_id, pos, line, regexp_replace(line, {_D_SP}, '', 'g') AS t, length(line) - length(regexp_replace(line, '^[\s\x0B\x{{85}}\p{{Z}}]+', '')) AS ind, pos % 7 = 0 AND regexp_matches(line, '(?i)^\s*(\d+)?\s*(INT\.?)\s*[\.\-\s].{{2,}}') AS heading FROM l), b AS (SELECT *, NOT heading AND ind BETWEEN 10 AND 45 AND t = upper(t) AND regexp_matches(t, '[A-Z]') AND length(t) <= 42 AND len(regexp_split_to_array(t, '\s+')) <= 5 AND (NOT contains(substr(t, 2), '.') OR contains(t, '(')) AS name FROM a), c AS (SELECT *, sum(heading::INT) OVER w AS scene, sum((heading OR name)::INT) OVER w AS part FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY pos)), d AS (SELECT *, max(CASE WHEN name THEN t END) OVER p AS who, min(CASE WHEN t <> '' AND NOT name AND NOT heading AND ind < 8 THEN pos END) OVER p AS ends FROM c WINDOW p AS (PARTITION BY doc_id, part)), k AS (SELECT *, CASE WHEN heading THEN 'SceneHeading' WHEN who IS NOT NULL AND (ends IS NULL OR pos < ends) THEN 'Dialogue' ELSE 'Action' END AS kind FROM d WHERE t <> '' AND NOT name) SELECT doc_id, min(pos) AS at, kind, max(CASE WHEN kind = 'Dialogue' THEN who END) AS character, md5(CASE WHEN kind = 'SceneHeading' THEN regexp_replace(min(t), '^\d+\s*', '') ELSE string_agg(t, ' ' ORDER BY pos) END) AS digest, max(CASE WHEN kind = 'SceneHeading' THEN pos END)::INT AS scene_num, max(scene)::BIGINT AS scene FROM k GROUP BY doc_id, part, kind")
+def screenplay_blocks(spark, d: str) -> DataFrame:
+    """Documents set as screenplays - every seventh line a heading, others names and speech - parsed into blocks."""
+    each = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+    turn = F.col("at") % 7
+    name = F.concat(F.repeat(F.lit(" "), F.lit(14)), F.upper(F.regexp_extract("line", "[A-Za-z]+", 0)))
+    line = F.when(turn == 0, F.concat(F.col("at").cast("string"), F.lit(" INT. "), F.substring("line", 1, 30))).when(turn.isin(2, 4), name).when(turn == 5, F.concat(F.repeat(F.lit(" "), F.lit(9)), "line")).otherwise(F.col("line"))
+    found = screenplay.blocks(each.select("doc_id", F.col("at").cast("long").alias("place"), line.alias("line")), "doc_id")
+    return found.select("doc_id", "at", "kind", "character", F.md5("text").alias("digest"), "scene_num", "scene")
