@@ -186,3 +186,62 @@ def dialogue_score(text: Column) -> Column:
         return F.when(F.size(ws) == 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), out)))
 
     return _bind(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " ")), score)
+
+
+# Labels of imported chunks with their words, as in ACTIVITY and SEVERAL.
+IMPORTED = {
+    "setting": (
+        ("beach", ("beach", "ocean", "sea", "shore")),
+        ("outdoor_vehicle", ("car", "drive", "road", "street", "highway")),
+        ("indoor_home", ("bedroom", "home", "house", "kitchen", "bathroom")),
+        ("indoor_office", ("office", "work", "building")),
+        ("indoor_restaurant", ("restaurant", "cafe", "bar", "diner")),
+        ("outdoor_nature", ("forest", "mountain", "jungle", "desert")),
+        ("outdoor_urban", ("city", "urban", "downtown")),
+        ("underwater", ("underwater", "seabed", "ocean_floor")),
+        ("indoor", ("indoor", "room", "inside")),
+    ),
+    "actions": (
+        ("running", ("running", "run", "sprint")),
+        ("walking", ("walking", "walk")),
+        ("talking", ("talking", "speaking", "conversing", "chatting")),
+        ("driving", ("driving", "drives", "car")),
+        ("fighting", ("fighting", "punch", "attack", "kick")),
+        ("kissing", ("kissing", "kiss")),
+        ("dancing", ("dancing", "dance")),
+        ("eating", ("eating", "food", "cooking")),
+        ("singing", ("singing", "sing", "music")),
+        ("crying", ("crying", "tears", "sad")),
+        ("laughing", ("laughing", "laugh", "smile")),
+        ("swimming", ("diving", "swimming", "water")),
+        ("shooting", ("shooting", "gun", "weapon")),
+    ),
+}
+# Moods with the attributes that show them, in order; None stands for those that the text shows.
+MOODS = (
+    ("positive_happy", ("happy", "joy", "excited", "cheerful")),
+    ("negative_sad", ("sad", "crying", "depressed", "grief")),
+    ("negative_angry", ("angry", "rage", "furious", "hostile")),
+    ("negative_fearful", ("fear", "scary", "horror", "terror", "afraid")),
+    ("positive_romantic", ("romantic", "love", "passionate")),
+    ("tense", None),
+    ("positive_funny", ("funny", "comedy", "humor", "hilarious")),
+)
+TENSE = ("tense", "danger", "threat", "suspense")
+
+
+def imported_setting(low: Column) -> Column:
+    """The setting of an imported chunk by its scene label and situation, in lower case; outdoor if none fits."""
+    return F.coalesce(*[F.when(_any(low, words), label) for label, words in IMPORTED["setting"]], F.lit("outdoor"))
+
+
+def imported_actions(low: Column) -> Column:
+    found = F.array_compact(F.array(*[F.when(_any(low, words), label) for label, words in IMPORTED["actions"]]))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("interacting")))
+
+
+def imported_emotion(attributes: Column, low: Column) -> Column:
+    """The mood that a chunk's attributes show, whole words in any case, or its description in lower case; neutral if none does."""
+    own = F.transform(F.coalesce(attributes, F.array().cast("array<string>")), F.lower)
+    shows = lambda words: _any(low, TENSE) if words is None else F.arrays_overlap(own, F.array(*[F.lit(w) for w in words]))
+    return F.coalesce(*[F.when(shows(words), label) for label, words in MOODS], F.lit("neutral"))

@@ -21,6 +21,20 @@ def best_hits(hits: DataFrame, node: str, score: str, source: str, place: str) -
     return best.select(F.col("_node").alias(node), (-F.col("best.low")).alias(score), F.col("best.p").alias(place), F.when(mixed, F.lit("hybrid")).otherwise(F.col("best.src")).alias(source))
 
 
+def best_hits_with(hits: DataFrame, node: str, score: str, source: str, place: str, *payload: str, names: str | None = None) -> DataFrame:
+    """best_hits with the best hit's own columns `payload`. If its list `names` is empty, it is the first one with entries from where a later hit of another source makes the node hybrid."""
+    best = best_hits(hits, node, score, source, place)
+    own = hits.select(F.col(node).alias("_node"), F.col(place).alias("_p"), F.col(source).alias("_src"), *payload, *([F.col(names).alias("_own")] if names else []))
+    out = best.join(own, (best[node] == F.col("_node")) & (best[place] == F.col("_p"))).drop("_node", "_p")
+    if names is None:
+        return out.drop("_src")
+    after = hits.select(F.col(node).alias("_n"), F.col(place).alias("_at"), F.col(source).alias("_other"), F.col(names).alias("_names")).join(out.select(F.col(node).alias("_node"), F.col(place).alias("_best"), "_src"), F.col("_n") == F.col("_node")).where(F.col("_at") > F.col("_best"))
+    turned = after.where(~F.col("_other").eqNullSafe(F.col("_src"))).groupBy(F.col("_n").alias("_t")).agg(F.min("_at").alias("_from"))
+    given = after.join(turned, after["_n"] == turned["_t"]).where((F.col("_at") >= F.col("_from")) & (F.size("_names") > 0)).groupBy("_n").agg(F.min_by("_names", "_at").alias("_given"))
+    both = out.join(given, out[node] == given["_n"], "left")
+    return both.withColumn(names, F.when(F.size("_own") > 0, F.col("_own")).otherwise(F.coalesce("_given", "_own"))).drop("_n", "_given", "_own", "_src")
+
+
 def upsert(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """existing without the rows of any key that incoming has, and all of incoming; columns that one side lacks are null.
 

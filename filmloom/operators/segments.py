@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from filmloom.functions.vectors import dot, doubles
 from filmloom.operators import timeline
-from filmloom.operators.ranges import over_ranges, percentile
+from filmloom.operators.ranges import over_ranges, percentile, running_sum
 
 
 def neighbour_similarity(rows: DataFrame, key: str, place: str, vec: str, digits: int = 6) -> DataFrame:
@@ -66,3 +66,25 @@ def nearby_mean(rows: DataFrame, key: str, place: str, vec: str, window: int = 3
     out = over_ranges(rows, key, place, half, half, add)
     total = F.aggregate(F.slice("_near", 2, F.greatest(F.lit(1), F.size("_near"))), F.element_at("_near", 1), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
     return out.withColumn("merged", F.transform(total, lambda x: x / F.size("_near"))).drop("_near")
+
+
+def scenes_by_similarity(sims: DataFrame, key: str, place: str, sim: str, least: float = 0.7) -> DataFrame:
+    """key, scene, start, end, coherence: a scene ends where the similarity to the next row is below `least`.
+
+    sims: a row per place of a key, from 0, with its similarity to the next one, null at the last. coherence: the mean
+    similarity of neighbours within the scene, null for a single row.
+    """
+    broken = over_ranges(sims.select(key, place, sim), key, place, 1, 0, lambda w: {"_new": F.coalesce((F.lag(sim).over(w) < least).cast("long"), F.lit(0).cast("long"))})
+    scened = running_sum(broken, key, place, F.col("_new"), "scene")
+    inner = F.when(F.col(sim) >= least, F.col(sim))
+    return scened.groupBy(key, "scene").agg(F.min(place).alias("start"), (F.max(place) + 1).alias("end"), F.avg(inner).alias("coherence"))
+
+
+def scenes_by_count(rows: DataFrame, key: str, place: str, most: int) -> DataFrame:
+    """key, scene, start, end: scenes of `most` rows each, by place from 0, the last one of the rest."""
+    return rows.groupBy(key, F.floor(F.col(place) / most).alias("scene")).agg(F.min(place).alias("start"), (F.max(place) + 1).alias("end"))
+
+
+def scenes_by_time(shots: DataFrame, key: str, start: str, end: str, most: float) -> DataFrame:
+    """key, chunk, start_s, end_s, n: shots joined in order up to the one that ends `most` seconds or more after the scene's start."""
+    return timeline.greedy_chunks(shots, [key], start, end, most, closing=True)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from filmloom.operators.timeline import interval_join
+
 
 def thin(rows: DataFrame, key: str, place: str, most: int) -> DataFrame:
     """Of each key's rows, at places 0 to n - 1, all or `most` of them at even steps: the places floor(i * n / most).
@@ -34,3 +36,16 @@ def matches_any(text: Column, expected: Column) -> Column:
     own = _plain(F.coalesce(text, F.lit("")))
     hit = F.exists(F.coalesce(expected, F.array().cast("array<string>")), lambda e: (_plain(e) != "") & F.contains(own, _plain(e)))
     return (own != "") & F.coalesce(hit, F.lit(False))
+
+
+def pick_per_shot(frames: DataFrame, spans: DataFrame, key: str, span: str, shot: str, image: str, time: str, width: float = 60.0) -> DataFrame:
+    """For each span the frames within it, ends included, one a shot: image 1 before 0 before 2 before others, then the nearest to the span's middle, then the earliest.
+
+    spans: key, span, s0, s1; empty ones hold no frame. frames: key, shot, image, time.
+    """
+    at = frames.withColumn("_t", F.col(time).cast("double"))
+    both = interval_join(at.withColumn("_t1", F.col("_t")), spans.where("s1 > s0"), key, ("_t", "s0"), ("_t1", "s1"), width)
+    order = F.when(F.col(image) == 1, 0).when(F.col(image) == 0, 1).when(F.col(image) == 2, 2).otherwise(99)
+    middle = F.abs(F.col("_t") - (F.col("s0") + F.col("s1")) / 2)
+    best = both.groupBy(key, span, shot).agg(F.min_by(F.struct(*[F.col(c) for c in frames.columns if c not in (key, shot)]), F.struct(order, middle, "_t")).alias("f"))
+    return best.select(key, span, shot, "f.*")

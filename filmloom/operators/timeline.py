@@ -84,9 +84,11 @@ def cue_text(chunks: DataFrame, cues: DataFrame, key: str, chunk_id: str, share:
     return chunks.join(said, chunk_id, "left").withColumn("cues", F.coalesce(text, F.lit(""))).drop("_all")
 
 
-def greedy_chunks(df: DataFrame, keys: list[str], start: str, end: str, most: float) -> DataFrame:
+def greedy_chunks(df: DataFrame, keys: list[str], start: str, end: str, most: float, closing: bool = False) -> DataFrame:
     """Segments of each key joined in order of start while they span at most `most` seconds: chunk, start_s, end_s, n.
 
+    With closing, a segment whose end lies `most` seconds or more after its chunk's start is the last one of the chunk.
+
     Where a chunk ends depends on where it began, which no window expresses. But one always ends where the next end is
     more than `most` after the start before, so a window first cuts each key there. Rows are dealt by key and cut, sorted,
     and read in one pass that keeps a chunk at a time, however long a part without a cut is. Rows with a null start or end go.
@@ -96,30 +98,30 @@ def greedy_chunks(df: DataFrame, keys: list[str], start: str, end: str, most: fl
     out = pa.schema([*((n, to_arrow_type(kinds[k])) for n, k in zip(names, keys)), ("_cut", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list | None = None  # a part's key and cut, and the start, end and rows of its open chunk
+        held: list | None = None  # a part's key and cut, the start, end and rows of its open chunk, and its last row's end
         for b in batches:
             done = []
             key = [b.column(i).to_pylist() for i in ids]
             for *k, s, e in zip(*key, b.column(len(ids)).to_pylist(), b.column(len(ids) + 1).to_pylist()):
-                if held and held[0] == k and max(held[2], e) - held[1] <= most:
-                    held[2], held[3] = max(held[2], e), held[3] + 1
+                if held and held[0] == k and (held[4] - held[1] < most if closing else max(held[2], e) - held[1] <= most):
+                    held[2:] = max(held[2], e), held[3] + 1, e
                 else:
                     done += [held] if held else []
-                    held = [k, s, e, 1]
+                    held = [k, s, e, 1, e]
             if done:
                 yield as_batch(done)
         if held:
             yield as_batch([held])
 
     def as_batch(done: list[list]) -> pa.RecordBatch:
-        rows = [[*k, *rest] for k, *rest in done]
+        rows = [[*k, *rest] for k, *rest, _ in done]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
 
     rows = df.where(F.col(start).isNotNull() & F.col(end).isNotNull())
     rows = rows.select(*[F.col(k).alias(n) for n, k in zip(names, keys)], F.col(start).cast("double").alias("_s"), F.col(end).cast("double").alias("_e"))
     w = Window.partitionBy(*names).orderBy("_s", "_e")
-    gap = F.coalesce((F.col("_e") - F.lag("_s").over(w) > most).cast("long"), F.lit(0).cast("long"))
-    rows = rows.withColumn("_gap", gap).withColumn("_cut", F.sum("_gap").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    cut = F.lag(F.col("_e") - F.col("_s") >= most).over(w) if closing else F.col("_e") - F.lag("_s").over(w) > most
+    rows = rows.withColumn("_gap", F.coalesce(cut.cast("long"), F.lit(0).cast("long"))).withColumn("_cut", F.sum("_gap").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     dealt = rows.select(*names, "_cut", "_s", "_e").repartition(*names, "_cut").sortWithinPartitions(*names, "_cut", "_s", "_e")
     found = dealt.mapInArrow(run, ", ".join(f"{n} {kinds[k].simpleString()}" for n, k in zip(names, keys)) + ", _cut long, start_s double, end_s double, n long")
     chunk = F.row_number().over(Window.partitionBy(*names).orderBy("start_s", "end_s")) - 1

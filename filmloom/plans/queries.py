@@ -224,6 +224,14 @@ def dialogue_quality(spark, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", F.round(T.dialogue_quality(F.col("text")), 4).alias("quality"))
 
 
+_D_ANY = lambda words: "(" + " OR ".join(f"contains(low, '{w}')" for w in words) + ")"
+_D_LABEL = lambda default, labels: "CASE " + " ".join(f"WHEN {_D_ANY(w)} THEN '{n}'" for n, w in labels) + f" ELSE '{default}' END"
+_D_LABELS = lambda default, labels: "(SELECT CASE WHEN len(x) > 0 THEN x ELSE ['" + default + "'] END FROM (SELECT list_filter([" + ", ".join(f"CASE WHEN {_D_ANY(w)} THEN '{n}' END" for n, w in labels) + "], lambda y: y IS NOT NULL) AS x))"
+
+
+_D_KEYWORDS = "WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents) SELECT doc_id, " + ", ".join(f"{_D_LABEL(*T.ACTIVITY[k])} AS {k}" for k in T.ACTIVITY) + f", array_to_string({_D_LABELS(*T.SEVERAL['actions'])}, ' ') AS actions, CASE WHEN low = '' THEN '' ELSE array_to_string({_D_LABELS(*T.SEVERAL['audio'])}, ' ') END AS audio FROM d"
+
+
 @query("keyword_labels")
 def keyword_labels(spark, d: str) -> DataFrame:
     """The reference's labels of each document; keyword_classify knows three classes of its own."""
@@ -231,7 +239,22 @@ def keyword_labels(spark, d: str) -> DataFrame:
     return docs.select("doc_id", *[T.label_of(F.col("low"), k).alias(k) for k in T.ACTIVITY], *[T.labels_of(F.col("low"), k).alias(k) for k in T.SEVERAL])
 
 
-@query("dialogue_scores")
+@query("keyword_label_texts", _D_KEYWORDS)
+def keyword_label_texts(spark, d: str) -> DataFrame:
+    """keyword_labels with each list of labels as one text."""
+    return keyword_labels(spark, d).withColumns({k: F.array_join(k, " ") for k in T.SEVERAL})
+
+
+@query("imported_labels", f"WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS low, string_split(lower(coalesce(lang, '') || ' ' || left(coalesce(text, ''), 200)), ' ') AS own FROM documents) SELECT doc_id, {_D_LABEL('outdoor', T.IMPORTED['setting'])} AS setting, array_to_string({_D_LABELS('interacting', T.IMPORTED['actions'])}, ' ') AS actions, CASE " + " ".join(f"WHEN {_D_ANY(T.TENSE) if w is None else f'list_has_any(own, {list(w)})'} THEN '{n}'" for n, w in T.MOODS) + " ELSE 'neutral' END AS emotion FROM d")
+def imported_labels(spark, d: str) -> DataFrame:
+    """Setting, actions and mood of each document as an imported chunk; its language and first words are its attributes."""
+    text = F.coalesce("text", F.lit(""))
+    own = F.split(F.concat(F.coalesce("lang", F.lit("")), F.lit(" "), F.substring(text, 1, 200)), " ")
+    docs = table(spark, d, "documents").select("doc_id", F.lower(text).alias("low"), own.alias("own"))
+    return docs.select("doc_id", T.imported_setting(F.col("low")).alias("setting"), F.array_join(T.imported_actions(F.col("low")), " ").alias("actions"), T.imported_emotion(F.col("own"), F.col("low")).alias("emotion"))
+
+
+@query("dialogue_scores", r"WITH c AS (SELECT conv_id, turn, trim(regexp_replace(coalesce(text, ''), '[\s\x0B\x{85}\p{Z}]+', ' ', 'g'), ' ') AS t FROM conversations), w AS (SELECT conv_id, turn, t, lower(t) AS low, regexp_extract_all(lower(t), '[\p{L}\p{N}_]+') AS ws FROM c) SELECT conv_id, turn, round(CASE WHEN len(ws) = 0 THEN 0 ELSE least(1.0, greatest(0.0, 0.5 + least(0.25, 0.35 * (len(list_distinct(ws))::DOUBLE / len(ws))) + least(0.2, 0.2 * (length(regexp_replace(t, '[^\p{L}]', '', 'g'))::DOUBLE / length(t))) + CASE WHEN len(ws) >= 12 THEN 0.1 ELSE 0 END - CASE WHEN len(regexp_extract_all(low, 'thank you')) >= 3 THEN 0.25 ELSE 0 END - 0.2 * (" + " + ".join(f"contains(low, '{w}')::INT" for w in T.NOISE) + "))) END, 4)::DOUBLE AS quality FROM w")
 def dialogue_scores(spark, d: str) -> DataFrame:
     """The reference's score of each turn, with marks of noise; dialogue_quality has none."""
     return table(spark, d, "conversations").select("conv_id", "turn", F.round(T.dialogue_score(F.col("text")), 4).alias("quality"))

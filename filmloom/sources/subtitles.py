@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _TIME = r"(\d+):(\d{2}):(\d{2})[,.](\d{1,3})"
+#: Where windows-1252 and Latin-1 differ.
+_HIGH = "".join(map(chr, range(0x80, 0xA0)))
 _SPAN = rf"{_TIME}\s*-->\s*{_TIME}"
 
 
@@ -14,15 +16,22 @@ def seconds(span: Column, first: int) -> Column:
     return h * 3600 + m * 60 + s + ms / 1000
 
 
+def clean_line(line: Column) -> Column:
+    """A line without tags and without labels of who speaks: [NARRATOR:], (Man: or (Old Man: at any place; white space becomes single blanks."""
+    for pattern in (r"<[^>]+>", r"\[[^\]]*:\]", r"\([A-Z][a-z]+:", r"\([A-Z][a-z]+\s+[A-Z][a-z]+:"):
+        line = F.regexp_replace(line, pattern, "")
+    return F.trim(F.regexp_replace(line, r"(?U)\s+", " "))
+
+
 def read_subtitles(spark: SparkSession, path: str) -> DataFrame:
     """path, position, start_s, end_s, text of each cue of the files under path.
 
-    Files are UTF-8, with or without a byte order mark, or else Latin-1. Blocks end at blank lines; the time code stands
+    Files are UTF-8, with or without a byte order mark, or else windows-1252, and with the replacement mark where that has no character. Blocks end at blank lines; the time code stands
     in one of a block's first two lines, and blocks without one or without text are left out. Tags go, and white space
     becomes single spaces. One file is one task's work, as a file is one film.
     """
     raw = spark.read.format("binaryFile").load(path).select("path", "content")
-    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1"))
+    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.translate(F.decode("content", "ISO-8859-1"), _HIGH, _HIGH.encode("latin-1").decode("cp1252", "replace")))
     text = F.regexp_replace(F.regexp_replace(text, "^﻿", ""), "\r\n?", "\n")
     blocks = raw.select("path", F.posexplode(F.split(text, r"\n[ \t]*\n\s*")).alias("position", "block"))
     lines = blocks.withColumn("lines", F.split(F.regexp_replace("block", r"^\s+|\s+$", ""), "\n"))

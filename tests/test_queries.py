@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from filmloom.plans import entities as _entities, grounding as _grounding, queries as _queries, retrieval as _retrieval, vectors as _vectors  # noqa: F401
+from filmloom.plans import chunks as _chunks, entities as _entities, grounding as _grounding, queries as _queries, retrieval as _retrieval, scripts as _scripts, vectors as _vectors  # noqa: F401
 from filmloom.plans.registry import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
