@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filmloom.functions import excerpts, questions
-from filmloom.operators import hits
+from filmloom.operators import grounding, hits
 from filmloom.plans.registry import query
 from filmloom.session import table
 
@@ -74,3 +74,41 @@ SELECT o_orderpriority, o_orderkey, rank FROM r WHERE rank <= 20 UNION ALL SELEC
 def quota_leftovers(spark, d: str) -> DataFrame:
     rows = table(spark, d, "orders").select("o_orderpriority", "o_orderkey", "o_totalprice")
     return hits.quota_with_leftovers(rows, "o_orderpriority", 5, "o_totalprice", "o_orderkey", 103).select("o_orderpriority", "o_orderkey", "rank")
+
+
+_D_SPANS = "SELECT l_partkey, l_orderkey * 10 + l_linenumber AS nth, l_quantity * 60.0 AS a, l_quantity * 60.0 + 30 + l_linenumber * 20 AS b, l_discount * 8 AS rel, l_extendedprice AS price FROM lineitem"
+
+
+def _spans(spark, d: str) -> DataFrame:
+    """Lines of a part as spans of a film."""
+    a = F.col("l_quantity") * 60.0
+    nth = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    return table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), nth.alias("nth"), a.alias("start_s"), (a + 30 + F.col("l_linenumber") * 20).alias("end_s"), (F.col("l_discount") * 8).alias("relevance"), "l_extendedprice")
+
+
+@query("temporal_grounding", f"""
+WITH q AS (SELECT p_partkey, f, CASE f WHEN 0 THEN 3605.0 + 60 * p_size WHEN 1 THEN 60.0 * p_size WHEN 2 THEN 0.5 + p_size END AS sought, CASE WHEN f < 3 THEN 'at_time' WHEN f = 3 THEN 'first_occurrence' WHEN f = 4 THEN 'last_occurrence' WHEN f = 5 THEN 'before_event' WHEN f = 6 THEN 'during_event' WHEN f = 7 THEN 'any_occurrence' END AS kind FROM (SELECT *, p_partkey % 9 AS f FROM part)),
+l AS ({_D_SPANS}),
+s AS (SELECT q.*, l.*, (CASE WHEN f < 3 THEN CASE WHEN sought BETWEEN a AND b THEN 1 ELSE greatest(0, 1 - least(abs(a - sought), abs(b - sought)) / 300) END WHEN f = 3 THEN CASE WHEN a < 60 THEN 1 ELSE greatest(0.2, 1 - a / 7200) END WHEN f = 4 THEN least(1, a / 7200 + 0.3) WHEN f IN (5, 6) THEN 0.6 WHEN f = 7 THEN 0.5 ELSE CASE WHEN b - a > 0 AND b - a <= 120 THEN 1 ELSE greatest(0.5, 1 - (b - a - 120) / 120) END END)::DOUBLE AS tm FROM q JOIN l ON l_partkey = p_partkey),
+t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY tm * 0.6 + rel * 0.4 DESC, nth) = 1)
+SELECT q.p_partkey, q.kind, coalesce(a, 0)::DOUBLE AS start_s, coalesce(b, 60)::DOUBLE AS end_s, coalesce(round(tm * rel, 3), 0)::DOUBLE AS confidence, coalesce(tm * rel >= 0.3, false) AS grounded FROM q LEFT JOIN t ON t.p_partkey = q.p_partkey""")
+def temporal_grounding(spark, d: str) -> DataFrame:
+    """Each part's question about time, answered by one of its lines."""
+    cands = _spans(spark, d).withColumns({"description": F.lit(""), "names": F.array().cast("array<string>"), "event_start": F.lit(None).cast("double")})
+    out = grounding.ground(_questions(spark, d).withColumnRenamed("asked", "text"), cands, "p_partkey")
+    return out.select("p_partkey", "kind", "start_s", "end_s", "confidence", "grounded")
+
+
+@query("grounding_metrics", f"""
+WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY price DESC, nth) AS rank FROM ({_D_SPANS})),
+i AS (SELECT l_partkey, rank, greatest(0, least(b, p_size * 60.0 + 200) - greatest(a, p_size * 60.0)) / (greatest(b, p_size * 60.0 + 200) - least(a, p_size * 60.0)) AS iou FROM l JOIN part ON p_partkey = l_partkey WHERE rank <= 10),
+g AS (SELECT *, min(CASE WHEN iou >= 0.5 THEN rank END) OVER (PARTITION BY l_partkey) AS good, max(rank) OVER (PARTITION BY l_partkey) AS last FROM i),
+r AS (SELECT * FROM g WHERE good IS NULL OR rank <= good), p AS (SELECT l_partkey, sum(iou) AS s, count(*) AS n, any_value(good) AS good, any_value(coalesce(good, last)) AS stop FROM r GROUP BY l_partkey), c AS (SELECT count(*) AS n FROM part)
+SELECT round(sum(s) / sum(p.n), 6) AS mean_iou, round(sum(1.0 / stop) / any_value(c.n), 6) AS mrr, round(count(good) / any_value(c.n), 6) AS recall, round(count(*) FILTER (WHERE good = 1) / count(good), 6) AS rank1_share, any_value(c.n) AS n_queries FROM p, c""")
+def grounding_metrics(spark, d: str) -> DataFrame:
+    """How well a part's dearest lines answer when its size says."""
+    part = table(spark, d, "part")
+    top = grounding.ranked_by(_spans(spark, d), "p_partkey", "l_extendedprice", "nth", 10)
+    rows = top.join(part.select("p_partkey", (F.col("p_size") * 60.0).alias("true_start"), (F.col("p_size") * 60.0 + 200).alias("true_end")), "p_partkey")
+    out = grounding.grounding_metrics(rows, part.count(), "p_partkey", "rank")
+    return out.select(*[F.round(c, 6).alias(c) for c in ("mean_iou", "mrr", "recall", "rank1_share")], "n_queries")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filmloom.functions import fuzzy
-from filmloom.operators import anchors
+from filmloom.operators import anchors, subscenes
+from filmloom.plans.queries import _D_EV, _D_SC, events
 from filmloom.plans.registry import query
 from filmloom.session import table
 from filmloom.sources import screenplay
@@ -40,3 +41,29 @@ def screenplay_blocks(spark, d: str) -> DataFrame:
     line = F.when(turn == 0, F.concat(F.col("at").cast("string"), F.lit(" INT. "), F.substring("line", 1, 30))).when(turn.isin(2, 4), name).when(turn == 5, F.concat(F.repeat(F.lit(" "), F.lit(9)), "line")).otherwise(F.col("line"))
     found = screenplay.blocks(each.select("doc_id", F.col("at").cast("long").alias("place"), line.alias("line")), "doc_id")
     return found.select("doc_id", "at", "kind", "character", F.md5("text").alias("digest"), "scene_num", "scene")
+
+
+_D_SUB = (
+    f"WITH {_D_EV}, {_D_SC}, s AS (SELECT user_id AS movie_id, 's' || lpad((day + 1)::VARCHAR, 5, '0') AS scene_id, s0, s1, day FROM sc), p AS (SELECT user_id AS movie_id, floor((t + 5000) / 40000)::BIGINT AS nth, min(t) AS c0, max(t) AS c1 FROM ev WHERE event_id % 3 > 0 GROUP BY ALL), "
+    "k AS (SELECT user_id AS movie_id, floor(t / 20000)::BIGINT AS nth, min(t) AS k0, max(t) AS k1 FROM ev GROUP BY ALL), "
+    "o AS (SELECT s.*, p.nth, c0, c1 FROM s JOIN p ON p.movie_id = s.movie_id AND c1 > s0 AND c0 < s1), n AS (SELECT * FROM (SELECT s.*, p.nth, c0, c1 FROM s JOIN p ON p.movie_id = s.movie_id WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.movie_id = s.movie_id AND o.scene_id = s.scene_id)) QUALIFY row_number() OVER (PARTITION BY movie_id, scene_id ORDER BY abs(c0 - s0), nth) = 1), "
+    "a AS (SELECT *, greatest(s0, c0) AS o0, least(s1, c1) AS o1, greatest(0, least(s1, c1) - greatest(s0, c0)) AS sec, CASE nth % 4 WHEN 0 THEN 'full' WHEN 1 THEN 'partial' ELSE 'linear' END AS q FROM (SELECT * FROM o UNION ALL SELECT * FROM n)), "
+    "c AS (SELECT a.movie_id, scene_id, a.nth, arg_min('k' || k.nth, {'u': k.nth // 2 <> a.nth, 'o': -greatest(0, least(k1, o1) - greatest(k0, o0)), 'd': abs(k0 - o0), 'e': abs(k1 - o1), 'n': k.nth}) AS parent FROM a JOIN k ON k.movie_id = a.movie_id AND k.nth % 3 = day % 3 GROUP BY ALL), "
+    "r AS (SELECT a.*, coalesce(parent, '') AS parent, round(sec, 2) AS overlap_seconds, sec >= 5 OR q <> 'linear' AS ok, round(sec / greatest(c1 - c0, 1), 3) AS ratio FROM a LEFT JOIN c ON c.movie_id = a.movie_id AND c.scene_id = a.scene_id AND c.nth = a.nth), "
+    "f AS (SELECT *, count(*) OVER w AS split_count, row_number() OVER (PARTITION BY movie_id, nth ORDER BY ok DESC, overlap_seconds DESC, ratio DESC, round(o0, 2), scene_id) = 1 AS best FROM r WINDOW w AS (PARTITION BY movie_id, nth)) "
+)
+
+
+@query("script_subscenes", _D_SUB + "SELECT movie_id, scene_id, 'u' || nth AS uid, parent AS parent_chunk_id, overlap_seconds, ratio AS overlap_ratio_script, split_count, best AS is_canonical, best AND ok AS indexable FROM f")
+def script_subscenes(spark, d: str) -> DataFrame:
+    """Users as films: days as scenes, stretches of 11 hours as script scenes, shorter ones as chunks."""
+    ev = events(spark, d).withColumnRenamed("user_id", "movie_id")
+    span = lambda n, a, b: ev.groupBy("movie_id", n.alias("nth")).agg(F.min("t").alias(a), F.max("t").alias(b))
+    days = span(F.floor(F.col("t") / 86400), "s0", "s1").withColumn("scene_id", F.concat(F.lit("s"), F.lpad((F.col("nth") + 1).cast("string"), 5, "0")))
+    scripts = ev.where("event_id % 3 > 0").groupBy("movie_id", F.floor((F.col("t") + 5000) / 40000).alias("nth")).agg(F.min("t").alias("c0"), F.max("t").alias("c1"))
+    turn = F.col("nth") % 4
+    scripts = scripts.select("movie_id", "nth", "c0", "c1", F.concat(F.lit("u"), "nth").alias("uid"), F.lit("h").alias("heading"), F.when(turn == 0, "full").when(turn == 1, "partial").otherwise("linear").alias("anchor_quality"), F.lit(0.5).alias("confidence"))
+    clips = days.select("movie_id", "scene_id", F.concat(F.lit("c"), F.col("nth") % 3).alias("clip_id"), F.lit(0).alias("nth"), F.lit("d").alias("description"))
+    chunks = span(F.floor(F.col("t") / 20000), "k0", "k1").select("movie_id", F.concat(F.lit("k"), "nth").alias("chunk_id"), "nth", F.concat(F.lit("c"), F.col("nth") % 3).alias("clip_id"), F.concat(F.lit("u"), F.floor(F.col("nth") / 2)).alias("uid"), "k0", "k1")
+    out = subscenes.subscenes(days.select("movie_id", "scene_id", "s0", "s1", F.lit("d").alias("description")), scripts, clips, chunks)
+    return out.select("movie_id", "scene_id", "uid", "parent_chunk_id", "overlap_seconds", "overlap_ratio_script", "split_count", "is_canonical", "indexable")
