@@ -51,7 +51,8 @@ def quota_with_leftovers(rows: DataFrame, key: str, keys: int, score: str, tie:
     by key and tie stay.
     """
     quota = max(1, most // max(1, keys))
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc_nulls_last(score), tie)).cast("long"))
+    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc_nulls_last(score), tie))).where(F.col("_rank") <= max(most, 1))
+    ranked = ranked.withColumn("rank", F.col("_rank").cast("long")).drop("_rank")  # no row beyond can be among the leftovers
     own = ranked.where(F.col("rank") <= quota)
     n = rows.groupBy(key).count().agg(F.sum(F.least("count", F.lit(quota)))).first()[0] or 0
     if n >= most:

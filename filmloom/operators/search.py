@@ -63,18 +63,19 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def topk_batch(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, label, score, rank of each query's k best rows, itself left out.
+def topk_batch(rows: DataFrame, queries: DataFrame, k: int, same_label: bool = False) -> DataFrame:
+    """query_id, vec_id, label, score, rank of each query's k best rows, itself left out; with same_label, of its own label.
 
     Queries are gathered into blocks of about BLOCK vectors, rows into batches of about ROWS, however many there are; every
     batch meets every block once, in one matrix product that gives at most k rows a query. A window over these few
     candidates ends it. Scores are rounded to 4 places before ranking, ties go to the smaller id.
     """
     into = lambda df, most: F.pmod(F.xxhash64("vec_id"), F.lit(-(-df.count() // most) or 1))
-    packed = queries.select("vec_id", doubles(F.col("embedding")).alias("e")).withColumn("_part", into(queries, BLOCK))
-    blocks = packed.groupBy("_part").agg(F.collect_list(F.struct(F.col("vec_id").alias("q"), "e")).alias("queries"))
-    data = rows.select("vec_id", "label", doubles(F.col("embedding")).alias("e")).withColumn("_part", into(rows, ROWS))
-    data = data.groupBy("_part").agg(F.collect_list(F.struct("vec_id", "label", "e")).alias("rows"))
+    keys = ["_label"] if same_label else []
+    packed = queries.select("vec_id", doubles(F.col("embedding")).alias("e"), *[F.col("label").alias(c) for c in keys]).withColumn("_part", into(queries, BLOCK))
+    blocks = packed.groupBy("_part", *keys).agg(F.collect_list(F.struct(F.col("vec_id").alias("q"), "e")).alias("queries"))
+    data = rows.select("vec_id", "label", doubles(F.col("embedding")).alias("e"), *[F.col("label").alias(c) for c in keys]).withColumn("_part", into(rows, ROWS))
+    data = data.groupBy("_part", *keys).agg(F.collect_list(F.struct("vec_id", "label", "e")).alias("rows"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -88,11 +89,34 @@ def topk_batch(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 out = pd.DataFrame({"query_id": np.repeat(q_ids, best.shape[1]), "vec_id": ids[best].ravel(), "label": labels[best].ravel(), "score": top.ravel()})
                 yield out[np.isfinite(out["score"])]
 
-    cand = data.crossJoin(blocks).select("rows", "queries").mapInPandas(run, "query_id long, vec_id long, label int, score double")
+    both = data.drop("_part").join(blocks.drop("_part"), keys) if keys else data.crossJoin(blocks)
+    cand = both.select("rows", "queries").mapInPandas(run, "query_id long, vec_id long, label int, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return cand.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def scene_means(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, label, total, n: the sum of each query's inner products, to 4 places, with the rows of each label, and their number.
+
+    Blocks of both sides meet in one matrix product that gives a row for each query and label.
+    """
+
+    def packed(df: DataFrame, name: str, most: int) -> DataFrame:
+        part = F.pmod(F.xxhash64("vec_id"), F.lit(-(-df.count() // most) or 1))
+        return df.select("vec_id", "label", doubles(F.col("embedding")).alias("e"), part.alias("_part")).groupBy("_part").agg(F.collect_list(F.struct("vec_id", "label", "e")).alias(name)).select(name)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for own, asked in zip(pdf["own"], pdf["asked"]):
+                labels, at = np.unique([r["label"] for r in own], return_inverse=True)
+                sims = np.round(np.stack([r["e"] for r in asked]) @ np.stack([r["e"] for r in own]).T, 4)
+                total = sims @ (at[:, None] == np.arange(len(labels)))
+                yield pd.DataFrame({"query_id": np.repeat([r["vec_id"] for r in asked], len(labels)), "label": np.tile(labels, len(asked)), "total": total.ravel(), "n": np.tile(np.bincount(at), len(asked))})
+
+    each = packed(rows.where("label IS NOT NULL"), "own", ROWS).crossJoin(packed(queries, "asked", BLOCK)).mapInPandas(run, "query_id long, label int, total double, n long")
+    return each.groupBy("query_id", "label").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+
+
 def nearest_within(rows: DataFrame, group: str) -> DataFrame:
     """vec_id, nearest, score: of each row the row of the same group with the largest inner product, itself left out.
 
@@ -113,7 +137,7 @@ def nearest_within(rows: DataFrame, group: str) -> DataFrame:
                 out = pd.DataFrame({"vec_id": q_ids, "nearest": ids[best], "score": scores[np.arange(len(q_ids)), best]})
                 yield out[np.isfinite(out["score"])]
 
-    asked = packed.select(group, F.col("own").alias("asked"))
-    cand = packed.join(asked, group).select("own", "asked").repartition("own", "asked").mapInPandas(run, "vec_id long, nearest long, score double")
+    asked = packed.select(group, F.col("_side").alias("_other"), F.col("own").alias("asked"))
+    cand = packed.join(asked, group).repartition(group, "_side", "_other").select("own", "asked").mapInPandas(run, "vec_id long, nearest long, score double")
     best = cand.groupBy("vec_id").agg(F.max_by(F.struct("nearest", "score"), F.struct(F.col("score"), -F.col("nearest"))).alias("b"))
     return best.select("vec_id", "b.nearest", "b.score")

@@ -86,9 +86,8 @@ def _sims(spark, d: str, same_label: bool = False) -> DataFrame:
 
 @query("vector_topk_filtered_batch", f"WITH {_D_SIM} SELECT query_id, vec_id, label, sim AS score FROM s WHERE vec_id <> query_id AND label = query_label QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) <= 10")
 def vector_topk_filtered_batch(spark, d: str) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id"))
-    near = _sims(spark, d, same_label=True).where("vec_id <> query_id").withColumn("rank", rank).where("rank <= 10")
-    return near.select("query_id", "vec_id", "label", F.col("sim").alias("score"))
+    rows = table(spark, d, "embeddings")
+    return search.topk_batch(rows, rows.where("vec_id % 100 = 0"), 10, same_label=True).select("query_id", "vec_id", "label", "score")
 
 
 @query("hybrid_window_search_batch", f"WITH {_D_SIM} SELECT query_id, label, vec_id, sim, round(0.6 * sim + 0.4 * avg(sim) OVER (PARTITION BY query_id, label ORDER BY vec_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 3) AS score FROM s")
@@ -106,23 +105,36 @@ def softmax_relevance_batch(spark, d: str) -> DataFrame:
 
 @query("hierarchical_search_batch", f"WITH {_D_SIM}, g AS (SELECT query_id, label, round(avg(sim), 4) AS scene FROM s GROUP BY query_id, label QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(avg(sim), 4) DESC, label) <= 3) SELECT query_id, label, vec_id, sim, scene, round(0.7 * sim + 0.3 * scene, 6) AS score FROM s JOIN g USING (query_id, label)")
 def hierarchical_search_batch(spark, d: str) -> DataFrame:
-    """Frames of each query's three best scenes."""
-    sim = _sims(spark, d)
+    """Frames of each query's three best scenes: scenes are chosen by sums that blocks give, then only their frames are scored."""
+    rows = table(spark, d, "embeddings")
+    asked = rows.where("vec_id % 100 = 0")
+    means = search.scene_means(rows, asked).select("query_id", "label", F.round(F.round("total", 4) / F.col("n"), 4).alias("scene"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("scene"), "label"))
-    best = sim.groupBy("query_id", "label").agg(F.round(F.avg("sim"), 4).alias("scene")).withColumn("rank", rank).where("rank <= 3").drop("rank")
+    best = means.withColumn("rank", rank).where("rank <= 3").drop("rank")
+    wanted = best.select(F.col("query_id").alias("vec_id"), F.col("label")).join(asked.select("vec_id", "embedding"), "vec_id")
+    sim = search.scores_batch(rows, wanted, same_label=True)
     return sim.join(best, ["query_id", "label"]).withColumn("score", F.round(0.7 * F.col("sim") + 0.3 * F.col("scene"), 6))
 
 
 @query("lexical_bonus_rank_batch", "WITH q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS q FROM benchmark WHERE item_id % 100 = 0), s AS (SELECT item_id, doc_id, source, coalesce(len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), q)) / nullif(len(q), 0), 0) + CASE WHEN source = (SELECT min(source) FROM documents) THEN 0.05 ELSE 0 END AS x FROM documents, q) SELECT item_id, doc_id, source, round(x, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(x, 6) DESC, doc_id) <= 20")
 def lexical_bonus_rank_batch(spark, d: str) -> DataFrame:
-    """For every hundredth benchmark item the 20 documents that hold most of its words, with a bonus for the preferred source."""
+    """For every hundredth benchmark item the 20 documents that hold most of its words, with a bonus for the preferred source.
+
+    Documents meet an item by the words that they share. Those that share none score by their source alone: of these the
+    first 20 of either kind can be in an answer.
+    """
     docs = table(spark, d, "documents")
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), 1))
     asked = table(spark, d, "benchmark").where("item_id % 100 = 0").select("item_id", words("text").alias("q"))
-    asked = asked.crossJoin(docs.agg(F.min("source").alias("preferred")))
-    share = F.coalesce(F.try_divide(F.size(F.array_intersect("words", "q")), F.size("q")), F.lit(0.0))
-    score = share + F.when(F.col("source") == F.col("preferred"), 0.05).otherwise(0.0)
-    scored = docs.select("doc_id", "source", words("text").alias("words")).crossJoin(F.broadcast(asked)).select("item_id", "doc_id", "source", F.round(score, 6).alias("score"))
+    terms = asked.select("item_id", F.size("q").alias("n_words"), F.explode("q").alias("word"))
+    preferred = docs.agg(F.min("source").alias("preferred"))
+    own = docs.select("doc_id", F.explode(words("text")).alias("word"))
+    shares = own.join(terms, "word").groupBy("item_id", "doc_id").agg((F.count("*") / F.first("n_words")).alias("share"))
+    likes = docs.select("doc_id", "source").crossJoin(F.broadcast(preferred)).select("doc_id", "source", F.when(F.col("source") == F.col("preferred"), 0.05).otherwise(0.0).alias("bonus"))
+    first = likes.where("bonus > 0").orderBy("doc_id").limit(20).union(likes.where("bonus = 0").orderBy("doc_id").limit(20))
+    none = asked.select("item_id").crossJoin(F.broadcast(first.select("doc_id"))).withColumn("share", F.lit(0.0))
+    each = shares.unionByName(none).groupBy("item_id", "doc_id").agg(F.max("share").alias("share")).join(likes, "doc_id")
+    scored = each.select("item_id", "doc_id", "source", F.round(F.col("share") + F.col("bonus"), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
     return scored.withColumn("rank", rank).where("rank <= 20").drop("rank")
 
