@@ -28,21 +28,24 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts are equal when identical after deleting space, tab, newline, vertical tab, form feed and carriage return; a
     null text counts as empty, and empty texts are equal to one another. Of equal texts the row with the most code
     points stays, then the smallest id; a null id comes last. Of rows that tie in both, exactly one stays. No row is
-    lost or added; an empty table gives an empty result; other columns of docs don't matter.
+    lost or added; an empty table gives an empty result; other columns of docs don't matter. A text that is carried is
+    sent once: each level takes its bytes from it. Otherwise the bytes that are left are sent alone.
     """
-    text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
+    normal = lambda c: F.encode(without_white_space(F.coalesce(c, F.lit(""))), "UTF-8")
+    text, carried = F.col(quoted(text_col)), list(carry).index(text_col) if text_col in carry else None
+    whole = None if carried is None else normal(F.col(f"_c{carried}"))
     cur = docs.select(
-        F.col(quoted(id_col)).alias("_id"), *[F.col(quoted(c)).alias(f"_c{i}") for i, c in enumerate(carry)], F.char_length(text).alias("_len"), F.monotonically_increasing_id().alias("_row"),
-        F.lit(0).cast("long").alias("_node"), F.encode(without_white_space(text), "UTF-8").alias("_rest"),
+        F.col(quoted(id_col)).alias("_id"), *[F.col(quoted(c)).alias(f"_c{i}") for i, c in enumerate(carry)], F.char_length(F.coalesce(text, F.lit(""))).alias("_len"), F.monotonically_increasing_id().alias("_row"),
+        F.lit(0).cast("long").alias("_node"), (normal(text) if whole is None else F.lit(True)).alias("_rest"),
     )
     keep = ["_id", *[f"_c{i}" for i, _ in enumerate(carry)], "_len", "_row"]
-    done, level, width = [], 0, 0
+    done, level, width, seen = [], 0, 0, 0
     while True:
         width = widths[level] if level < len(widths) else width * 2
-        cur = cur.withColumn("_key", F.substring(F.col("_rest"), 1, width))
+        cur = cur.withColumn("_key", F.substring(F.col("_rest"), 1, width) if whole is None else F.substring(whole, seen + 1, width))
         groups = cur.groupBy("_node", "_key").agg(F.count("*").alias("_n")).where("_n > 1")
         groups = materialise(groups.select("_node", "_key", F.monotonically_increasing_id().alias("_group"), (F.octet_length("_key") < width).alias("_ended")), f"radix{level}")
-        left = F.when(~F.col("_ended"), F.expr(f"substring(_rest, {width + 1})"))
+        left = F.when(~F.col("_ended"), F.expr(f"substring(_rest, {width + 1})") if whole is None else F.lit(True))
         split = cur.join(groups.hint("merge"), ["_node", "_key"], "left").select(*keep, F.lit(level).alias("_level"), F.col("_group").alias("_node"), left.alias("_rest"))
         split = materialise(split, f"rows{level}")
         done.append(split.where("_rest is null").select(*keep, "_level", "_node"))
@@ -50,7 +53,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         drop(groups)
         if last:
             break
-        cur, level = split.where("_rest is not null").select(*keep, "_node", "_rest"), level + 1
+        cur, level, seen = split.where("_rest is not null").select(*keep, "_node", "_rest"), level + 1, seen + width
     rows = reduce(DataFrame.unionByName, done)
     # Rows 1 to n of an equal class: the best one is found by an algebraic minimum, then given to each of them.
     copies = rows.where("_node is not null")
