@@ -107,7 +107,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         groups, deep = -(-groups // FAN_IN), deep + 1
         open_ = rest.withColumn("_group", (F.col("_group") / FAN_IN).cast("long"))
     extra = reduce(DataFrame.unionByName, decided).where("_p = 1").select("_row", F.lit(1).alias("_one"))
-    out = whole.join(extra, "_row", "left").withColumn("copies", F.col("_sure") + F.coalesce("_one", F.lit(0)))
+    # What is decided grows with the documents: it is joined by their rows at every size, never sent to all tasks.
+    out = whole.join(extra.hint("merge"), "_row", "left").withColumn("copies", F.col("_sure") + F.coalesce("_one", F.lit(0)))
     return out.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("_size")).alias("taken"), *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)])
 
 
