@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filmloom.operators.timeline import interval_join, overlap
+from filmloom.scratch import written
 
 # How well a scene is anchored, and the overlap that makes any part worth an index.
 QUALITY = ("linear", "partial", "full")
@@ -16,10 +17,10 @@ def overlapping_or_nearest(left: DataFrame, right: DataFrame, key: str, left_id:
     """Pairs of rows of a key whose spans (s0, s1) and (c0, c1) share more than an end; a left row without one is paired with the right row whose start is nearest, the first in `nth` of equal ones.
 
     left: key, left_id, s0, s1 and more. right: key, nth, c0, c1 and more. A nearest row is sought from both sides by windows over
-    starts, so that no key's pairs are formed.
+    starts, so that no key's pairs are formed. Both sides grow with the table, so no join broadcasts one; what is read twice is written.
     """
-    spans = interval_join(left, right, key, ("s0", "c0"), ("s1", "c1"), width).where((F.col("c1") > F.col("s0")) & (F.col("c0") < F.col("s1")))
-    alone = left.join(spans.select(F.col(key).alias("_k"), F.col(left_id).alias("_id")).distinct(), (F.col("_k") == left[key]) & (F.col("_id") == left[left_id]), "left_anti")
+    spans = written(interval_join(left, right.hint("merge"), key, ("s0", "c0"), ("s1", "c1"), width).where((F.col("c1") > F.col("s0")) & (F.col("c0") < F.col("s1"))), "spans")
+    alone = written(left.join(spans.select(F.col(key).alias("_k"), F.col(left_id).alias("_id")).distinct().hint("merge"), (F.col("_k") == left[key]) & (F.col("_id") == left[left_id]), "left_anti"), "alone")
     starts = right.groupBy(key, "c0").agg(F.min("nth").alias("nth"))
     both = alone.select(key, left_id, F.col("s0").alias("_t"), F.lit(None).cast("long").alias("_n"), F.lit(None).cast("double").alias("_c")).unionByName(starts.select(key, F.lit(None).cast(left.schema[left_id].dataType).alias(left_id), F.col("c0").alias("_t"), F.col("nth").cast("long").alias("_n"), F.col("c0").alias("_c")))
     hit = F.when(F.col("_n").isNotNull(), F.struct(F.col("_c").alias("c"), F.col("_n").alias("n")))
@@ -29,9 +30,9 @@ def overlapping_or_nearest(left: DataFrame, right: DataFrame, key: str, left_id:
     db, da = F.col("_t") - F.col("_b.c"), F.col("_a.c") - F.col("_t")
     pick = F.when(F.col("_b").isNull() | (da < db) | ((da == db) & (F.col("_a.n") < F.col("_b.n"))), F.col("_a")).otherwise(F.col("_b"))
     near = both.withColumn("_p", pick).where("_p IS NOT NULL").select(F.col(key).alias("_k"), F.col(left_id).alias("_id"), F.col("_p.n").alias("_nth"))
-    pairs = alone.join(near, (alone[key] == near["_k"]) & (alone[left_id] == near["_id"])).drop("_k", "_id")
+    pairs = alone.join(near.hint("merge"), (alone[key] == near["_k"]) & (alone[left_id] == near["_id"])).drop("_k", "_id")
     others = right.withColumnRenamed(key, "_k")
-    filled = pairs.join(others, (pairs[key] == others["_k"]) & (pairs["_nth"] == others["nth"])).drop("_k", "_nth")
+    filled = pairs.join(others.hint("merge"), (pairs[key] == others["_k"]) & (pairs["_nth"] == others["nth"])).drop("_k", "_nth")
     return spans.select(filled.columns).unionByName(filled)
 
 
@@ -41,33 +42,34 @@ def best_chunk(parts: DataFrame, chunks: DataFrame, key: str, part_id: str) -> D
     parts: key, part_id, clip_id, uid, o0, o1. chunks: key, chunk_id, nth, clip_id, uid, k0, k1. Missing clips and scenes are empty texts.
     """
     own = chunks.select(F.col(key).alias("_k"), F.col("clip_id").alias("_clip"), F.col("uid").alias("_uid"), "chunk_id", "nth", "k0", "k1")
-    both = parts.join(own, (parts[key] == F.col("_k")) & (parts["clip_id"] == F.col("_clip")))
+    both = parts.join(own.hint("merge"), (parts[key] == F.col("_k")) & (parts["clip_id"] == F.col("_clip")))
     shared = overlap(F.col("k0"), F.col("k1"), F.col("o0"), F.col("o1"))
     order = F.struct((F.col("_uid") != F.col("uid")), -shared, F.abs(F.col("k0") - F.col("o0")), F.abs(F.col("k1") - F.col("o1")), "nth")
     return both.groupBy(key, part_id).agg(F.min_by("chunk_id", order).alias("parent_chunk_id"))
 
 
-def subscenes(scenes: DataFrame, scripts: DataFrame, clips: DataFrame, chunks: DataFrame, key: str = "movie_id") -> DataFrame:
+def subscenes(scenes: DataFrame, scripts: DataFrame, clips: DataFrame, chunks: DataFrame, key: str = "movie_id", width: float = 120.0) -> DataFrame:
     """A row for each semantic scene and each script scene that overlaps it, or else lies nearest, with parents, ratios and what is to be indexed.
 
     scenes: key, scene_id, s0, s1, description. scripts: key, uid, nth, c0, c1, heading, anchor_quality, confidence. clips: key,
     scene_id, clip_id, nth, description; a scene's last clip counts. chunks: see best_chunk. A part is eligible if it
     overlaps by LEAST_OVERLAP seconds, or its scene is anchored well. Of each script scene's parts, eligible ones first, that
     with the longest overlap, best anchor, confidence, share of the script and earliest start is canonical, the first scene's of equal ones.
+    width: seconds that scenes and script scenes usually last, for their join.
     """
     last = clips.groupBy(key, "scene_id").agg(F.max_by("clip_id", "nth").alias("clip_id"), F.max_by("description", "nth").alias("_told"))
-    rows = overlapping_or_nearest(scenes, scripts, key, "scene_id").join(last, [key, "scene_id"], "left").withColumn("clip_id", F.coalesce("clip_id", F.lit("")))
+    rows = overlapping_or_nearest(scenes, scripts, key, "scene_id", width).join(last.hint("merge"), [key, "scene_id"], "left").withColumn("clip_id", F.coalesce("clip_id", F.lit("")))
     o0, o1 = F.greatest("s0", "c0"), F.least("s1", "c1")
     seconds = F.greatest(F.lit(0.0), o1 - o0)
-    rows = rows.withColumns({"o0": o0, "o1": o1, "_part": F.struct("scene_id", "nth"), "_seconds": seconds, "index_eligible": (seconds >= LEAST_OVERLAP) | F.col("anchor_quality").isin("full", "partial")})
+    rows = written(rows.withColumns({"o0": o0, "o1": o1, "_part": F.struct("scene_id", "nth"), "_seconds": seconds, "index_eligible": (seconds >= LEAST_OVERLAP) | F.col("anchor_quality").isin("full", "partial")}), "parts")
     parent = best_chunk(rows.select(key, "_part", "clip_id", "uid", "o0", "o1"), chunks, key, "_part")
-    rows = rows.join(parent, [key, "_part"], "left")
+    rows = rows.join(parent.hint("merge"), [key, "_part"], "left")
     ratio = lambda a, b: F.round(F.col("_seconds") / F.greatest(F.col(b) - F.col(a), F.lit(1.0)), 3)
-    rows = rows.withColumns({"overlap_seconds": F.round("_seconds", 2), "overlap_ratio_semantic": ratio("s0", "s1"), "overlap_ratio_script": ratio("c0", "c1"), "start_seconds": F.round("o0", 2), "end_seconds": F.round("o1", 2), "confidence_score": F.round(F.coalesce("confidence", F.lit(0.0)), 3)})
+    rows = written(rows.withColumns({"overlap_seconds": F.round("_seconds", 2), "overlap_ratio_semantic": ratio("s0", "s1"), "overlap_ratio_script": ratio("c0", "c1"), "start_seconds": F.round("o0", 2), "end_seconds": F.round("o1", 2), "confidence_score": F.round(F.coalesce("confidence", F.lit(0.0)), 3)}), "parents", rows)
     place = F.coalesce(F.array_position(F.array(*[F.lit(q) for q in QUALITY]), F.col("anchor_quality")), F.lit(0))
     best = F.min(F.struct(~F.col("index_eligible"), -F.col("overlap_seconds"), -F.greatest(place, F.lit(1)), -F.col("confidence_score"), -F.col("overlap_ratio_script"), "start_seconds", "scene_id"))
     chosen = rows.groupBy(F.col(key).alias("_k"), F.col("uid").alias("_u")).agg(best.alias("_best"), F.count("*").alias("split_count"))
-    out = rows.join(chosen, (rows[key] == F.col("_k")) & (rows["uid"] == F.col("_u"))).withColumn("is_canonical", F.col("scene_id") == F.col("_best.scene_id"))
+    out = rows.join(chosen.hint("merge"), (rows[key] == F.col("_k")) & (rows["uid"] == F.col("_u"))).withColumn("is_canonical", F.col("scene_id") == F.col("_best.scene_id"))
     return out.select(
         key, "scene_id", "uid", F.coalesce("parent_chunk_id", F.lit("")).alias("parent_chunk_id"), F.col("clip_id").alias("parent_clip_id"), "start_seconds", "end_seconds", "heading", "anchor_quality", "confidence_score", "overlap_seconds", "overlap_ratio_semantic", "overlap_ratio_script",
         F.coalesce("_told", "description").alias("semantic_description"), "split_count", "index_eligible", "is_canonical", (F.col("is_canonical") & F.col("index_eligible")).alias("indexable"),

@@ -65,5 +65,5 @@ def script_subscenes(spark, d: str) -> DataFrame:
     scripts = scripts.select("movie_id", "nth", "c0", "c1", F.concat(F.lit("u"), "nth").alias("uid"), F.lit("h").alias("heading"), F.when(turn == 0, "full").when(turn == 1, "partial").otherwise("linear").alias("anchor_quality"), F.lit(0.5).alias("confidence"))
     clips = days.select("movie_id", "scene_id", F.concat(F.lit("c"), F.col("nth") % 3).alias("clip_id"), F.lit(0).alias("nth"), F.lit("d").alias("description"))
     chunks = span(F.floor(F.col("t") / 20000), "k0", "k1").select("movie_id", F.concat(F.lit("k"), "nth").alias("chunk_id"), "nth", F.concat(F.lit("c"), F.col("nth") % 3).alias("clip_id"), F.concat(F.lit("u"), F.floor(F.col("nth") / 2)).alias("uid"), "k0", "k1")
-    out = subscenes.subscenes(days.select("movie_id", "scene_id", "s0", "s1", F.lit("d").alias("description")), scripts, clips, chunks)
+    out = subscenes.subscenes(days.select("movie_id", "scene_id", "s0", "s1", F.lit("d").alias("description")), scripts, clips, chunks, width=43200.0)
     return out.select("movie_id", "scene_id", "uid", "parent_chunk_id", "overlap_seconds", "overlap_ratio_script", "split_count", "is_canonical", "indexable")

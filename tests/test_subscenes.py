@@ -87,3 +87,16 @@ def test_grounding_metrics(spark):
     r = grounding.grounding_metrics(df, 4, "q", "rank").first()
     assert (round(r["mean_iou"], 6), r["mrr"], r["recall"], r["rank1_share"], r["n_queries"]) == (round((1 + 0.2 + 0.6 + 0 + 0.1) / 5, 6), (1 + 0.5 + 0.5) / 4, 0.5, 0.5, 4)
     assert tuple(grounding.grounding_metrics(df.limit(0), 0, "q", "rank").first()) == (0.0, 0.0, 0.0, 0.0, 0)
+
+
+def test_no_side_is_broadcast(spark):
+    """Both sides of every join grow with the table; what was read many times is a written table, so the plan stays short."""
+    span = "movie_id string, {} s0 double, s1 double"
+    scenes = spark.createDataFrame([("m", "s0", 0.0, 9.0, "d"), ("m", "s1", 50.0, 60.0, "d")], span.format("scene_id string,") + ", description string")
+    scripts = spark.createDataFrame([("m", "u0", 0, 1.0, 8.0, "h", "full", 0.5)], "movie_id string, uid string, nth int, c0 double, c1 double, heading string, anchor_quality string, confidence double")
+    clips = spark.createDataFrame([("m", "s0", "c0", 0, "t")], "movie_id string, scene_id string, clip_id string, nth int, description string")
+    chunks = spark.createDataFrame([("m", "k0", 0, "c0", "u0", 0.0, 9.0)], "movie_id string, chunk_id string, nth int, clip_id string, uid string, k0 double, k1 double")
+    out = subscenes.subscenes(scenes, scripts, clips, chunks, width=5.0)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("Scan ") <= 4
+    assert {(r["scene_id"], r["overlap_seconds"], r["is_canonical"]) for r in out.collect()} == {("s0", 7.0, True), ("s1", 0.0, False)}
