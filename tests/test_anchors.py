@@ -104,3 +104,15 @@ def test_confidence(spark):
     rows = [("full", 0.8, 0.6, True), ("partial", None, 0.9, False), ("none", 0.2, 0.4, True), ("none", None, None, True), ("none", 0.5, None, False), ("full", None, None, False), ("full", 1.0, 1.0, False)]
     df = spark.createDataFrame(rows, "q string, a double, b double, w boolean")
     assert [r[0] for r in df.select(anchors.confidence(*map(F.col, "qabw"))).collect()] == [0.745, 0.82, 0.34, 0.30, 0.235, 0.10, 0.99]
+
+
+def test_only_windows_with_shared_words_are_formed(spark, monkeypatch):
+    """Of a long track only the entries around those that begin with a query's words are cut into windows; windows shorter than a gram count too."""
+    lines = [(0, i, i * 3.0, i * 3.0 + 3, f"filler{i} words{i} that{i} share{i} nothing{i}") for i in range(400)] + [(1, 0, 0.0, 3.0, "goodbye friend")]
+    lines[200] = (0, 200, 600.0, 603.0, "the old mill stands by the river")
+    formed, cut = [], anchors._cut
+    monkeypatch.setattr(anchors, "_cut", lambda df, *a: formed.append(df.count()) or cut(df, *a))
+    asked = spark.createDataFrame([(7, ["The old mill stands by the river!"]), (8, ["Goodbye, friend"])], "q int, texts array<string>")
+    got = anchors.find_anchors(asked, spark.createDataFrame(lines, "k int, place long, start_s double, end_s double, text string"), "q", "k", "place", gram=3, least=0.5)
+    assert {(r["q"], r["k"], r["at_s"], round(r["score"], 6)) for r in got.collect()} == {(7, 0, 600.0, 1.0), (8, 1, 0.0, 1.0)}
+    assert formed == [4]
