@@ -15,6 +15,8 @@ from filmloom.scratch import new_path
 #: A video's state: the next track's number; numbers, boxes (four at a time) and frames missed of its tracks; detections of frames that are not complete.
 STATE = "next long, ids array<long>, boxes array<double>, missed array<int>, w_frame array<long>, w_det array<long>, w_ms array<long>, w_boxes array<double>, last_ms long"
 BOX = ["x1", "y1", "x2", "y2"]
+#: Pairs of boxes that are compared one by one; more go through arrays.
+FEW = 64
 
 
 def iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -26,25 +28,38 @@ def iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.divide(shared, both, out=np.zeros_like(shared), where=both > 0)
 
 
+def _iou(p: list[float], q: list[float]) -> float:
+    """iou() of two boxes."""
+    shared = max(min(p[2], q[2]) - max(p[0], q[0]), 0.0) * max(min(p[3], q[3]) - max(p[1], q[1]), 0.0)
+    both = (p[2] - p[0]) * (p[3] - p[1]) + (q[2] - q[0]) * (q[3] - q[1]) - shared
+    return shared / both if both > 0 else 0.0
+
+
 class Tracks:
     """The open tracks of a video."""
 
     def __init__(self, following: int = 0, ids=(), boxes=(), missed=()):
         self.following, self.ids, self.missed = following, list(ids), list(missed)
-        self.boxes = np.array(boxes, float).reshape(-1, 4)
+        self.boxes = np.array(boxes, float).reshape(-1, 4).tolist()
 
-    def step(self, boxes: np.ndarray, least: float, most_missed: int) -> list[int]:
+    def step(self, boxes: list[list[float]], least: float, most_missed: int) -> list[int]:
         """The track of each of a frame's boxes, in their order.
 
         A box goes on with the open track that it overlaps most, by `least` at least, the youngest of equal ones, unless an
         earlier box of the frame has it; else it opens a track. A track that misses more than `most_missed` frames ends.
         """
-        over, old = iou(boxes, self.boxes), len(self.ids)
-        used, out = np.zeros(old, bool), []
-        for i, box in enumerate(boxes):
-            score = np.where(used, -1.0, over[i])
-            best = old - 1 - int(score[::-1].argmax()) if old else -1
-            if old and score[best] >= least:
+        old = len(self.ids)
+        if len(boxes) * old <= FEW:  # most frames have a box or two
+            over = [[_iou(p, q) for q in self.boxes] for p in boxes]
+        else:
+            over = iou(np.array(boxes, float), np.array(self.boxes, float).reshape(-1, 4)).tolist()
+        used, out = [False] * old, []
+        for box, scores in zip(boxes, over):
+            best, score = -1, -1.0
+            for k, x in enumerate(scores):
+                if not used[k] and x >= score:
+                    best, score = k, x
+            if best >= 0 and score >= least:
                 used[best] = True
                 self.boxes[best] = box
                 self.missed[best] = 0
@@ -53,11 +68,12 @@ class Tracks:
                 out.append(self.following)
                 self.ids.append(self.following)
                 self.missed.append(0)
-                self.boxes = np.vstack([self.boxes, box])
+                self.boxes.append(box)
                 self.following += 1
         self.missed = [m + (k < old and not used[k]) for k, m in enumerate(self.missed)]
-        stay = [k for k, m in enumerate(self.missed) if m <= most_missed]
-        self.ids, self.missed, self.boxes = [self.ids[k] for k in stay], [self.missed[k] for k in stay], self.boxes[stay]
+        if self.missed and max(self.missed) > most_missed:
+            stay = [k for k, m in enumerate(self.missed) if m <= most_missed]
+            self.ids, self.missed, self.boxes = [self.ids[k] for k in stay], [self.missed[k] for k in stay], [self.boxes[k] for k in stay]
         return out
 
 
@@ -75,22 +91,26 @@ def track(detections: DataFrame, video: str = "video", least: float = 0.3, most_
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         s = dict(zip(names, state.get)) if state.exists else dict(next=0, ids=[], boxes=[], missed=[], w_frame=[], w_det=[], w_ms=[], w_boxes=[], last_ms=0)
         passed = state.getCurrentWatermarkMs()
-        held = pd.DataFrame({"frame": s["w_frame"], "det": s["w_det"], "ms": s["w_ms"]}).astype("int64")
-        held[BOX] = np.array(s["w_boxes"], float).reshape(-1, 4)
+        frame, det, ms, boxes = s["w_frame"], s["w_det"], s["w_ms"], np.array(s["w_boxes"], float).reshape(-1, 4)
         if not state.hasTimedOut:
-            held = pd.concat([held, *(f[["frame", "det", "ms", *BOX]] for f in frames)])
-        held = held.sort_values(["frame", "det"], kind="stable")
-        done = held["frame"].isin(held.loc[held["ms"] + frame_ms <= passed, "frame"])
+            new = list(frames)
+            frame, det, ms = (np.concatenate([np.array(x, np.int64), *(f[c].to_numpy(np.int64) for f in new)]) for x, c in ((frame, "frame"), (det, "det"), (ms, "ms")))
+            boxes = np.concatenate([boxes, *(np.stack([f[c].to_numpy(float) for c in BOX], 1) for f in new)])
+        frame, det, ms = (np.array(x, np.int64) for x in (frame, det, ms))
+        order = np.lexsort([det, frame])
+        frame, det, ms, boxes = frame[order], det[order], ms[order], boxes[order]
+        done = np.isin(frame, frame[ms + frame_ms <= passed])
         tracks = Tracks(s["next"], s["ids"], s["boxes"], s["missed"])
-        for frame, rows in held[done].groupby("frame", sort=True):
-            found = tracks.step(rows[BOX].to_numpy(float), least, most_missed)
-            yield pd.DataFrame({"video": key[0], "frame": frame, "det": rows["det"].to_numpy(), "track": found})
-        left, last = held[~done], max([s["last_ms"], *held["ms"]])
-        if left.empty and last + idle_ms <= passed:
+        if done.any():  # one table for all frames of the video: tables a frame would cost more than the tracks
+            own, starts = boxes[done].tolist(), np.flatnonzero(np.diff(frame[done], prepend=frame[done][0] - 1))
+            found = [t for a, b in zip(starts, [*starts[1:], len(own)]) for t in tracks.step(own[a:b], least, most_missed)]
+            yield pd.DataFrame({"video": key[0], "frame": frame[done], "det": det[done], "track": found})
+        left, last = ms[~done], max([s["last_ms"], *ms.tolist()])
+        if not len(left) and last + idle_ms <= passed:
             state.remove()
             return
-        state.update((tracks.following, tracks.ids, tracks.boxes.ravel().tolist(), tracks.missed, *(left[c].tolist() for c in ("frame", "det", "ms")), left[BOX].to_numpy(float).ravel().tolist(), int(last)))
-        state.setTimeoutTimestamp(max(passed + 1, int(left["ms"].min()) + frame_ms if len(left) else int(last) + idle_ms))
+        state.update((tracks.following, tracks.ids, [float(x) for box in tracks.boxes for x in box], tracks.missed, *(x[~done].tolist() for x in (frame, det, ms)), boxes[~done].ravel().tolist(), int(last)))
+        state.setTimeoutTimestamp(max(passed + 1, int(left.min()) + frame_ms if len(left) else int(last) + idle_ms))
 
     rows = detections.withWatermark("at", delay).withColumn("ms", F.unix_millis("at")).select(F.col(video).alias("video"), F.col("frame").cast("long"), F.col("det").cast("long"), "ms", "at", *[F.col(c).cast("double") for c in BOX])
     out = rows.groupBy("video").applyInPandasWithState(run, f"video {kind}, frame long, det long, track long", STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -116,3 +116,18 @@ def test_events(spark, tmp_path):
     rows = [(r["video"], r["frame"], r["det"], 0, r["x1"], r["y1"], r["x2"], r["y2"]) for r in tracker.event_boxes(events).collect()]
     got = rows_of(tracker.tracked_events(spark, "/root/testdata/sf0.001/events.parquet", new_path(spark, "t")))
     assert got == expected(rows, max(r[1] for r in rows) - 1, most_missed=3)
+
+
+def test_small_frames_need_no_arrays(monkeypatch):
+    """Frames of a few boxes are compared box by box, with the very numbers that arrays give."""
+    r = random.Random(5)
+    boxes = [[x := r.uniform(0, 9), y := r.uniform(0, 9), x + r.uniform(0, 5), y + r.uniform(0, 5)] for _ in range(40)]
+    assert [[tracker._iou(p, q) for q in boxes] for p in boxes] == tracker.iou(tracker.np.array(boxes), tracker.np.array(boxes)).tolist()
+    frames = [boxes[i : i + r.randrange(1, 5)] for i in range(30)]
+    arrays = tracker.Tracks()
+    monkeypatch.setattr(tracker, "FEW", -1)
+    want = [arrays.step(f, 0.2, 2) for f in frames]
+    monkeypatch.setattr(tracker, "FEW", 64)
+    monkeypatch.setattr(tracker, "iou", None)
+    single = tracker.Tracks()
+    assert [single.step(f, 0.2, 2) for f in frames] == want
