@@ -78,12 +78,6 @@ def greedy_chunks(spark, d: str) -> DataFrame:
 _D_SIM = f"{_D_E}, s AS (SELECT q.vec_id AS query_id, q.label AS query_label, e.vec_id, e.label, round(list_inner_product(e.v, q.v), 4) AS sim FROM e JOIN e q ON q.vec_id % 100 = 0)"
 
 
-def _sims(spark, d: str, same_label: bool = False) -> DataFrame:
-    """Every hundredth row as a query against all rows."""
-    rows = table(spark, d, "embeddings")
-    return search.scores_batch(rows, rows.where("vec_id % 100 = 0"), same_label)
-
-
 @query("vector_topk_filtered_batch", f"WITH {_D_SIM} SELECT query_id, vec_id, label, sim AS score FROM s WHERE vec_id <> query_id AND label = query_label QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) <= 10")
 def vector_topk_filtered_batch(spark, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings")
@@ -92,15 +86,15 @@ def vector_topk_filtered_batch(spark, d: str) -> DataFrame:
 
 @query("hybrid_window_search_batch", f"WITH {_D_SIM} SELECT query_id, label, vec_id, sim, round(0.6 * sim + 0.4 * avg(sim) OVER (PARTITION BY query_id, label ORDER BY vec_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 3) AS score FROM s")
 def hybrid_window_search_batch(spark, d: str) -> DataFrame:
-    around = Window.partitionBy("query_id", "label").orderBy("vec_id").rowsBetween(-3, 3)
-    return _sims(spark, d).withColumn("score", F.round(0.6 * F.col("sim") + 0.4 * F.avg("sim").over(around), 3))
+    rows = table(spark, d, "embeddings")
+    each = search.windowed_scores(rows, rows.where("vec_id % 100 = 0"), 3)
+    return each.select("query_id", "label", "vec_id", "sim", F.round(0.6 * F.col("sim") + 0.4 * F.col("around"), 3).alias("score"))
 
 
 @query("softmax_relevance_batch", f"WITH {_D_SIM}, x AS (SELECT query_id, label, vec_id, exp(sim / 0.5) AS x FROM s) SELECT query_id, label, vec_id, round(x / (sum(x) OVER (PARTITION BY query_id, label) + 1e-8), 5) AS p FROM x")
 def softmax_relevance_batch(spark, d: str) -> DataFrame:
-    x = _sims(spark, d).withColumn("x", F.exp(F.col("sim") / 0.5))
-    total = x.groupBy("query_id", "label").agg(F.sum("x").alias("total"))
-    return x.join(total, ["query_id", "label"]).select("query_id", "label", "vec_id", F.round(F.col("x") / (F.col("total") + 1e-8), 5).alias("p"))
+    rows = table(spark, d, "embeddings")
+    return search.softmax_scores(rows, rows.where("vec_id % 100 = 0"), 0.5).select("query_id", "label", "vec_id", F.round("p", 5).alias("p"))
 
 
 @query("hierarchical_search_batch", f"WITH {_D_SIM}, g AS (SELECT query_id, label, round(avg(sim), 4) AS scene FROM s GROUP BY query_id, label QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(avg(sim), 4) DESC, label) <= 3) SELECT query_id, label, vec_id, sim, scene, round(0.7 * sim + 0.3 * scene, 6) AS score FROM s JOIN g USING (query_id, label)")

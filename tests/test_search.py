@@ -1,5 +1,8 @@
 """Search and chunks in pieces whose size does not follow the table's."""
 
+import math
+import random
+
 from filmloom.operators import search, timeline
 
 
@@ -23,3 +26,44 @@ def test_greedy_chunks_cut_at_gaps(spark):
     assert "_cut" in out._jdf.queryExecution().optimizedPlan().toString()  # groups are cuts of a key, not keys
     got = [tuple(r) for r in out.orderBy("chunk").collect()]
     assert got == [("x", 2 * i + h, 100.0 * i + 3 * h, 100.0 * i + 3 * h + (1 if h else 3), 1 if h else 3) for i in range(5) for h in (0, 1)]
+
+
+def _vectors(spark, n=260):
+    r = random.Random(9)
+    rows = [(i * 4 % 1000, i % 3, [r.uniform(-1, 1) for _ in range(6)]) for i in range(n)]
+    return spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>"), {i: (g, v) for i, g, v in rows}
+
+
+def test_windows_and_shares_shuffle_no_scores(spark, monkeypatch):
+    """Scores of all pairs leave the product's task as results: no exchange by query lies above it."""
+    monkeypatch.setattr(search, "ROWS", 20)
+    monkeypatch.setattr(search, "BLOCK", 2)
+    df, known = _vectors(spark, 240)
+    asked = df.where("vec_id % 100 = 0")
+    sim = {(q, i): round(sum(a * b for a, b in zip(known[q][1], v)), 4) for q in known if q % 100 == 0 for i, (_, v) in known.items()}
+    for out in (search.windowed_scores(df, asked, 3), search.softmax_scores(df, asked, 0.5)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan[: plan.index("MapInArrow")] and "Window" not in plan[: plan.index("MapInArrow")]
+        rows = out.collect()
+        assert len(rows) == len(sim)
+        for row in rows:
+            q, i = row["query_id"], row["vec_id"]
+            own = sorted(k for k, (g, _) in known.items() if g == known[i][0])
+            at = own.index(i)
+            if "around" in out.columns:
+                near = [sim[q, k] for k in own[max(0, at - 3) : at + 4]]
+                assert abs(row["sim"] - sim[q, i]) < 1e-9 and abs(row["around"] - sum(near) / len(near)) < 1e-9
+            else:
+                assert abs(row["p"] - math.exp(sim[q, i] * 2) / (sum(math.exp(sim[q, k] * 2) for k in own) + 1e-8)) < 1e-9
+
+
+def test_nearest_within_sends_a_pair_of_blocks_once(spark, monkeypatch):
+    monkeypatch.setattr(search, "ROWS", 20)
+    monkeypatch.setattr(search, "BLOCK", 7)
+    df, known = _vectors(spark, 240)
+    out = search.nearest_within(df, "label")
+    assert "sequence(_side" in (plan := out._jdf.queryExecution().optimizedPlan().toString()) or "sequence(0, _side" in plan
+    got = {r["vec_id"]: (r["nearest"], r["score"]) for r in out.collect()}
+    for i, (g, v) in known.items():
+        best = min((-round(sum(a * b for a, b in zip(v, w)), 4), k) for k, (h, w) in known.items() if h == g and k != i)
+        assert got[i] == (best[1], -best[0])
