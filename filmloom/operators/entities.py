@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filmloom.functions.names import entity_key
+from filmloom.scratch import written
 
 # Words that a kind's signature leaves out.
 LEFT_OUT = {
@@ -68,11 +69,11 @@ def resolve(names: DataFrame, group: str, name: str, kind: str) -> DataFrame:
     Names with the same signature are one entity. A signature that only one other of its group holds whole stands for
     that one: for characters, only a single word does; for places and things, only if the other has at most two words more.
     Generic names are left out, null names and groups likewise. preferred is the entity's name of highest rank, of equal
-    ones the first in order. Holders of a signature are sought by its rarest word; those of a single word are counted, not
+    ones the first in order. The different names are found once and written, as three steps read them. Holders of a signature are sought by its rarest word; those of a single word are counted, not
     paired.
     """
     rows = names.select(F.col(group).alias("g"), F.col(name).alias("name")).where("g IS NOT NULL AND name IS NOT NULL").distinct().withColumn("_key", entity_key(F.col("name")))
-    rows = rows.where(~is_generic(F.col("_key"), kind)).withColumn("signature", signature(F.col("_key"), kind))
+    rows = written(rows.where(~is_generic(F.col("_key"), kind)).withColumn("signature", signature(F.col("_key"), kind)).select("g", "name", "signature"), "names")
     sigs = rows.select("g", "signature").distinct().withColumn("_ws", F.array_distinct(words(F.col("signature"))))
     by_word = sigs.select("g", "signature", "_ws", F.explode("_ws").alias("_w"))
     if kind == "Character":
