@@ -24,8 +24,8 @@ def assign(pairs: DataFrame, group: str, left: str, right: str, score: str, alon
     """
     alone = ALONE if alone is None else alone
     rows = written(pairs.where(F.col(score) > -1).select(F.col(group).alias("g"), F.col(left).alias("i"), F.col(right).alias("j"), F.col(score).cast("double").alias("s")), "pairs")
-    size = rows.groupBy(F.col("g").alias("_g")).agg(F.count("*").alias("_n"))
-    sized = rows.join(size, rows["g"].eqNullSafe(size["_g"])).drop("_g")
+    # One row per `alone` pairs at most, so it is broadcast: a join by group would bring all of a large group to one task.
+    large = F.broadcast(written(rows.groupBy(F.col("g").alias("_g")).count().where(F.col("count") > alone).select("_g"), "large"))
     shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
 
     def in_turn(table: pa.Table) -> pa.Table:
@@ -38,8 +38,8 @@ def assign(pairs: DataFrame, group: str, left: str, right: str, score: str, alon
                 done = i
         return table.take(pa.array(keep, pa.int64()))
 
-    small = sized.where(F.col("_n") <= alone).drop("_n").groupBy("g").applyInArrow(in_turn, shape)
-    open_, best = written(sized.where(F.col("_n") > alone).drop("_n"), "open"), None
+    small = rows.join(large, F.col("g").eqNullSafe(F.col("_g")), "left_anti").groupBy("g").applyInArrow(in_turn, shape)
+    open_, best = written(rows.join(large, F.col("g").eqNullSafe(F.col("_g")), "left_semi"), "open"), None
     while True:
         top = open_.groupBy("g", "i").agg(F.min_by(F.struct("j", "s"), F.struct(-F.col("s"), "j")).alias("t"))
         top = written(top.select("g", "i", "t.j", "t.s"), "top")
