@@ -8,9 +8,9 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: The table is emptied when it holds so many pieces (about 300 MB).
-MOST_PIECES = 1_200_000
-BATCH_BYTES = 1 << 20
+#: The table is emptied before it would hold more pieces (about 80 MB); a worker keeps it from task to task.
+MOST_PIECES = 400_000
+BATCH_BYTES = 1 << 18
 #: Pieces joined into one string for the library, with MARK between them.
 JOINED = 200
 MARK = "\x01"
@@ -52,8 +52,6 @@ class PieceTable:
         return not x.startswith(self.lead) or self.special.search(x) is not None
 
     def learn(self, new: list[str]) -> None:
-        if len(self.known) > MOST_PIECES:
-            self.known.clear()
         plain, odd = [], []
         for x in new:
             (odd if self.alone(x) else plain).append(x)
@@ -83,11 +81,11 @@ class PieceTable:
                 new |= set(texts[end]).difference(known)
                 size += sum(map(len, texts[end]))
                 end += 1
+            if known and len(known) + len(new) > MOST_PIECES:
+                known.clear()  # and with it what these texts share with earlier ones
+                new = set().union(*texts[at:end])
             self.learn(list(new))
             for pieces in texts[at:end]:
-                # learn() may have emptied the table of what these texts share with earlier ones
-                if len(known) <= len(new) and (lost := list(set(pieces).difference(known))):
-                    self.learn(lost)
                 yield list(map(known.__getitem__, pieces))
             at = end
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import materialise, read_table
-from ._pieces import table
+from ._pieces import byte_batches, table
 
 CAPACITY = 2048
 SALTS = 64
@@ -48,7 +48,8 @@ def cut(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, capaci
         words, end = table(tokenizer_path, "", counts=False), np.array([end_id], "<u4").tobytes()
         for b in batches:
             at, piece, start, length, crc = [], [], [], [], []
-            for i, known in enumerate(words.of([parts(x or "") for x in b.column(1).to_pylist()])):
+            few = byte_batches(x or "" for x in b.column(1).to_pylist())  # parts of a whole batch would take ten times its bytes
+            for i, known in enumerate(k for texts in few for k in words.of([parts(x) for x in texts])):
                 ids = b"".join(known) + end
                 for k, s in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[s : s + 4 * capacity]

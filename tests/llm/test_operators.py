@@ -371,3 +371,14 @@ def test_bloom_cascade_is_exact(spark):
     levels = url_filter.cascade(universe, listed)
     hit = universe.where(url_filter.cascade_has(F.col("key"), levels))
     assert hit.exceptAll(listed).count() == 0 and hit.count() == listed.count()
+
+
+def test_a_table_of_pieces_that_was_emptied_knows_all_texts(monkeypatch):
+    from filmloom.llm import _pieces
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [["alpha", "beta", "gamma", "delta"], ["omega", "alpha"], ["beta", "omega", "gamma"]]
+    want = list(_pieces.PieceTable(path, "", counts=False).of(texts))
+    monkeypatch.setattr(_pieces, "MOST_PIECES", 3)
+    small = _pieces.PieceTable(path, "", counts=False)
+    assert [*small.of(texts[:1]), *small.of(texts[1:])] == want and len(small.known) == 4
