@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from filmloom.functions.vectors import doubles, norm, scaled
 from filmloom.scratch import written
 
-#: Vectors of a block, about; bits of the code by which a group is dealt to blocks.
+#: Vectors that are compared at a time, and of a block at least, about; bits of the code by which a group is dealt to blocks.
 BLOCK, BITS = 512, 12
+#: A group has about so many blocks, and twice as many at most, until they would be larger than LARGEST.
+SHARE, LARGEST = 16, 1 << 15
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -44,11 +46,16 @@ def _planes(width: int) -> np.ndarray:
     return np.random.default_rng(width).normal(size=(BITS, width))
 
 
+def _codes(x: np.ndarray) -> np.ndarray:
+    """Of each row, the sides of planes on which it lies."""
+    return (x @ _planes(x.shape[1]).T > 0) @ (1 << np.arange(BITS - 1, -1, -1))
+
+
 def _blocks(points: DataFrame, group: str) -> DataFrame:
-    """group, block, ids, vectors (one after another), width, centre, radius: points (_id, u) that lie near each other, about BLOCK at a time.
+    """group, width, block, ids, vectors (one after another): points (_id, u) that lie near each other, BLOCK or a SHARE-th of the group at a time.
 
-    A group is dealt by the first bits of a code of the sides of planes on which a vector lies, as many as make blocks of
-    about BLOCK; codes with more rows are split by hash.
+    A group is dealt by the first bits of its vectors' codes, as many as make blocks of that size; codes with more rows are
+    split by hash. As a large group's blocks grow with it, a vector meets about as many blocks in large groups as in small ones.
     """
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,15 +65,16 @@ def _blocks(points: DataFrame, group: str) -> DataFrame:
             code = np.zeros(len(u), np.int64)
             for d in np.unique(sizes[sizes > 0]):
                 at = np.flatnonzero(sizes == d)
-                x = u.take(pa.array(at)).flatten().to_numpy().reshape(-1, d)
-                code[at] = (x @ _planes(d).T > 0) @ (1 << np.arange(BITS - 1, -1, -1))
+                code[at] = _codes(u.take(pa.array(at)).flatten().to_numpy().reshape(-1, d))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(code)], names=["_g", "_id", "u", "code"])
 
     kind = points.schema[group].dataType.simpleString()
     rows = points.select(F.col(group).alias("_g"), "_id", "u").mapInArrow(coded, f"_g {kind}, _id long, u array<double>, code long").withColumn("width", F.size("u"))
-    size = rows.groupBy("_g", "width").agg(F.greatest(F.lit(0.0), F.least(F.lit(float(BITS)), F.ceil(F.log2(F.count("*") / BLOCK)).cast("double"))).alias("bits"))
+    each = F.greatest(F.lit(BLOCK), F.least(F.lit(LARGEST), F.ceil(F.count("*") / SHARE)))
+    size = rows.groupBy("_g", "width").agg(F.count("*").alias("_n"), each.alias("each"))
+    size = size.select("_g", "width", "each", F.greatest(F.lit(0.0), F.least(F.lit(float(BITS)), F.ceil(F.log2(F.col("_n") / F.col("each"))).cast("double"))).alias("bits"))
     rows = rows.join(size, ["_g", "width"]).withColumn("cell", F.floor(F.col("code") / F.pow(F.lit(2.0), BITS - F.col("bits"))))
-    full = rows.groupBy("_g", "width", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    full = rows.groupBy("_g", "width", "cell").agg(F.ceil(F.count("*") / F.first("each")).alias("parts"))
     rows = rows.join(full, ["_g", "width", "cell"]).withColumn("part", F.pmod(F.xxhash64("_id"), F.col("parts")))
     packed = rows.groupBy("_g", "width", "cell", "part").agg(F.collect_list(F.struct("_id", "u")).alias("m"))
     packed = packed.withColumn("block", F.concat_ws(":", "width", "cell", "part")).select("_g", "width", "block", F.col("m._id").alias("ids"), F.flatten("m.u").alias("vectors"))
@@ -74,23 +82,43 @@ def _blocks(points: DataFrame, group: str) -> DataFrame:
 
 
 def _centred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks with their mean and the largest distance from it."""
+    """Blocks in order of their vectors' codes, with their mean and the largest distance from it."""
     for b in batches:
-        centres, radii = [], []
         for r in range(b.num_rows):
             x = np.array(b.column(4)[r].values).reshape(-1, b.column(1)[r].as_py())
-            centres.append(x.mean(0).tolist())
-            radii.append(float(np.sqrt(((x - x.mean(0)) ** 2).sum(1).max())) + 1e-9)
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(centres, pa.list_(pa.float64())), pa.array(radii)], names=["_g", "width", "block", "ids", "vectors", "centre", "radius"])
+            order = np.argsort(_codes(x), kind="stable")
+            centre, radius = _ball(x)
+            own = [pa.array([v], pa.list_(t)) for v, t in ((np.array(b.column(3)[r].values)[order], pa.int64()), (x[order].ravel(), pa.float64()), (centre, pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*b.slice(r, 1).columns[:3], *own, pa.array([radius])], names=["_g", "width", "block", "ids", "vectors", "centre", "radius"])
+
+
+def _ball(x: np.ndarray) -> tuple[np.ndarray, float]:
+    """The mean of rows and the largest distance from it."""
+    return x.mean(0), float(np.sqrt(((x - x.mean(0)) ** 2).sum(1).max())) + 1e-9
+
+
+def _tiles(x: np.ndarray, y: np.ndarray, same: bool, eps: float, tile: int) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    """Slices of x and y, tile rows at most, that may lie within eps, and which pairs of their rows do. same: x is y, of which each two slices meet once."""
+    cut = lambda m: [(slice(i, i + tile), *_ball(m[i : i + tile])) for i in range(0, len(m), tile)]
+    across = cut(y)
+    for i, (p, c, r) in enumerate(cut(x)):
+        for j, (q, d, t) in enumerate(across):
+            if (not same or i <= j) and np.sqrt(((c - d) ** 2).sum()) <= r + t + eps:
+                hit = x[p] @ y[q].T >= 1 - eps * eps / 2
+                if same and i == j:
+                    np.fill_diagonal(hit, True)
+                yield p, q, hit
 
 
 def _block_pairs(blocks: DataFrame, eps: float, *more: str) -> DataFrame:
-    """Pairs of blocks of a group whose points may lie within eps: block x is not after block y in order."""
+    """Pairs of blocks of a group whose points may lie within eps, each once; a block is y in about half of its pairs."""
     light = blocks.select("_g", "width", "block", "centre", "radius")
     x = light.select("_g", "width", F.col("block").alias("bx"), F.col("centre").alias("cx"), F.col("radius").alias("rx"))
     y = light.select("_g", "width", F.col("block").alias("by"), F.col("centre").alias("cy"), F.col("radius").alias("ry"))
+    turn = F.pmod(F.xxhash64(F.least("bx", "by"), F.greatest("bx", "by")), F.lit(2)) == 0
+    once = (F.col("bx") == F.col("by")) | ((F.col("bx") < F.col("by")) & turn) | ((F.col("bx") > F.col("by")) & ~turn)
     far = norm(F.zip_with("cx", "cy", lambda a, b: a - b))
-    near = x.join(y, (x["_g"] == y["_g"]) & (x["width"] == y["width"])).where((F.col("bx") <= F.col("by")) & (far <= F.col("rx") + F.col("ry") + eps)).select(x["_g"].alias("_g"), x["width"].alias("width"), "bx", "by")
+    near = x.join(y, (x["_g"] == y["_g"]) & (x["width"] == y["width"])).where(once & (far <= F.col("rx") + F.col("ry") + eps)).select(x["_g"].alias("_g"), x["width"].alias("width"), "bx", "by")
     side = lambda s: blocks.select("_g", F.col("block").alias(f"b{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "vectors", *more)])
     return near.join(side("x"), ["_g", "bx"]).join(side("y"), ["_g", "by"])
 
@@ -112,21 +140,26 @@ def dbscan(rows: DataFrame, id_col: str, vec_col: str, group: str, eps: float, l
     kind = rows.schema[group].dataType.simpleString()
     shape = f"_g {kind}, width int, block string, ids array<long>, vectors array<double>"
     blocks = written(_blocks(points, group).select("_g", "width", "block", "ids", "vectors").mapInArrow(_centred, f"{shape}, centre array<double>, radius double"), "blocks")
-    bound = 1 - eps * eps / 2
+    tile = BLOCK
 
-    def near(b: pa.RecordBatch, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
-        get = lambda c: np.array(b.column(b.schema.get_field_index(c))[r].values)
-        x, y = get("ids_x"), get("ids_y")
-        return x, y, get("vectors_x").reshape(len(x), -1) @ get("vectors_y").reshape(len(y), -1).T >= bound, bool(b.column(b.schema.get_field_index("same"))[r].as_py())
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Of each pair of blocks: its row, the sorted ids of both, the places of x's and y's ids among them, and its tiles."""
         for b in batches:
             for r in range(b.num_rows):
-                x, y, hit, same = near(b, r)
-                if same:
-                    np.fill_diagonal(hit, True)
-                ids, n = (x, hit.sum(1)) if same else (np.concatenate([x, y]), np.concatenate([hit.sum(1), hit.sum(0)]))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[n > 0]), pa.array(n[n > 0].astype(np.int64))], names=["_id", "n"])
+                get = lambda c: np.array(b.column(b.schema.get_field_index(c))[r].values)
+                x, y, same = get("ids_x"), get("ids_y"), bool(b.column(b.schema.get_field_index("same"))[r].as_py())
+                ids = np.unique(np.concatenate([x, y]))
+                near = _tiles(get("vectors_x").reshape(len(x), -1), get("vectors_y").reshape(len(y), -1), same, eps, tile)
+                yield get, ids, np.searchsorted(ids, x), np.searchsorted(ids, y), ((p, q, same and p == q, hit) for p, q, hit in near)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, ids, x, y, near in pairs(batches):
+            n = np.zeros(len(ids), np.int64)
+            for p, q, square, hit in near:
+                n[x[p]] += hit.sum(1)
+                if not square:
+                    n[y[q]] += hit.sum(0)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[n > 0]), pa.array(n[n > 0])], names=["_id", "n"])
 
     same = (F.col("bx") == F.col("by")).alias("same")
     counted = _block_pairs(blocks, eps).select("ids_x", "vectors_x", "ids_y", "vectors_y", same).mapInArrow(count, "_id long, n long")
@@ -135,24 +168,21 @@ def dbscan(rows: DataFrame, id_col: str, vec_col: str, group: str, eps: float, l
     marked = blocks.join(home, ["_g", "block"], "left").withColumn("cores", F.coalesce("cores", F.array().cast("array<long>")))
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in range(b.num_rows):
-                x, y, hit, same = near(b, r)
-                ids = np.concatenate([x, y])
-                core = np.isin(ids, np.concatenate([np.array(b.column(b.schema.get_field_index(f"cores_{s}"))[r].values) for s in "xy"]))
-                cx, cy = core[: len(x)], core[len(x) :]
-                tree = _forest(hit & cx[:, None] & cy, x, y)
-                a, c = [i for i, p in tree.items() if i != p], [p for i, p in tree.items() if i != p]
-                out = [(np.array(a, np.int64), np.array(c, np.int64), True)]
-                for m, own, other in ((hit & ~cx[:, None] & cy, x, y), ((hit & cx[:, None] & ~cy).T, y, x)):
+        for get, ids, x, y, near in pairs(batches):
+            core = np.isin(ids, np.concatenate([get("cores_x"), get("cores_y")]))
+            up, edge = np.arange(len(ids)), [np.zeros((2, 0), np.int64)]
+            for p, q, _, hit in near:
+                a, c = x[p], y[q]
+                _join(up, a, c, hit & core[a][:, None] & core[c])
+                for m, own, other in ((hit & ~core[a][:, None] & core[c], a, c), ((hit & core[a][:, None] & ~core[c]).T, c, a)):
                     i, j = np.nonzero(m)
-                    if len(i):
-                        roots = np.array([tree.get(k, k) for k in other[j]])
-                        pair = np.unique(np.stack([own[i], roots]), axis=1)
-                        out.append((pair[0], pair[1], False))
-                for p, q, is_core in out:
-                    if len(p):
-                        yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(q), pa.array([is_core] * len(p))], names=["a", "b", "core"])
+                    edge.append(np.unique(np.stack([own[i], up[other[j]]]), axis=1))
+            down = np.flatnonzero(up != np.arange(len(ids)))
+            own, other = np.concatenate(edge, axis=1)
+            out = np.unique(np.stack([own, up[other]]), axis=1)
+            for i, j, is_core in ((down, up[down], True), (*out, False)):
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j]), pa.array([is_core] * len(i))], names=["a", "b", "core"])
 
     links = _block_pairs(marked, eps, "cores").select("ids_x", "vectors_x", "ids_y", "vectors_y", "cores_x", "cores_y", same)
     links = written(links.mapInArrow(link, "a long, b long, core boolean"), "links")
@@ -166,18 +196,20 @@ def dbscan(rows: DataFrame, id_col: str, vec_col: str, group: str, eps: float, l
     return out.select(id_col, group, F.coalesce("cluster", F.lit(-1)).alias("cluster"), F.coalesce("is_core", F.lit(False)).alias("is_core"))
 
 
-def _forest(hit: np.ndarray, x: np.ndarray, y: np.ndarray) -> dict[int, int]:
-    """Each of the ids x and y that a true entry of hit joins, with the smallest id of its tree."""
-    up: dict[int, int] = {}
+def _join(up: np.ndarray, x: np.ndarray, y: np.ndarray, hit: np.ndarray) -> None:
+    """Join the trees of the nodes x and y where hit is true. up: each node's root, the smallest of its tree, before and after."""
+    i, j = np.nonzero(hit & (up[x][:, None] != up[y]))
+    if not len(i):
+        return
 
-    def root(i: int) -> int:
-        while up.setdefault(i, i) != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
+    def root(k: int) -> int:
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = int(up[k])
+        return k
 
-    for i, j in zip(*(k.tolist() for k in np.nonzero(hit))):
-        p, q = root(int(x[i])), root(int(y[j]))
-        if p != q:
-            up[max(p, q)] = min(p, q)
-    return {i: root(i) for i in list(up)}
+    for p, q in np.unique(np.stack([up[x[i]], up[y[j]]]), axis=1).T.tolist():
+        p, q = root(p), root(q)
+        up[max(p, q)] = min(p, q)
+    while (up[up] != up).any():
+        up[:] = up[up]

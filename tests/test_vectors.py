@@ -161,3 +161,12 @@ def test_segments(spark, monkeypatch, n, size):
         assert sim == pytest.approx(sum(each) / len(each) if each else 1.0)
     merged = {r["place"]: r["merged"] for r in segments.nearby_mean(df, "k", "place", "v").collect()}
     assert all(merged[i] == pytest.approx(v[max(0, i - 1) : i + 2].mean(0).tolist()) for i in range(n))
+
+
+def test_blocks_of_a_large_group_are_few(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "BLOCK", 4)
+    g = np.random.default_rng(6)
+    rows = [(i, g.normal(size=6).tolist(), int(i >= 1200)) for i in range(1600)]
+    got = cluster._blocks(spark.createDataFrame(rows, "_id long, u array<double>, label int"), "label").collect()
+    assert sorted(i for r in got for i in r["ids"]) == list(range(1600))
+    assert all(16 <= sum(r["_g"] == k for r in got) <= 32 for k in (0, 1))
