@@ -5,17 +5,27 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable, Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 
-#: The table is emptied before it would hold more pieces (about 80 MB); a worker keeps it from task to task.
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
+#: A table is emptied before it would hold more pieces (about 80 MB); a worker keeps it from task to task.
 MOST_PIECES = 400_000
 BATCH_BYTES = 1 << 18
 #: Pieces joined into one string for the library, with MARK between them.
 JOINED = 200
 MARK = "\x01"
+#: Longer words are encoded each time: a full table of words is bounded in bytes too.
+LONGEST_KEPT = 64
+#: The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the others from 256 on.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 _tables: dict[tuple, PieceTable] = {}
+_words: dict[str, WordTable] = {}
 
 
 def byte_batches(items: Iterable[str], limit: int = BATCH_BYTES) -> Iterator[list[str]]:
@@ -90,8 +100,40 @@ class PieceTable:
             at = end
 
 
+class WordTable(dict):
+    """Ids (little-endian unsigned 32-bit) by word, encoded by the tokenizer's model when first asked for.
+
+    A word is what the tokenizer's normaliser leaves as it is and its pre-tokenizer takes whole: neither runs here. When
+    half of MOST_PIECES are known they become the older half, from which a word that comes again is taken over, so
+    frequent words are not encoded anew.
+    """
+
+    def __init__(self, tokenizer: Tokenizer):
+        super().__init__()
+        self.tokenize, self.older = tokenizer.model.tokenize, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            shown = word if word.isascii() else word.encode().decode("latin-1").translate(_SHOWN)
+            ids = np.array([t.id for t in self.tokenize(shown)], "<u4").tobytes()
+        if len(word) <= LONGEST_KEPT:
+            if len(self) >= MOST_PIECES // 2:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 def table(path: str, lead: str, counts: bool) -> PieceTable:
     """One for each worker process, kept from task to task."""
     if (path, lead, counts) not in _tables:
         _tables[path, lead, counts] = PieceTable(path, lead, counts)
     return _tables[path, lead, counts]
+
+
+def word_table(path: str) -> WordTable:
+    """One for each worker process, kept from task to task."""
+    if path not in _words:
+        _words[path] = WordTable(table(path, "", counts=False).tokenizer)
+    return _words[path]

@@ -382,3 +382,37 @@ def test_a_table_of_pieces_that_was_emptied_knows_all_texts(monkeypatch):
     monkeypatch.setattr(_pieces, "MOST_PIECES", 3)
     small = _pieces.PieceTable(path, "", counts=False)
     assert [*small.of(texts[:1]), *small.of(texts[1:])] == want and len(small.known) == 4
+
+
+@pytest.mark.parametrize("most", [8, 400_000])
+def test_words_are_encoded_as_the_library_does(monkeypatch, most):
+    from filmloom.llm import _pieces
+
+    monkeypatch.setattr(_pieces, "MOST_PIECES", most)
+    r, t = random.Random(8), Tokenizer.from_file(WORD)
+    signs = [*map(chr, range(0x20, 0x7F)), *"\t\n\r", *map(chr, range(0xC0, 0x180)), "'s", "'LL", " the "]
+    texts = ["".join(r.choice(signs) for _ in range(r.randrange(90))) for _ in range(400)] + ["-" * 100, "é" * 100 + "0×_÷", "<|endoftext|>", "\u4e2d a\x1cb", ""]
+    words, pieces = _pieces.WordTable(t), _pieces.PieceTable(WORD, "", counts=False)
+    got = [np.frombuffer(x, "<u4").tolist() for x in packing.encoded(texts, words, pieces)]
+    assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert max(len(words), len(words.older)) <= most // 2 and "-" * 100 not in words
+
+
+def test_frequent_words_stay_known_while_rare_ones_fill_the_table(monkeypatch):
+    from filmloom.llm import _pieces
+
+    texts = [f"the of and {a}{b}" for a in "abcdefgh" for b in "klmnopqr"]
+    monkeypatch.setattr(_pieces, "MOST_PIECES", 16)
+    library, asked = Tokenizer.from_file(WORD), collections.Counter()
+
+    class Model:
+        def tokenize(self, word):
+            asked[word] += 1
+            return library.model.tokenize(word)
+
+    class Counting:
+        model = Model()
+
+    words, pieces = _pieces.WordTable(Counting()), _pieces.PieceTable(WORD, "", counts=False)
+    list(packing.encoded(texts, words, pieces))
+    assert set(asked.values()) == {1} and len(asked) == len({w for x in texts for w in x.split()})
