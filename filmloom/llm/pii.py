@@ -30,7 +30,12 @@ ROUNDS = 10
 KEY_CONF, DEFAULT_KEY = "spark.filmloom.pii.key", "not-a-secret"
 FIRST_DAY, SIDE, WALK = "1900-01-01", 270, 64
 
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+#: Bytes of a run's output that are set aside together: a longer string would be copied at each of its groups.
+PIECE = 4096
+
+# Groups repeated without a bound are possessive: Java's other ones call themselves once per repeat, and a long run ends the
+# executor with a StackOverflowError. A domain ends in the letters of its last label that begins with two.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:[A-Za-z0-9-]*+(?:\.(?![A-Za-z]{2})[A-Za-z0-9-]++)*+\.[A-Za-z]{2,}+)++"
 SECRET = r"(?<![A-Za-z0-9])[0-9a-fA-F]{32,}(?![A-Za-z0-9])"
 _EIGHT_TO_15 = r"[ .()-]{0,2}\d" * 8 + r"(?:[ .()-]{0,2}\d)?" * 7
 # With a country code in groups of 3-3-4 or others, then national.
@@ -44,7 +49,9 @@ SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 DATE = r"(?<![\w/-])(?:\d{4}-\d{1,2}-\d{1,2}(?=T\d|(?![\w/-]))|\d{1,2}/\d{1,2}/\d{4}(?![\w/-]))"
 IP = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"
 # A run of 13 or more digits with one kind of separator, which may hold cards and other numbers, or a card with two kinds.
-CARD = r"(?<![\w])(?:\d(?: ?\d){12,}(?![\w]|[./-]\d)|\d(?:-?\d){12,}(?![\w/]|\.\d)|\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?![\w]))"
+# The run ends before a last group that doesn't end well; the group that holds its 13th digit must.
+_run = lambda sep, end: rf"\d(?=(?:{sep}?\d){{12}}\d*+{end})\d*+(?:{sep}\d++{end})*+"
+CARD = rf"(?<![\w])(?:{_run(' ', r'(?![\w]|[./-]\d)')}|{_run('-', r'(?![\w/]|\.\d)')}|\d{{4}}[ -]?\d{{4}}[ -]?\d{{4}}[ -]?\d{{1,7}}(?![\w]))"
 KINDS = (("email", EMAIL), ("secret", SECRET), ("phone", PHONE), ("ssn", SSN), ("date", DATE), ("ip", IP), ("card", CARD))
 ANY = "|".join(p for _, p in KINDS)
 
@@ -122,17 +129,21 @@ def cards(x: Column, key: Column) -> Column:
             return _bind(out, lambda b: refill(form, F.concat(b, ((10 - luhn_sum(b, True) % 10) % 10).cast("string"))))
 
         def step(acc: Column, i: Column) -> Column:
-            ends = F.filter(F.sequence(F.least(i + 19, F.size(g)), i + 1), lambda j: is_card(i, j))
+            full = F.octet_length(acc["o"]) > PIECE
+            done, o = F.when(full, F.concat(acc["done"], F.array(acc["o"]))).otherwise(acc["done"]), F.when(full, F.lit("")).otherwise(acc["o"])
+            # Six groups, five of them of 4 digits or more, have too many digits.
+            last = F.when((i == 0) & (F.size(g) <= 19), F.size(g)).otherwise(F.least(i + 5, F.size(g)))
+            ends = F.filter(F.sequence(last, i + 1), lambda j: is_card(i, j))
 
             def go(e: Column) -> Column:
                 end = F.get(e, F.lit(0))
-                found = F.struct(F.concat(acc["o"], _bind(part(i, end), put)).alias("o"), (acc["n"] + 1).alias("n"), end.alias("at"))
-                return F.when(end.isNotNull(), found).otherwise(F.struct(F.concat(acc["o"], F.get(g, i)).alias("o"), acc["n"].alias("n"), (i + 1).alias("at")))
+                found = F.struct(done.alias("done"), F.concat(o, _bind(part(i, end), put)).alias("o"), (acc["n"] + 1).alias("n"), end.alias("at"))
+                return F.when(end.isNotNull(), found).otherwise(F.struct(done.alias("done"), F.concat(o, F.get(g, i)).alias("o"), acc["n"].alias("n"), (i + 1).alias("at")))
 
             return F.when(i < acc["at"], acc).otherwise(_bind(ends, go))
 
-        start = F.struct(F.lit("").alias("o"), F.lit(0).alias("n"), F.lit(0).alias("at"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(g) - 1), start, step)
+        start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("o"), F.lit(0).alias("n"), F.lit(0).alias("at"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(g) - 1), start, step, lambda acc: F.struct(F.concat(F.concat_ws("", acc["done"]), acc["o"]).alias("o"), acc["n"].alias("n")))
 
     return _bind(groups, body)
 
